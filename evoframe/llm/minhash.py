@@ -177,6 +177,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they have; of equal rows each."""
+    kept = near_duplicates(docs, bands, rows).where(F.col("kept") & F.col("doc_id").isNotNull())
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     docs = documents_of(docs, "doc_id", "text")

@@ -5,29 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoframe.llm import language, minhash, mixing, packing, pii, quality, suffixdedup, tokenfile, topk, urlfilter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evoframe.llm.packing import packing_digest
-
-    return packing_digest(_table(spark, sf_dir, "documents"))
+    return packing.packing_digest(_table(spark, sf_dir, "documents"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evoframe.llm.minhash import near_duplicates
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
-def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evoframe.llm.tokenfile import token_files
 
-    found = token_files(_table(spark, sf_dir, "documents"))
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfile.token_files(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op6_token_files": op6_token_files}
-ORACLES: dict[str, str] = {}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeats_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
+    "op5_language": op5_language,
+    "op6_token_files": op6_token_files,
+    "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
+    "op9_top_k": op9_top_k,
+    "op10_suffix_dedup": op10_suffix_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": urlfilter.oracle(),
+    "op8_mixing": mixing.oracle(),
+    "op9_top_k": topk.oracle(),
+}
