@@ -20,8 +20,6 @@ by row; all other columns are passed on.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,26 +52,34 @@ NAMES = {
 }
 
 _WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_INITIALS = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
 _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=lambda t: (-len(t), t)))
 
 #: What is found, in order of preference where two begin at the same place.
 KINDS = {
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[  ](?:{_WORD})(?:[  ]{_WORD})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.?[ \u00a0]{_WORD}(?:[ \u00a0]{_WORD})?",
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "token": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "security": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![A-Za-z0-9])",
+    # a leading +, an area in brackets, or three groups
+    "phone": (
+        r"(?<![A-Za-z0-9+.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+        r"|\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}"
+        r"|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4})(?![A-Za-z0-9])"
+    ),
 }
-#: A phone number has a leading +, an area in brackets, or three groups at least.
-KINDS["phone"] = (
-    r"(?<![A-Za-z0-9+.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}"
-    r"|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4})(?![A-Za-z0-9])"
-)
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: No entity is without one of these, and most texts have none.
+_HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.?[ \u00a0]\p{{Lu}}"
+
+
+def entities(text: Column) -> Column:
+    """The entities of a text, from left to right; none for null."""
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
 def kind_of(value: Column) -> Column:
@@ -144,15 +150,15 @@ def _mail(value: Column, digest: Column) -> Column:
 
 
 def _address(digest: Column) -> Column:
-    parts = [_nibble(digest, F.lit(i)) for i in range(3)]
-    return F.concat_ws(".", F.lit("10"), *[p.cast("string") for p in parts])  # a private network
+    first = _nibble(digest, F.lit(3)) % 15 + 240  # reserved, so no one's
+    return F.concat_ws(".", *[p.cast("string") for p in (first, *(_nibble(digest, F.lit(i)) for i in range(3)))])
 
 
-def _name(value: Column, digest: Column) -> Column:
+def _name(value: Column, digest: Column, salt: Column) -> Column:
     """The title stays; given name and surname are of the same script, and of the title's gender."""
-    title = F.regexp_extract(value, rf"^(?:{_TITLE})\.?[  ]", 0)
+    title = F.regexp_extract(value, rf"^(?:{_TITLE})\.?[ \u00a0]", 0)
     rest = F.substr(value, F.length(title) + 1, F.length(value))
-    bare = F.regexp_replace(title, r"[.  ]", "")
+    bare = F.regexp_replace(title, r"[. \u00a0]", "")
     gender = F.when(bare.isin(*TITLES["f"]), F.lit("f")).when(bare.isin(*TITLES["m"]), F.lit("m")).otherwise(F.lit("n"))
 
     def made(lists: dict) -> Column:
@@ -160,10 +166,10 @@ def _name(value: Column, digest: Column) -> Column:
             return F.get(F.array(*map(F.lit, names)), _nibble(digest, F.lit(at)) % len(names))
 
         given = F.when(gender == "f", pick(lists["f"], 0)).when(gender == "m", pick(lists["m"], 0)).otherwise(pick(lists["n"], 0))
-        # further syllables keep distinct names distinct
-        tail = F.translate(F.substr(digest, F.lit(9), F.lit(4)), "0123456789abcdef", lists["letters"])
+        # further letters keep distinct names distinct, the more the more often a name was drawn
+        tail = F.translate(F.substr(digest, F.lit(9), 4 + salt * 2), "0123456789abcdef", lists["letters"])
         last = F.concat(pick(lists["last"], 1), tail)
-        return F.when(rest.rlike(r"[  ]"), F.concat(given, F.lit(" "), last)).otherwise(last)
+        return F.when(rest.rlike(r"[ \u00a0]"), F.concat(given, F.lit(" "), last)).otherwise(last)
 
     latin = made(NAMES["latin"] | {"letters": "aeiounrstlmdaeio"})
     cyrillic = made(NAMES["cyrillic"] | {"letters": "аеиоунрстлмдаеио"})
@@ -176,21 +182,21 @@ def surrogate(kind: Column, value: Column, salt: Column, key: str = KEY) -> Colu
     """The replacement of a value for one draw."""
     digest = _digest(key, kind, value, salt)
     return (
-        F.when(kind == "name", _name(value, digest))
+        F.when(kind == "name", _name(value, digest, salt))
         .when(kind == "mail", _mail(value, digest))
         .when(kind == "address", _address(digest))
         .when(kind == "card", _card(value, digest))
         .when((kind == "token") & value.rlike("^[0-9a-fA-F]+$"), _hex(value, digest))
         .when(kind == "token", F.concat(F.regexp_extract(value, "^(?:AKIA|gh[pousr]_|sk-)", 0), _rewritten(F.regexp_replace(value, "^(?:AKIA|gh[pousr]_|sk-)", ""), digest)))
         .when(kind == "account", F.concat(F.substring(value, 1, 2), _rewritten(F.substr(value, F.lit(3), F.length(value)), digest)))
+        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3})?", 0), _rewritten(F.regexp_replace(value, r"^\+[0-9]{1,3}", ""), digest)))
         .otherwise(_rewritten(value, digest))
     )
 
 
 def values_of(docs: DataFrame, column: str = "text") -> DataFrame:
     """``value, kind``: every distinct entity of the corpus."""
-    found = F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))
-    values = docs.where(F.col(column).isNotNull()).select(F.explode(F.array_distinct(found)).alias("value")).distinct()
+    values = docs.select(F.explode(F.array_distinct(entities(F.col(column)))).alias("value")).distinct()
     return values.withColumn("kind", kind_of(F.col("value")))
 
 
@@ -219,12 +225,11 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """``docs`` with every entity of ``column`` replaced, other columns as they are."""
     names = docs.columns
-    found = F.regexp_extract_all(F.col(f"`{column}`"), F.lit(PATTERN), F.lit(0))
     table = surrogates(values_of(docs.select(F.col(f"`{column}`").alias("text"))), key)
 
     # Rows with entities: each entity's surrogate by its place, then the text put together.
-    marked = docs.withColumn("pii_found", found)
-    some = F.coalesce(F.size("pii_found") > 0, F.lit(False))
+    marked = docs.withColumn("pii_found", entities(F.col(f"`{column}`")))
+    some = F.size("pii_found") > 0
     row = F.xxhash64(*[F.col(f"`{c}`") for c in names if dict(docs.dtypes)[c].split("<")[0] != "map"])
     hit = marked.where(some).withColumn("pii_row", row)
     places = hit.select("pii_row", F.explode(F.array_distinct("pii_found")).alias("value")).distinct()
@@ -239,9 +244,5 @@ def replace_pii(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFr
 def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``doc_id, text, n_entities``: each document's new text and how many entities it had."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("n_entities", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_entities", F.size(entities(F.col("text"))).cast("long"))
     return replace_pii(rows, key)
-
-
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -157,7 +157,7 @@ def _blocked(rows: DataFrame, size: int, *order) -> DataFrame:
     """Blocks of ``size`` rows of one dimension at most, alike in ``order``; their number follows the rows."""
     span = Window.partitionBy("dim", "part").orderBy(*order)
     parts = rows.repartitionByRange(max(1, -(-rows.count() // size)), *order).withColumn("part", F.spark_partition_id())
-    return parts.withColumn("block", F.col("part") * (1 << 30) + F.floor((F.row_number().over(span) - 1) / size)).drop("part")
+    return parts.withColumn("block", F.col("part").cast("long") * (1 << 30) + F.floor((F.row_number().over(span) - 1) / size)).drop("part")
 
 
 def _pairs(buckets: DataFrame, queries: DataFrame, salts: int = 64) -> DataFrame:
