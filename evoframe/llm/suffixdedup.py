@@ -14,7 +14,8 @@ document of smaller ``doc_id`` or before it in the same one.
    inserts one symbol of every string, from its end on. Runs of common prefixes of
    ``width`` or more are equal windows, and all but the first of them are removed.
 4. An anchor with more than ``most_spans`` of them would be too large for one task; its
-   windows are grouped one by one instead, by Spark's aggregation.
+   windows are told apart one by one instead, first in each task and then by ranges of
+   their hashes.
 
 A collection is bounded, so the columns that the published method writes to sequential
 files stay in the task's memory here; no local file is written.
@@ -42,9 +43,10 @@ from evoframe.llm._words import mixed
 WIDTH = 100
 GRAM = 32
 MOST_SPANS = 256
-BATCH = 1_000_000
+BATCH = 500_000
 BYTES_PER_BUCKET = 16 << 20
-STRINGS_PER_GROUP = 4000
+STRINGS_PER_GROUP = 1000
+HOT_SPANS_PER_BUCKET = 2000
 BLOCK = 1 << 19
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -206,34 +208,58 @@ def _matched(anchored: DataFrame, most_spans: int) -> DataFrame:
     return anchored.groupBy("bucket").applyInPandas(match, _PLACES)
 
 
-def _strings(places: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The bytes of spans, and for hot anchors a 128-bit hash of each window."""
+def _runs(table: np.ndarray, kind: int = _GONE) -> pd.DataFrame:
+    """Single windows of a table put together to runs of neighbours."""
+    table = np.sort(table[["doc", "check", "start"]], order=["doc", "check", "start"])
+    doc, check, start = table["doc"].astype(np.int64), table["check"].astype(np.int32), table["start"].astype(np.int64)
+    cut = np.ones(len(table), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]) | (start[1:] > start[:-1] + 1)
+    cuts = np.flatnonzero(cut)
+    ends = np.append(cuts[1:], len(table))[: len(cuts)] - 1
+    return pd.DataFrame({"kind": kind, "doc": doc[cuts], "check": check[cuts], "start": start[cuts], "n": start[ends] - start[cuts] + 1})
+
+
+def _strings(places: DataFrame, rows: DataFrame, width: int, hot_buckets: int) -> DataFrame:
+    """The bytes of spans; for hot anchors the first of each window in a task, by ranges of hashes, and what went."""
     import xxhash
 
     by_doc = places.where(F.col("kind") != _GONE).groupBy("doc", "check").agg(F.collect_list(F.struct("kind", "start", "n", "anchor")).alias("found"))
     wanted = rows.join(by_doc, ["doc", "check"]).dropDuplicates(["doc", "check"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "anchor", "window", "doc", "check", "start", "n", "string"]
+        names = ["kind", "anchor", "doc", "check", "start", "n", "string"]
+        out, hot = [], []
+
+        def settle() -> pd.DataFrame:
+            table, first = _first_of_each(np.array(hot, list(_FIELDS)))
+            gone, sent = _runs(table[~first]), table[first]
+            bucket = (sent["anchor"] >> np.uint64(32)).astype(np.int64) % hot_buckets
+            packs = [(_HOT, int(b), 0, 0, 0, int((bucket == b).sum()), _packed(sent[bucket == b])) for b in np.unique(bucket)]
+            hot.clear()
+            return pd.concat([pd.DataFrame(packs, columns=names), gone.assign(anchor=0, string=None)[names]])
+
         for batch in batches:
-            out = []
             for doc, check, text, found in zip(batch.doc, batch.check, batch.text, batch.found):
                 raw = text.encode("utf-8", "surrogatepass")
                 for f in found:
-                    kind, start, n = f["kind"], f["start"], f["n"]
-                    if kind == _SPAN:
-                        out.append((kind, f["anchor"], 0, doc, check, start, n, raw[start : start + n + width - 1]))
+                    start, n = f["start"], f["n"]
+                    if f["kind"] == _SPAN:
+                        out.append((_SPAN, f["anchor"], doc, check, start, n, raw[start : start + n + width - 1]))
                         continue
                     for k in range(start, start + n):
-                        digest = np.frombuffer(xxhash.xxh3_128_digest(raw[k : k + width]), np.int64)
-                        out.append((kind, int(digest[0]), int(digest[1]), doc, check, k, 1, None))
-                if len(out) >= 50_000:
+                        digest = xxhash.xxh3_128_intdigest(raw[k : k + width])
+                        hot.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, doc, check, k, 1))
+                if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                if len(hot) >= BATCH:
+                    yield settle()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+        if hot:
+            yield settle()
 
-    schema = "kind int, anchor long, window long, doc long, check int, start int, n int, string binary"
+    schema = "kind int, anchor long, doc long, check int, start int, n int, string binary"
     return wanted.select("doc", "check", "text", "found").mapInPandas(cut, schema)
 
 
@@ -323,12 +349,16 @@ def _compared(strings: DataFrame, groups: int, width: int) -> DataFrame:
     return grouped.applyInPandas(compare, "doc long, check int, start int, n int")
 
 
-def _counted_alone(strings: DataFrame) -> DataFrame:
-    """The same for windows of hot anchors, by aggregation."""
-    hot = strings.where(F.col("kind") == _HOT).select("anchor", "window", "doc", "check", "start", "n")
-    firsts = hot.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = hot.join(firsts, ["anchor", "window"]).where(F.struct("doc", "start") > F.col("first"))
-    return later.select("doc", "check", "start", "n")
+def _told_apart(strings: DataFrame) -> DataFrame:
+    """The same for windows of hot anchors, for each range of their hashes."""
+
+    def match(batch: pd.DataFrame) -> pd.DataFrame:
+        table, first = _first_of_each(np.concatenate([_unpacked(p, n) for p, n in zip(batch.string, batch.n)]))
+        return _runs(table[~first]).drop(columns="kind")
+
+    ranges = strings.where(F.col("kind") == _HOT).select("anchor", "n", "string")
+    local = strings.where(F.col("kind") == _GONE).select("doc", "check", "start", "n")
+    return local.unionByName(ranges.groupBy("anchor").applyInPandas(match, "doc long, check int, start int, n int"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_spans: int = MOST_SPANS) -> tuple[DataFrame, DataFrame]:
@@ -338,10 +368,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_s
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, -(-n_bytes // BYTES_PER_BUCKET))
     places = materialize(_matched(_anchored(rows, buckets, width, gram), most_spans))
-    strings = materialize(_strings(places, rows, width))
+    hot_buckets = max(256, places.where(F.col("kind") == _HOT).count() // HOT_SPANS_PER_BUCKET)
+    strings = materialize(_strings(places, rows, width, hot_buckets))
     groups = max(64, -(-strings.where(F.col("kind") == _SPAN).count() // STRINGS_PER_GROUP))
     gone = places.where(F.col("kind") == _GONE).select("doc", "check", "start", "n")
-    return rows, gone.unionByName(_compared(strings, groups, width)).unionByName(_counted_alone(strings))
+    return rows, gone.unionByName(_compared(strings, groups, width)).unionByName(_told_apart(strings))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_spans: int = MOST_SPANS) -> DataFrame:
