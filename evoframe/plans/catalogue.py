@@ -1,4 +1,397 @@
 """All registered queries of the engine and the SQL that checks them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evoframe.functions import metrics, sequences
+from evoframe.functions.hashing import first_by_hash
+from evoframe.operators import clean, matrix, objectives, pairs, pareto, search
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def register(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if oracle:
+            ORACLES[key] = oracle
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+
+
+# Pairs ------------------------------------------------------------------------------
+
+_SEED = 7
+
+
+def _pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+
+
+def _held(column: str, seed: int) -> str:
+    return f"""SELECT {column} AS v FROM (SELECT {column}, row_number() OVER (ORDER BY md5('{seed}|' || {column}), {column}) AS nth,
+      count(*) OVER () AS total FROM (SELECT DISTINCT {column} FROM lineitem)) WHERE nth <= greatest(1, round_even(0.2 * total, 0))"""
+
+
+def _split_query(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _pair_table(spark, sf_dir)
+        rows = rows.distinct() if mode == "random" else rows  # a random split needs rows that can be told apart
+        split = pairs.cold_split(rows, "l_suppkey", "l_partkey", 0.2, mode, _SEED, tuple(rows.columns))
+        return split.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "split")
+
+    return run
+
+
+_SIDES = {"drug": (f"l_suppkey IN ({_held('l_suppkey', _SEED)})",), "target": (f"l_partkey IN ({_held('l_partkey', _SEED)})",)}
+_SIDES["both"] = (*_SIDES["drug"], f"l_partkey IN ({_held('l_partkey', _SEED + 1)})")
+for _mode, _tests in _SIDES.items():
+    query(f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN {" AND ".join(_tests)} THEN 'test'
+      WHEN {" OR ".join(_tests)} THEN 'dropped' ELSE 'train' END AS split FROM lineitem""", f"cold_split_{_mode}")(_split_query(_mode))
+query(f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN nth <= least(greatest(1, round_even(0.2 * total, 0)), total - 1) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY
+    md5('{_SEED}|' || l_orderkey || '|' || l_linenumber || '|' || l_suppkey || '|' || l_partkey)) AS nth FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem))""", "cold_split_random")(_split_query("random"))
+
+
+@query("""WITH known AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+others AS (SELECT * FROM (SELECT DISTINCT l_suppkey FROM known), (SELECT DISTINCT l_partkey FROM known) EXCEPT SELECT * FROM known),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || l_suppkey || '|' || l_partkey), l_suppkey, l_partkey) AS nth FROM others)
+SELECT l_suppkey, l_partkey, 1 AS label FROM known UNION ALL
+SELECT l_suppkey, l_partkey, 0 FROM ranked WHERE nth <= round_even(0.5 * (SELECT count(*) FROM known), 0)""")
+def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.with_negatives(_pair_table(spark, sf_dir), "l_suppkey", "l_partkey", 0.5, _SEED)
+
+
+@query("""SELECT s AS l_suppkey, p AS l_partkey, (EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s AND l_partkey = p))::BIGINT AS cell
+FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_partkey <= 50)""")
+def interaction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _pair_table(spark, sf_dir).select("l_suppkey", "l_partkey").distinct()
+    drugs, targets = known.select("l_suppkey").distinct(), known.select("l_partkey").distinct().where("l_partkey <= 50")
+    ones = known.withColumn("cell", F.lit(1).cast("long"))
+    return drugs.crossJoin(targets).join(ones, ["l_suppkey", "l_partkey"], "left").fillna(0, ["cell"])
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, arg_min(o_orderstatus, o_orderkey) AS description FROM orders GROUP BY 1""")
+def interaction_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.kinds(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_orderkey")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS nth FROM orders WHERE o_orderpriority <> '1-URGENT')
+SELECT o_orderkey, 1 AS label FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL
+SELECT o_orderkey, 0 FROM ranked, n WHERE nth <= n""")
+def binary_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.one_against_rest(table(spark, sf_dir, "orders"), "o_orderpriority", "1-URGENT", ("o_orderkey",), 1.0, _SEED)
+    return found.select("o_orderkey", "label")
+
+
+@query("SELECT count(DISTINCT v) AS n FROM (SELECT l_suppkey AS v FROM lineitem UNION ALL SELECT l_partkey FROM lineitem)")
+def n_entities_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.n_entities(_pair_table(spark, sf_dir), "l_suppkey", "l_partkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT 1000""")
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by_hash(_pair_table(spark, sf_dir).select("l_orderkey", "l_linenumber"), 1000, _SEED, "l_orderkey", "l_linenumber")
+
+
+_SQL_COMBINE = {"sum": "a + b", "product": "a * b", "absdiff": "abs(a - b)", "mean": "(a + b) / 2", "max": "greatest(a, b)"}
+
+
+def _pair_feature_query(method: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+        other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+        made = vectors.join(other, "vec_id").select("vec_id", F.posexplode(pairs.pair_features(F.col("x"), F.col("y"), method)).alias("pos", "value"))
+        return rounded(made.withColumn("pos", F.col("pos").cast("long")), "value")
+
+    return run
+
+
+_BOTH = "SELECT l.vec_id, l.embedding AS x, r.embedding AS y FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1"
+for _method, _sql in _SQL_COMBINE.items():
+    query(f"""SELECT vec_id, pos, round({_sql}, 6) + 0.0 AS value FROM (SELECT vec_id, unnest(range(len(x))) AS pos,
+      unnest(x)::DOUBLE AS a, unnest(y)::DOUBLE AS b FROM ({_BOTH}))""", f"pair_features_{_method}")(_pair_feature_query(_method))
+query(f"""SELECT vec_id, unnest(range(len(x) + len(y))) AS pos, round(unnest(list_concat(x, y))::DOUBLE, 6) + 0.0 AS value FROM ({_BOTH})""", "pair_features_concat")(_pair_feature_query("concat"))
+
+# Cleaning ---------------------------------------------------------------------------
+
+
+@query("""SELECT step_no::INTEGER AS step_no, step, n FROM (
+SELECT 0 AS step_no, 'fetched' AS step, count(*) AS n FROM lineitem UNION ALL
+SELECT 1, 'returned', count(*) FROM lineitem WHERE l_returnflag = 'R' UNION ALL
+SELECT 2, 'finished', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' UNION ALL
+SELECT 3, 'with quantity', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 10)""")
+def clean_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [("fetched", F.lit(True)), ("returned", F.col("l_returnflag") == "R"), ("finished", F.col("l_linestatus") == "F"), ("with quantity", F.col("l_quantity") > 10)]
+    return clean.funnel(table(spark, sf_dir, "lineitem"), steps)
+
+
+def _collapse_query(how: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+        return rounded(clean.collapse(rows, "l_partkey", "l_quantity", "l_returnflag", "row_id", how), "l_quantity")
+
+    return run
+
+
+for _how, _sql in {"median": "median", "mean": "avg", "min": "min", "max": "max"}.items():
+    query(f"""SELECT l_partkey, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) AS l_returnflag, round({_sql}(l_quantity), 6) + 0.0 AS l_quantity,
+      count(*) AS n_measurements FROM lineitem GROUP BY 1""", f"collapse_{_how}")(_collapse_query(_how))
+
+
+@query("SELECT d.doc_id, d.lang, l.toxic AS y FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL")
+def label_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return clean.label_task(rows, "toxic", "doc_id", "lang")
+
+
+@query("SELECT o_orderkey, (o_totalprice > 150000)::INTEGER AS y FROM orders")
+def pchembl_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", clean.above(F.col("o_totalprice"), 150000.0).alias("y"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(-log10(l_extendedprice * 1e-9), 6) AS pkd FROM lineitem WHERE l_extendedprice > 0")
+def pkd_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_extendedprice > 0")
+    return rows.select("l_orderkey", "l_linenumber", F.round(clean.pkd(F.col("l_extendedprice")), 6).alias("pkd"))
+
+
+# Matrices: embeddings in long form, a sample is a vector and a probe a component -----
+
+_CELLS = "(SELECT vec_id AS sample_id, unnest(range(len(embedding))) AS probe_id, unnest(embedding)::DOUBLE AS value FROM embeddings)"
+_HOLES = f"(SELECT sample_id, probe_id, CASE WHEN value >= -0.15 THEN value END AS value FROM {_CELLS})"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("probe_id", "value"))
+    return rows.select("sample_id", F.col("probe_id").cast("long").alias("probe_id"), F.col("value").cast("double").alias("value"))
+
+
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).withColumn("value", F.when(F.col("value") >= -0.15, F.col("value")))
+
+
+@query("SELECT l_orderkey AS sample_id, l_linenumber AS probe_id, round(log2(l_extendedprice + 1), 6) AS value FROM lineitem")
+def log2_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("probe_id"), F.col("l_extendedprice").alias("value"))
+    return rounded(matrix.log2_transform(cells), "value")
+
+
+@query(f"""SELECT sample_id, probe_id, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 6) + 0.0 AS value
+FROM {_CELLS} WINDOW w AS (PARTITION BY probe_id)""")
+def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrix.zscore(_cells(spark, sf_dir)), "value")
+
+
+@query(f"SELECT sample_id, probe_id, round(value - median(value) OVER (PARTITION BY sample_id), 6) + 0.0 AS value FROM {_CELLS}")
+def median_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrix.median_center(_cells(spark, sf_dir)), "value")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY value, probe_id) AS rn,
+  rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0::DOUBLE AS rk FROM {_CELLS}),
+m AS (SELECT rn, avg(value) AS level FROM r GROUP BY rn)
+SELECT sample_id, probe_id, round((a.level + b.level) / 2, 6) + 0.0 AS value FROM r JOIN m a ON a.rn = floor(rk) JOIN m b ON b.rn = ceil(rk)""")
+def quantile_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrix.quantile_normalize(_cells(spark, sf_dir)), "value")
+
+
+@query(f"SELECT probe_id, round(var_samp(value), 6) AS variance FROM {_CELLS} GROUP BY 1 ORDER BY var_samp(value) DESC, probe_id LIMIT 10")
+def top_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrix.top_variance(_cells(spark, sf_dir), 10), "variance")
+
+
+for _how, _sql in {"mean": "avg", "median": "median"}.items():
+
+    def _impute(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
+        return rounded(clean.impute(_holes(spark, sf_dir), "probe_id", "value", how).select(*matrix.KEYS, "value"), "value")
+
+    query(f"SELECT sample_id, probe_id, round(coalesce(value, {_sql}(value) OVER (PARTITION BY probe_id)), 6) + 0.0 AS value FROM {_HOLES}", f"impute_{_how}")(_impute)
+
+
+@query(f"""SELECT sample_id, probe_id, round(value, 6) + 0.0 AS value FROM {_HOLES} WHERE probe_id IN (
+  SELECT probe_id FROM {_HOLES} GROUP BY 1 HAVING avg((value IS NULL)::INTEGER) <= 0.1)""")
+def dropna_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clean.drop_missing(_holes(spark, sf_dir), "probe_id", "value", 0.1).select(*matrix.KEYS, "value"), "value")
+
+
+# Sequences --------------------------------------------------------------------------
+
+_PROTEIN = f"regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'ss')), '[^{sequences.RESIDUES}]', '', 'g')"
+
+
+def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", sequences.clean_protein(F.coalesce("text", F.lit(""))).alias("s"))
+
+
+@query(f"""SELECT item_id, unnest(range(20)) AS residue, round(unnest(list_transform(range(1, 21),
+  lambda i: (length(s) - length(replace(s, '{sequences.RESIDUES}'[i], '')))::DOUBLE / length(s))), 6) AS share
+FROM (SELECT item_id, {_PROTEIN} AS s FROM benchmark) WHERE length(s) > 0""")
+def aac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _proteins(spark, sf_dir).select("item_id", F.posexplode(sequences.aac(F.col("s"))).alias("residue", "share"))
+    return rounded(made.withColumn("residue", F.col("residue").cast("long")), "share")
+
+
+@query(f"""WITH p AS (SELECT item_id, {_PROTEIN} AS s FROM benchmark),
+pairs AS (SELECT item_id, length(s) - 1 AS n, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS dipeptide FROM p WHERE length(s) > 1)
+SELECT item_id, dipeptide, round(count(*)::DOUBLE / any_value(n), 6) AS share FROM pairs GROUP BY 1, 2""")
+def dpc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sequences.dipeptides(_proteins(spark, sf_dir), "item_id", "s"), "share")
+
+
+#: Residues by charge (positive, neutral, negative).
+CHARGE = ("KR", "ANCQGHILMFPSTWYV", "DE")
+
+
+@query(f"""SELECT item_id, unnest(range(3)) AS class, round(unnest([{", ".join(f"(length(s) - length(regexp_replace(s, '[{g}]', '', 'g')))::DOUBLE / length(s)" for g in CHARGE)}]), 6) AS share
+FROM (SELECT item_id, {_PROTEIN} AS s FROM benchmark) WHERE length(s) > 0""")
+def ctd_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _proteins(spark, sf_dir).select("item_id", F.posexplode(sequences.composition(F.col("s"), CHARGE)).alias("class", "share"))
+    return rounded(made.withColumn("class", F.col("class").cast("long")), "share")
+
+
+@query("""SELECT item_id, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS token FROM benchmark WHERE length(text) > 0""")
+def tokenize_char(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sequences.tokenize(F.col("text"))).alias("pos", "token"))
+    return made.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH t AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark WHERE length(text) > 0)
+SELECT 'E' AS token, 0 AS index UNION ALL SELECT '!', 1 UNION ALL SELECT '?', 2 UNION ALL
+SELECT token, row_number() OVER (ORDER BY token) + 2 FROM t WHERE token NOT IN ('E', '!', '?')""")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.vocabulary(table(spark, sf_dir, "benchmark").select(sequences.tokenize(F.col("text")).alias("t")), "t")
+
+
+# Metrics and Pareto fronts ----------------------------------------------------------
+
+_JUDGED = "(SELECT l.toxic AS y, d.n_chars AS score, (d.n_chars > 2000)::INTEGER AS predicted FROM labels l JOIN documents d USING (doc_id))"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select(F.col("toxic").alias("y"), F.col("n_chars").alias("score"), (F.col("n_chars") > 2000).cast("int").alias("predicted"))
+
+
+@query(f"""SELECT round(avg((y = predicted)::INTEGER), 6) AS accuracy, round(2 * count(*) FILTER (y = 1 AND predicted = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (predicted = 1))::DOUBLE, 6) AS f1,
+round((count(*) FILTER (y = 1 AND predicted = 1) / count(*) FILTER (y = 1)::DOUBLE + count(*) FILTER (y = 0 AND predicted = 0) / count(*) FILTER (y = 0)::DOUBLE) / 2, 6) AS balanced FROM {_JUDGED}""")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _judged(spark, sf_dir).agg(
+        metrics.accuracy("y", "predicted").alias("accuracy"), metrics.f1("y", "predicted").alias("f1"), metrics.balanced_accuracy("y", "predicted").alias("balanced")
+    )
+    return rounded(found, "accuracy", "f1", "balanced")
+
+
+@query(f"""SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE, 6) AS auc
+FROM (SELECT y, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0)::DOUBLE AS r FROM {_JUDGED})""")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.auc(_judged(spark, sf_dir), "y", "score"), "auc")
+
+
+_POINTS = "(SELECT l_partkey AS id, avg(l_quantity) AS f1, -count(*) AS f2 FROM lineitem GROUP BY 1)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.avg("l_quantity").alias("f1"), (-F.count(F.lit(1))).alias("f2"))
+
+
+@query(f"""WITH p AS {_POINTS} SELECT round(f1, 6) AS f1, f2, min(id) AS id FROM p
+WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND (q.f1 < p.f1 OR q.f2 < p.f2)) GROUP BY p.f1, f2""")
+def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pareto.front_of_two(_points(spark, sf_dir), "f1", "f2", "id"), "f1")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, s_nationkey AS front, s_acctbal AS f1, (s_suppkey % 7)::DOUBLE AS f2 FROM supplier),
+g AS (SELECT *, lead(f1) OVER a - lag(f1) OVER a AS g1, lead(f2) OVER b - lag(f2) OVER b AS g2, max(f1) OVER w - min(f1) OVER w AS s1, max(f2) OVER w - min(f2) OVER w AS s2
+  FROM p WINDOW a AS (PARTITION BY front ORDER BY f1, id), b AS (PARTITION BY front ORDER BY f2, id), w AS (PARTITION BY front))
+SELECT id, front, CASE WHEN g1 IS NULL OR g2 IS NULL THEN -1 ELSE round(CASE WHEN s1 = 0 THEN 0 ELSE g1 / s1 END + CASE WHEN s2 = 0 THEN 0 ELSE g2 / s2 END, 6) END AS crowding FROM g""")
+def crowding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infinite distances as -1, for comparison."""
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("front"), F.col("s_acctbal").alias("f1"), (F.col("s_suppkey") % 7).cast("double").alias("f2"))
+    found = pareto.crowding_distance(points, ["f1", "f2"], "id", "front").select("id", "front", "crowding")
+    return found.withColumn("crowding", F.when(F.col("crowding") == float("inf"), F.lit(-1.0)).otherwise(F.round("crowding", 6)))
+
+
+# Objectives and search --------------------------------------------------------------
+
+_X = "list_transform(embedding, lambda v: v::DOUBLE)"
+_BENCHMARKS = {
+    "sphere": (objectives.sphere, "list_sum(list_transform(x, lambda v: v * v))"),
+    "rastrigin": (objectives.rastrigin, "10 * len(x) + list_sum(list_transform(x, lambda v: v * v - 10 * cos(2 * pi() * v)))"),
+    "ackley": (objectives.ackley, "-20 * exp(-0.2::DOUBLE * sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))) - exp(list_sum(list_transform(x, lambda v: cos(2 * pi() * v))) / len(x)) + 20 + exp(1::DOUBLE)"),
+}
+for _name, (_objective, _sql) in _BENCHMARKS.items():
+
+    def _benchmark(spark: SparkSession, sf_dir: str, objective=_objective) -> DataFrame:
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.round(objective(F.col("embedding").cast("array<double>")), 6).alias("f"))
+
+    query(f"SELECT vec_id, round({_sql}, 6) AS f FROM (SELECT vec_id, {_X} AS x FROM embeddings)", f"benchmark_{_name}")(_benchmark)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.least(F.greatest((v + 0.5), F.lit(0.0)), F.lit(1.0)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"), (F.col("label") < 5).cast("int").alias("y"))
+
+
+_CANDIDATES = [(k, [float((i * (k + 1)) % 11 - 2) for i in range(64)]) for k in range(5)]
+
+
+@query(f"""WITH m AS (SELECT list_transform(embedding, lambda v: least(greatest(v::DOUBLE + 0.5, 0), 1)) AS p, (label < 5)::INTEGER AS y FROM embeddings),
+c AS (SELECT * FROM (VALUES {", ".join(f"({k}, [{', '.join(str(max(v, 0.0)) for v in x)}]::DOUBLE[])" for k, x in _CANDIDATES)}) t(cand_id, w))
+SELECT cand_id::BIGINT AS cand_id, round(1 - avg(((list_inner_product(p, w) / list_sum(w) > 0.5)::INTEGER = y)::INTEGER), 6) AS fitness FROM m, c GROUP BY 1""")
+def ensemble_fitness_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = spark.createDataFrame(_CANDIDATES, "cand_id long, x array<double>")
+    found = objectives.ensemble_errors(_members(spark, sf_dir), batch)
+    return rounded(found.withColumn("cand_id", F.col("cand_id").cast("long")), "fitness")
+
+
+@query("""SELECT cand_id, row_id FROM (SELECT doc_id % 4 AS cand_id, doc_id AS row_id, row_number() OVER (PARTITION BY doc_id % 4
+  ORDER BY quality DESC, md5('7|' || (doc_id % 4) || '|' || doc_id), doc_id) AS nth FROM labels WHERE toxic = 0) WHERE nth <= 20""")
+def undersample_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = table(spark, sf_dir, "labels").where("toxic = 0").select((F.col("doc_id") % 4).alias("cand_id"), F.col("doc_id").alias("row_id"), F.col("quality").alias("bit"))
+    return objectives.undersample_repair(bits, 20, _SEED).select("cand_id", "row_id")
+
+
+@query("SELECT vec_id, unnest(list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0.1::FLOAT)) AS feature FROM embeddings")
+def feature_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = objectives.selected(F.col("embedding"), F.lit(0.1).cast("float"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(mask).alias("feature")).withColumn("feature", F.col("feature").cast("long"))
+
+
+_RUN = "SELECT event_id, user_id, row_number() OVER w AS iter, min(value) OVER (w ROWS UNBOUNDED PRECEDING) AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(_RUN)
+def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.running_best(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", "iter", "best")
+
+
+@query(f"""WITH b AS (SELECT *, coalesce((best < lag(best) OVER (PARTITION BY user_id ORDER BY iter))::INTEGER, 1) AS better FROM ({_RUN})),
+s AS (SELECT *, sum(better) OVER (PARTITION BY user_id ORDER BY iter)::BIGINT AS stall FROM b),
+l AS (SELECT user_id, stall, count(*) - 1 AS length FROM s GROUP BY 1, 2)
+SELECT * FROM (SELECT *, stall = max(stall) OVER (PARTITION BY user_id) AS tail FROM l) WHERE length > 0 OR tail""")
+def stall_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = clean.running_best(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return clean.stall_lengths(series, "user_id").select("user_id", F.col("stall").cast("long").alias("stall"), "length", "tail")
+
+
+for _step in (None, *search.STEPS):
+
+    def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
+        return search.search(spark, step, objectives.sphere, -5.12, 5.12, iterations=6)
+
+    query(name=f"search_{_step or 'random'}")(_search)
