@@ -110,7 +110,7 @@ def search(
         found = initial(spark, runs, size * iterations, dimension, low, high, objective, seed)
         return found.groupBy("run").agg(F.count(F.lit(1)).alias("evals"), F.min("f").alias("best"))
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/evoframe-checkpoints")
-    population = initial(spark, runs, size, dimension, low, high, objective, seed).withColumn("top", F.col("f"))
+    population = initial(spark, runs, size, dimension, low, high, objective, seed).withColumn("top", F.col("f")).checkpoint()
     for i in range(1, iterations):
         moved = STEPS[step](population.select("run", "id", "x", "f"), i, i / iterations, low, high, objective, seed)
         population = moved.join(population.select("run", "id", "top"), ["run", "id"]).withColumn("top", F.least("top", "f"))
