@@ -7,10 +7,12 @@
 3. Members of a band bucket are compared with two members of it, the smallest and the
    largest id. Links are kept if the sets themselves reach the threshold.
 4. Large-star and small-star rounds join links to components.
-5. Where a bucket of three or more still holds several components, every pair of
-   members from different ones is compared, after a check of the minima. Links inside
-   a component cannot change it. So no link between different texts is lost to a
-   group's size, and the work follows the members rather than their pairs.
+5. Where a bucket of three or more still holds several components, the members outside
+   its largest component are compared with all that are in another one; links inside a
+   component cannot change it. Buckets over ``MOST_JOINED`` do so in blocks of bounded
+   size, on the minima, and only pairs that may be links leave a task: first the likeliest
+   partner of each member alone, which joins most of what belongs together, then every
+   pair that is still apart. So no link between different texts is lost to a group's size.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing;
 rows with a null ``doc_id`` stand for themselves (component null, kept); equal rows give
@@ -33,8 +35,10 @@ WIDTH = 5
 BANDS = 40
 ROWS = 5
 SHARED, OF = 75, 100  # linked: OF * intersection >= SHARED * union
-#: Minima that a pair must share before its sets are compared; at 0.75, fewer has a chance under 1e-12.
-LEAST_MINIMA = 90
+#: Minima that a pair must share before its sets are compared; at 0.75, fewer has a chance under 1e-7.
+LEAST_MINIMA = 115
+#: Members of a bucket up to which a plain join pairs them, and those of a block beyond it.
+MOST_JOINED, ASIDE_BLOCK, BLOCK = 32, 128, 256
 
 _LINE = "doc_id long, n_shingles long, set_hash binary, minima binary"
 
@@ -144,6 +148,62 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     )
 
 
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of three or more that hold several components.
+
+    ``main`` is the bucket's largest component, ``aside`` how many members are outside it.
+    """
+    rest = members.where("n > 2").select("bucket", "n", "id").join(found, "id", "left")
+    rest = rest.select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+    parts = rest.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts"))
+    split = split.where("parts > 1").select("bucket", F.col("top.component").alias("main"), (F.col("all") - F.col("top.size")).alias("aside"))
+    return materialize(rest.join(split, "bucket"))
+
+
+def _joined(apart: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` across the components of each bucket of up to ``MOST_JOINED`` members."""
+    few = apart.where(F.col("n") <= MOST_JOINED)
+    one = few.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
+    two = few.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
+    return one.join(two, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _in_blocks(apart: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """Pairs ``a < b`` across the components of each larger bucket that share enough minima.
+
+    ``best``: for each member outside the largest component only its likeliest partner
+    there and its likeliest one elsewhere.
+    """
+    many = apart.where(F.col("n") > MOST_JOINED).join(classes.select("id", "n_shingles", "minima"), "id")
+    many = many.withColumns({"rows": F.ceil(F.col("aside") / ASIDE_BLOCK), "cols": F.ceil(F.col("n") / BLOCK)})
+    rest = ["id", "component", (F.col("component") == F.col("main")).alias("in_main"), "n_shingles", "minima"]
+    row, col = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id, 1), cols)")
+    every_row, every_col = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("rows", "cols"))
+    asides = many.where("component <> main").select("bucket", row.alias("row"), every_col.alias("col"), F.lit(True).alias("first"), *rest)
+    others = many.select("bucket", every_row.alias("row"), col.alias("col"), F.lit(False).alias("first"), *rest)
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        lows = np.frombuffer(b"".join(block.minima), np.uint32).reshape(len(block), -1)
+        ids, component, size, main, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "in_main", "first"))
+        other = np.flatnonzero(~first)
+        o_lows, o_component, o_size, o_main = lows[other], component[other], size[other], main[other]
+        a, b = [], []
+        for i in np.flatnonzero(first):
+            shared = (o_lows == lows[i]).sum(axis=1)
+            sized = (o_size * OF >= size[i] * SHARED) & (size[i] * OF >= o_size * SHARED)
+            near = (shared >= LEAST_MINIMA) & sized & (o_component != component[i])
+            if best:
+                sides = (np.flatnonzero(near & o_main), np.flatnonzero(near & ~o_main))
+                near = [s[np.argmax(shared[s])] for s in sides if len(s)]
+            partners = ids[other[near]]
+            a.append(np.minimum(partners, ids[i]))
+            b.append(np.maximum(partners, ids[i]))
+        return pd.DataFrame({"a": np.concatenate(a or [[]]).astype(np.int64), "b": np.concatenate(b or [[]]).astype(np.int64)})
+
+    return asides.unionByName(others).groupBy("bucket", "row", "col").applyInPandas(compare, "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``id, component`` for every id of the links ``a, b``: the smallest id reachable.
 
@@ -208,18 +268,12 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     links = materialize(_verified(pairs, classes, docs))
     found = materialize(components(links))
 
-    # What the stars left apart: buckets of three or more that hold several components.
-    rest = members.where("n > 2").select("bucket", "id").join(found, "id", "left")
-    rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    split = rest.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    open_members = materialize(rest.join(split.select("bucket"), "bucket"))
-    if not open_members.isEmpty():
-        one = open_members.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-        two = open_members.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-        crossing = one.join(two, "bucket").where("cx < cy")
-        pairs = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = _verified(pairs.join(links, ["a", "b"], "left_anti"), classes, docs)
-        links = materialize(links.unionByName(more))
+    for best in (True, False):
+        apart = _apart(members, found)
+        pairs = _in_blocks(apart, classes, best)
+        if not best:
+            pairs = pairs.unionByName(_joined(apart))
+        links = materialize(links.unionByName(_verified(materialize(pairs.distinct()), classes, docs)))
         found = materialize(components(links))
 
     classed = signed.join(head_ids, "set_hash", "left").join(found, "id", "left")

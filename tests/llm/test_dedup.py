@@ -50,6 +50,27 @@ def test_near_duplicates(spark, request, table):
             assert (r.n_shingles, r.component_id, r.kept) == expected[r.doc_id]
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A large group whose members link only in part, beside some that share a passage alone."""
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for at in draw.choice(120, draw.integers(0, 7), replace=False):
+            words[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(words + [f"y{d}_{k}" for k in range(int(draw.integers(0, 40)))])))
+    expected = brute_near(rows)
+    assert 5 < len({c for _, c, _ in expected.values()}) < 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most, rows_, cols in ((32, 128, 256), (2, 3, 5)):
+        monkeypatch.setattr(minhash, "MOST_JOINED", most)
+        monkeypatch.setattr(minhash, "ASIDE_BLOCK", rows_)
+        monkeypatch.setattr(minhash, "BLOCK", cols)
+        found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+        assert found == expected
+
+
 def test_keep_one(spark, awkward):
     kept = minhash.keep_one(awkward)
     assert kept.columns == awkward.columns
