@@ -204,9 +204,11 @@ def _in_blocks(apart: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
     return asides.unionByName(others).groupBy("bucket", "row", "col").applyInPandas(compare, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, settled: bool = True) -> DataFrame:
     """``id, component`` for every id of the links ``a, b``: the smallest id reachable.
 
+    If not ``settled``, that after ``most_rounds`` rounds: some id of the component.
+
     Alternates large-star (each neighbour that is larger is linked to the smallest
     neighbour) and small-star (each neighbour that is not larger is) until nothing
     changes. Minima are aggregated before the shuffle and joined back, so a node with
@@ -217,7 +219,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    before = state(edges)
+    before = state(edges) if settled else None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -226,12 +228,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct()
         edges = materialize(small)
+        if not settled:
+            continue
         after = state(edges)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        if settled:
+            raise RuntimeError("components did not settle")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+        return both.groupBy(F.col("u").alias("id")).agg(F.min(F.least("u", "v")).alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -266,15 +273,16 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
                                              F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = stars.select("p.*").where("a < b").distinct()
     links = materialize(_verified(pairs, classes, docs))
-    found = materialize(components(links))
 
+    # Until the last links are known, labels need only be alike inside one component.
+    found = materialize(components(links, 2, settled=False))
     for best in (True, False):
         apart = _apart(members, found)
         pairs = _in_blocks(apart, classes, best)
         if not best:
             pairs = pairs.unionByName(_joined(apart))
         links = materialize(links.unionByName(_verified(materialize(pairs.distinct()), classes, docs)))
-        found = materialize(components(links))
+        found = materialize(components(links, 2, settled=False) if best else components(links))
 
     classed = signed.join(head_ids, "set_hash", "left").join(found, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
