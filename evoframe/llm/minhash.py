@@ -6,13 +6,12 @@
    missed with probability 2e-5, at 0.8 with 1e-7.
 3. Members of a band bucket are compared with two members of it, the smallest and the
    largest id. Links are kept if the sets themselves reach the threshold.
-4. Large-star and small-star rounds join links to components.
-5. Where a bucket of three or more still holds several components, the members outside
-   its largest component are compared with all that are in another one; links inside a
-   component cannot change it. Buckets over ``MOST_JOINED`` do so in blocks of bounded
-   size, on the minima, and only pairs that may be links leave a task: first the likeliest
-   partner of each member alone, which joins most of what belongs together, then every
-   pair that is still apart. So no link between different texts is lost to a group's size.
+4. Each linked class gets a label that only its own component has. Where a bucket of
+   three or more still holds several labels, the members outside its commonest one are
+   compared with all of another; links inside a component cannot change it. Buckets over
+   ``MOST_JOINED`` do so in blocks of bounded size, on the minima, and only pairs that may
+   be links leave a task. So no link between different texts is lost to a group's size.
+5. Large-star and small-star rounds join all links to components.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing;
 rows with a null ``doc_id`` stand for themselves (component null, kept); equal rows give
@@ -102,12 +101,8 @@ def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("id", F.explode(keys).alias("bucket"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``a < b`` whose shingle sets reach the threshold.
-
-    First sizes and shared minima are looked at, which needs no text; then the whole
-    sets, made from the texts of the classes that are left.
-    """
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs ``a < b`` whose sizes and shared minima allow a link; needs no text."""
     light = classes.select("id", "n_shingles", "minima")
     left = light.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("minima").alias("m_a"))
     right = light.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("minima").alias("m_b"))
@@ -119,8 +114,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         return batch.loc[((a == b).sum(axis=1) >= LEAST_MINIMA), ["a", "b"]]
 
     near = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "m_a", "m_b")
-    near = materialize(near.mapInPandas(per_batch(alike), "a long, b long"))
+    return near.mapInPandas(per_batch(alike), "a long, b long")
 
+
+def _confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``a < b`` whose whole shingle sets, made from the texts, reach the threshold."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(wanted, "id").dropDuplicates(["id"])
 
@@ -169,15 +167,11 @@ def _joined(apart: DataFrame) -> DataFrame:
     return one.join(two, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _in_blocks(apart: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """Pairs ``a < b`` across the components of each larger bucket that share enough minima.
-
-    ``best``: for each member outside the largest component only its likeliest partner
-    there and its likeliest one elsewhere.
-    """
+def _in_blocks(apart: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` across the components of each larger bucket whose sizes and shared minima allow a link."""
     many = apart.where(F.col("n") > MOST_JOINED).join(classes.select("id", "n_shingles", "minima"), "id")
     many = many.withColumns({"rows": F.ceil(F.col("aside") / ASIDE_BLOCK), "cols": F.ceil(F.col("n") / BLOCK)})
-    rest = ["id", "component", (F.col("component") == F.col("main")).alias("in_main"), "n_shingles", "minima"]
+    rest = ["id", "component", "n_shingles", "minima"]
     row, col = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id, 1), cols)")
     every_row, every_col = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("rows", "cols"))
     asides = many.where("component <> main").select("bucket", row.alias("row"), every_col.alias("col"), F.lit(True).alias("first"), *rest)
@@ -185,17 +179,14 @@ def _in_blocks(apart: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         lows = np.frombuffer(b"".join(block.minima), np.uint32).reshape(len(block), -1)
-        ids, component, size, main, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "in_main", "first"))
+        ids, component, size, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "first"))
         other = np.flatnonzero(~first)
-        o_lows, o_component, o_size, o_main = lows[other], component[other], size[other], main[other]
+        o_lows, o_component, o_size = lows[other], component[other], size[other]
         a, b = [], []
         for i in np.flatnonzero(first):
             shared = (o_lows == lows[i]).sum(axis=1)
             sized = (o_size * OF >= size[i] * SHARED) & (size[i] * OF >= o_size * SHARED)
             near = (shared >= LEAST_MINIMA) & sized & (o_component != component[i])
-            if best:
-                sides = (np.flatnonzero(near & o_main), np.flatnonzero(near & ~o_main))
-                near = [s[np.argmax(shared[s])] for s in sides if len(s)]
             partners = ids[other[near]]
             a.append(np.minimum(partners, ids[i]))
             b.append(np.maximum(partners, ids[i]))
@@ -204,10 +195,20 @@ def _in_blocks(apart: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
     return asides.unionByName(others).groupBy("bucket", "row", "col").applyInPandas(compare, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60, settled: bool = True) -> DataFrame:
-    """``id, component`` for every id of the links ``a, b``: the smallest id reachable.
+def _labels(links: DataFrame) -> DataFrame:
+    """``id, component`` for every id of the links ``a, b``: some id that is reachable.
 
-    If not ``settled``, that after ``most_rounds`` rounds: some id of the component.
+    The smallest neighbour's smallest neighbour: equal labels prove one component, different
+    ones may still lie in one. Minima are aggregated before the shuffle.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    next_low = low.select(F.col("u").alias("m"), F.col("m").alias("component"))
+    return low.join(next_low, "m").select(F.col("u").alias("id"), "component")
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``id, component`` for every id of the links ``a, b``: the smallest id reachable.
 
     Alternates large-star (each neighbour that is larger is linked to the smallest
     neighbour) and small-star (each neighbour that is not larger is) until nothing
@@ -219,26 +220,21 @@ def components(links: DataFrame, most_rounds: int = 60, settled: bool = True) ->
     def state(e: DataFrame) -> tuple:
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    before = state(edges) if settled else None
+    before = state(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct()
         edges = materialize(small)
-        if not settled:
-            continue
         after = state(edges)
         if after == before:
             break
         before = after
     else:
-        if settled:
-            raise RuntimeError("components did not settle")
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
-        return both.groupBy(F.col("u").alias("id")).agg(F.min(F.least("u", "v")).alias("component"))
+        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -256,33 +252,22 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     docs = documents_of(docs, "doc_id", "text")
     signed = materialize(signatures(docs, bands, rows))
     real = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    heads = real.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    head_ids = materialize(heads)
-    classes = materialize(
-        real.join(head_ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("id"), "n_shingles", "minima")
-        .dropDuplicates(["id"])
-    )
+    head = F.min_by(F.struct(F.col("doc_id").alias("id"), "n_shingles", "minima"), "doc_id").alias("head")
+    classes = materialize(real.groupBy("set_hash").agg(head).select("set_hash", "head.*"))
+    head_ids = classes.select("set_hash", "id")
 
     banded = _bands(classes, bands, rows)
-    buckets = materialize(
-        banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
-    )
+    buckets = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, "bucket").select("bucket", "id", "low", "high", "n"))
     stars = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")),
                                              F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = stars.select("p.*").where("a < b").distinct()
-    links = materialize(_verified(pairs, classes, docs))
-
-    # Until the last links are known, labels need only be alike inside one component.
-    found = materialize(components(links, 2, settled=False))
-    for best in (True, False):
-        apart = _apart(members, found)
-        pairs = _in_blocks(apart, classes, best)
-        if not best:
-            pairs = pairs.unionByName(_joined(apart))
-        links = materialize(links.unionByName(_verified(materialize(pairs.distinct()), classes, docs)))
-        found = materialize(components(links, 2, settled=False) if best else components(links))
+    links = materialize(_confirmed(materialize(_alike(pairs, classes)), docs))
+
+    apart = _apart(members, _labels(links))
+    near = _in_blocks(apart, classes).unionByName(_alike(_joined(apart).distinct(), classes))
+    links = links.unionByName(_confirmed(materialize(near.distinct()), docs))
+    found = materialize(components(links))
 
     classed = signed.join(head_ids, "set_hash", "left").join(found, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
