@@ -8,9 +8,10 @@
    largest id. Links are kept if the sets themselves reach the threshold.
 4. Each linked class gets a label that only its own component has. Where a bucket of
    three or more still holds several labels, the members outside its commonest one are
-   compared with all of another; links inside a component cannot change it. Buckets over
-   ``MOST_JOINED`` do so in blocks of bounded size, on the minima, and only pairs that may
-   be links leave a task. So no link between different texts is lost to a group's size.
+   compared with all of another on the minima, in blocks of bounded size. What may be
+   linked with a component is then compared with all its members on the whole sets, in
+   blocks again. No pair leaves a block but one link for each class and component found
+   linked, so no link between different texts is lost to a group's size.
 5. Large-star and small-star rounds join all links to components.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing;
@@ -36,8 +37,8 @@ ROWS = 5
 SHARED, OF = 75, 100  # linked: OF * intersection >= SHARED * union
 #: Minima that a pair must share before its sets are compared; at 0.75, fewer has a chance under 1e-7.
 LEAST_MINIMA = 115
-#: Members of a bucket up to which a plain join pairs them, and those of a block beyond it.
-MOST_JOINED, ASIDE_BLOCK, BLOCK = 32, 128, 256
+#: Rows of either side that are compared in one block.
+ASIDE_BLOCK, BLOCK = 128, 256
 
 _LINE = "doc_id long, n_shingles long, set_hash binary, minima binary"
 
@@ -117,15 +118,19 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.mapInPandas(per_batch(alike), "a long, b long")
 
 
-def _confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``a < b`` whose whole shingle sets, made from the texts, reach the threshold."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(wanted, "id").dropDuplicates(["id"])
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, shingles``: the whole shingle set of each of the distinct ``ids``, made from its text."""
+    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(ids, "id").dropDuplicates(["id"])
 
     def make(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": batch.id, "shingles": [shingle_set(t).tobytes() for t in batch.text]})
 
-    sets = materialize(texts.mapInPandas(per_batch(make), "id long, shingles binary"), "lz4")
+    return materialize(texts.mapInPandas(per_batch(make), "id long, shingles binary"), "lz4")
+
+
+def _confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``a < b`` whose whole shingle sets reach the threshold."""
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
 
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         keep, last, last_set = [], None, None
@@ -159,40 +164,77 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(rest.join(split, "bucket"))
 
 
-def _joined(apart: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` across the components of each bucket of up to ``MOST_JOINED`` members."""
-    few = apart.where(F.col("n") <= MOST_JOINED)
-    one = few.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    two = few.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-    return one.join(two, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows with ``row, col, first``: blocks that bring each row of ``left`` together with each of ``right`` of its key.
+
+    Both have ``id`` and the same further columns, and ``lefts`` and ``rights``, the rows of
+    their key. A block holds about ``ASIDE_BLOCK`` rows of ``left`` (``first`` is true) and ``BLOCK`` of ``right``.
+    """
+    rows, cols = F.ceil(F.col("lefts") / ASIDE_BLOCK), F.ceil(F.col("rights") / BLOCK)
+    one = left.withColumns({"row": F.pmod(F.xxhash64("id"), rows), "col": F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)), "first": F.lit(True)})
+    two = right.withColumns({"row": F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)), "col": F.pmod(F.xxhash64("id", F.lit(1)), cols), "first": F.lit(False)})
+    return one.unionByName(two).drop("lefts", "rights")
 
 
-def _in_blocks(apart: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` across the components of each larger bucket whose sizes and shared minima allow a link."""
-    many = apart.where(F.col("n") > MOST_JOINED).join(classes.select("id", "n_shingles", "minima"), "id")
-    many = many.withColumns({"rows": F.ceil(F.col("aside") / ASIDE_BLOCK), "cols": F.ceil(F.col("n") / BLOCK)})
-    rest = ["id", "component", "n_shingles", "minima"]
-    row, col = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id, 1), cols)")
-    every_row, every_col = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("rows", "cols"))
-    asides = many.where("component <> main").select("bucket", row.alias("row"), every_col.alias("col"), F.lit(True).alias("first"), *rest)
-    others = many.select("bucket", every_row.alias("row"), col.alias("col"), F.lit(False).alias("first"), *rest)
+def _candidates(apart: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, component`` where the class may be linked with a class of that other component.
+
+    By sizes and shared minima, within the buckets of ``apart``; the pairs themselves stay in their block.
+    """
+    many = apart.join(classes.select("id", "n_shingles", "minima"), "id")
+    many = many.withColumns({"lefts": F.col("aside"), "rights": F.col("n"), "in_main": F.col("component") == F.col("main")}).drop("main", "aside", "n")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         lows = np.frombuffer(b"".join(block.minima), np.uint32).reshape(len(block), -1)
-        ids, component, size, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "first"))
+        ids, component, size, main, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "in_main", "first"))
         other = np.flatnonzero(~first)
-        o_lows, o_component, o_size = lows[other], component[other], size[other]
-        a, b = [], []
+        o_lows, o_component, o_size, o_main = lows[other], component[other], size[other], main[other]
+        found_id, found = [], []
         for i in np.flatnonzero(first):
-            shared = (o_lows == lows[i]).sum(axis=1)
-            sized = (o_size * OF >= size[i] * SHARED) & (size[i] * OF >= o_size * SHARED)
-            near = (shared >= LEAST_MINIMA) & sized & (o_component != component[i])
-            partners = ids[other[near]]
-            a.append(np.minimum(partners, ids[i]))
-            b.append(np.maximum(partners, ids[i]))
-        return pd.DataFrame({"a": np.concatenate(a or [[]]).astype(np.int64), "b": np.concatenate(b or [[]]).astype(np.int64)})
+            facing = (o_component != component[i]) & (o_main | (o_component < component[i]))  # of two asides, one looks at the other
+            facing &= (o_size * OF >= size[i] * SHARED) & (size[i] * OF >= o_size * SHARED)
+            facing = np.flatnonzero(facing)
+            reached = np.unique(o_component[facing[(o_lows[facing] == lows[i]).sum(axis=1) >= LEAST_MINIMA]])
+            found_id += [ids[i]] * len(reached)
+            found += reached.tolist()
+        return pd.DataFrame({"id": np.array(found_id, np.int64), "component": np.array(found, np.int64)})
 
-    return asides.unionByName(others).groupBy("bucket", "row", "col").applyInPandas(compare, "a long, b long")
+    blocks = _in_blocks(many.where("NOT in_main"), many)
+    return blocks.groupBy("bucket", "row", "col").applyInPandas(compare, "id long, component long").distinct()
+
+
+def _reached(candidates: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a < b`` of each candidate whose whole set reaches the threshold with that of a member of the component.
+
+    One link to the component's label stands for all links into it.
+    """
+    targets = candidates.groupBy("component").agg(F.count("*").alias("lefts"))
+    members = labels.select("id", "component").unionByName(targets.select(F.col("component").alias("id"), "component")).distinct()
+    sizes = members.join(targets, "component").groupBy("component").agg(F.first("lefts").alias("lefts"), F.count("*").alias("rights"))
+    sizes = materialize(sizes)
+    left, right = (t.join(sizes, "component").select("component", "id", "lefts", "rights") for t in (candidates, members))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in block.shingles]
+        size, first = np.array([len(x) for x in sets]), block["first"].to_numpy()
+        other = np.flatnonzero(~first)
+        hit = []
+        for i in np.flatnonzero(first):
+            sized = other[(size[other] * OF >= size[i] * SHARED) & (size[i] * OF >= size[other] * SHARED)]
+            if not len(sized):
+                continue
+            theirs = np.concatenate([sets[j] for j in sized])
+            at = np.searchsorted(sets[i], theirs)
+            at[at == size[i]] = 0
+            shared = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(size[sized]) - size[sized])
+            if (OF * shared >= SHARED * (size[i] + size[sized] - shared)).any():
+                hit.append(i)
+        ids, component = block.id.to_numpy()[hit], block.component.to_numpy()[hit]
+        return pd.DataFrame({"a": np.minimum(ids, component), "b": np.maximum(ids, component)})
+
+    blocks = materialize(_in_blocks(left, right))
+    sets = _sets(blocks.select("id").distinct(), docs)
+    return blocks.join(sets, "id").groupBy("component", "row", "col").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -264,9 +306,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     pairs = stars.select("p.*").where("a < b").distinct()
     links = materialize(_confirmed(materialize(_alike(pairs, classes)), docs))
 
-    apart = _apart(members, _labels(links))
-    near = _in_blocks(apart, classes).unionByName(_alike(_joined(apart).distinct(), classes))
-    links = links.unionByName(_confirmed(materialize(near.distinct()), docs))
+    labels = materialize(_labels(links))
+    candidates = materialize(_candidates(_apart(members, labels), classes))
+    links = links.unionByName(_reached(candidates, labels, docs))
     found = materialize(components(links))
 
     classed = signed.join(head_ids, "set_hash", "left").join(found, "id", "left")

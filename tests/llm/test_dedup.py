@@ -63,8 +63,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     expected = brute_near(rows)
     assert 5 < len({c for _, c, _ in expected.values()}) < 80
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for most, rows_, cols in ((32, 128, 256), (2, 3, 5)):
-        monkeypatch.setattr(minhash, "MOST_JOINED", most)
+    for rows_, cols in ((128, 256), (3, 5)):
         monkeypatch.setattr(minhash, "ASIDE_BLOCK", rows_)
         monkeypatch.setattr(minhash, "BLOCK", cols)
         found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
