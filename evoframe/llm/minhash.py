@@ -21,8 +21,6 @@ equal result rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
