@@ -14,6 +14,10 @@ from evoframe.llm import minhash, mixing, packing, pii, quality
 from evoframe.llm._common import materialize
 
 
+#: Target weight of each source; without it, those of ``mixing.mixed``.
+WEIGHTS: dict[str | None, float] | None = None
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go; the labels of ``sf_dir`` name the trusted ones."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,12 +36,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, weights=WEIGHTS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place there."""
-    return packing.packing_digest(docs)
+    """The pieces of all documents, each with its sequence and place there, in the order of the mixture."""
+    return packing.mixed_packing_digest(docs, weights=WEIGHTS)
 
 
 STAGES = [

@@ -9,19 +9,22 @@ ranges of ranks within a length; each piece finds its own from its rank.
 
 Defined results: a null or empty text is the single end id; a null ``doc_id`` is kept as
 null; equal rows are packed each on its own; no rows give no rows; other columns are
-ignored.
+ignored. ``mixed_packing_digest`` ranks the pieces of a length by their documents' place in
+the mixture, and numbers sequences by the earliest place they hold.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.llm import mixing
 from evoframe.llm._common import documents_of, materialize, per_batch, shuffle_partitions, text_of
 from evoframe.llm._encode import encoder, tokenizer_path
 
@@ -30,6 +33,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+SUMS = "doc_id long, source string, doc_tokens long, sums array<long>"
 
 
 def tokenize_pieces(
@@ -53,6 +57,24 @@ def tokenize_pieces(
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(per_batch(cut), PIECES)
 
 
+def tokenize_sums(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_id: int = END_ID, word_ends: bool = True) -> DataFrame:
+    """One row for each document: its source, its number of ids and the checksums of its pieces in turn."""
+    path = tokenizer_path(tokenizer)
+    end = int(end_id).to_bytes(4, "little")
+
+    def add_up(batch: pd.DataFrame) -> pd.DataFrame:
+        coder, rows = encoder(path, word_ends), []
+        for at in range(0, len(batch), 500):
+            some = batch.iloc[at : at + 500]
+            for doc_id, source, ids in zip(some.doc_id, some.source, coder.encode(list(some.text))):
+                ids += end
+                n = len(ids) // 4
+                rows.append((doc_id, source, n, [zlib.crc32(ids[4 * k : 4 * (k + window)]) for k in range(0, n, window)]))
+        return pd.DataFrame(rows, columns=["doc_id", "source", "doc_tokens", "sums"]).astype({"doc_id": "Int64"})
+
+    return docs.select("doc_id", "source", text_of().alias("text")).mapInPandas(per_batch(add_up), SUMS)
+
+
 class CapacityTree:
     """A segment tree over capacities 0..size; finds the smallest non-empty one that suffices."""
 
@@ -127,16 +149,31 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[Placement]
     return placed
 
 
-def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+def cuts_of(rows: DataFrame, column: str, parts: int) -> list:
+    """Values that cut the rows into about equal ranges of a column, at most ``parts - 1``."""
+    found = rows.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)])).first()[0] if parts > 1 else None
+    return sorted(set(found or ()))
+
+
+def range_of(column: Column, cuts: list) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < column)).cast("long") if cuts else F.lit(0).cast("long")
+
+
+def pack_pieces(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``start`` and ``length``.
 
     ``pieces`` is read three times, so it should be a written table. Ranks within a
     length come from ranks within (length, bucket) and the buckets' counts: a length
     that a third of all pieces share is spread over all buckets.
+
+    With ``order``, columns that place a document before others, the first a number, the
+    buckets are ranges of that number, so ranks within a length follow ``order`` over the
+    whole table whatever the cuts; sequences are then numbered by the first piece they hold.
     """
     spark = pieces.sparkSession
     buckets = shuffle_partitions(spark)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    cuts = cuts_of(pieces, order[0], buckets) if order else []
+    pieces = pieces.withColumn("bucket", range_of(F.col(order[0]), cuts) if order else F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     counts = materialize(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `window` rows
     plan = sorted(best_fit_decreasing({r.length: r.n for r in totals}, window), key=lambda p: (p.length, p.rank))
@@ -146,7 +183,7 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "bucket").orderBy(*order, "doc_id", "start")
     ranked = (
         pieces.withColumn("own_rank", F.row_number().over(own) - 1)
         .join(bases, ["length", "bucket"])
@@ -164,7 +201,25 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("piece_rank").schema.fields)
-    return ranked.mapInPandas(per_batch(place), f"{schema}, sequence_id long, offset long")
+    placed = ranked.mapInPandas(per_batch(place), f"{schema}, sequence_id long, offset long")
+    return numbered_by(materialize(placed), order, cuts) if order else placed
+
+
+def numbered_by(placed: DataFrame, order: tuple[str, ...], cuts: list) -> DataFrame:
+    """``placed`` with sequences numbered from 0 by the least ``order`` and ``start`` among their pieces."""
+    heads = placed.groupBy("sequence_id").agg(F.min(F.struct(*order, "start")).alias("head"))
+    heads = materialize(heads.withColumn("bucket", range_of(F.col(f"head.{order[0]}"), cuts)))
+    counts = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each range
+    before, bases = 0, []
+    for r in sorted(counts, key=lambda r: r.bucket):
+        bases.append((r.bucket, before))
+        before += r.n
+    bases = placed.sparkSession.createDataFrame(bases, "bucket long, before long")
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("head", "sequence_id")) - 1
+    numbers = heads.withColumn("nth", nth).join(F.broadcast(bases), "bucket")
+    numbers = numbers.select("sequence_id", (F.col("before") + F.col("nth")).cast("long").alias("number"))
+    named = placed.join(numbers, "sequence_id")
+    return named.select(*[(F.col("number") if c == "sequence_id" else F.col(f"`{c}`")).alias(c) for c in placed.columns])
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -178,3 +233,17 @@ def packing_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     digests = materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
     packed = pack_pieces(digests, window)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def mixed_packing_digest(docs: DataFrame, window: int = WINDOW, **mixture) -> DataFrame:
+    """As ``packing_digest``, with the mixture of ``mixing.mixed`` as the order of packing.
+
+    Places are worked out on one small row for each document, so no text is shuffled.
+    """
+    sums = materialize(tokenize_sums(documents_of(docs, "doc_id", "source", "text"), window))
+    order = ("mix_slot", "mix_offset")
+    pieces = mixing.mixed(sums, **mixture).select("doc_id", "doc_tokens", *order, F.posexplode("sums").alias("nth", "ids_crc32"))
+    pieces = pieces.withColumn("start", F.col("nth").cast("long") * window)
+    pieces = pieces.withColumn("length", F.least(F.lit(window).cast("long"), F.col("doc_tokens") - F.col("start"))).drop("nth")
+    packed = pack_pieces(materialize(pieces), window, order)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
