@@ -39,15 +39,35 @@ def cold_split(pairs: DataFrame, drug: str, target: str, test_size: float = 0.2,
     return marked.withColumn("split", split).drop(*[f"_out{k}" for k in range(len(sides))])
 
 
+def every_pair(drugs: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """Each row of ``drugs`` with each row of ``targets``, by one equality join.
+
+    Targets are dealt to blocks by hash and the drugs are copied to every block, as many
+    as there are shuffle partitions, so both sides may grow. The number of partitions is
+    given, since by their bytes the few rows before the join would be read by one task.
+    """
+    blocks = max(1, int(drugs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    copies = drugs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = targets.withColumn("_block", F.pmod(F.xxhash64(target), F.lit(blocks)).cast("int"))
+    return copies.repartition(blocks, "_block").join(dealt.repartition(blocks, "_block"), "_block").drop("_block")
+
+
+def cells(pairs: DataFrame, drug: str, target: str) -> DataFrame:
+    """``drug, target, cell``: every drug with every target, 1 where the pair is known and else 0."""
+    known = pairs.select(drug, target).distinct()
+    made = every_pair(known.select(drug).distinct(), known.select(target).distinct(), target)
+    return made.join(known.withColumn("cell", F.lit(1).cast("long")), [drug, target], "left").fillna(0, ["cell"])
+
+
 def with_negatives(positives: DataFrame, drug: str, target: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """``drug, target, label``: the distinct positives and a sample of the pairs that are none.
 
-    The complement is made by one equality join for each block of targets: every drug is
+    The complement is made by one equality join over blocks of targets: every drug is
     paired with every target because that is what is asked for, and it is sampled at once.
     """
     known = positives.select(drug, target).distinct()
     drugs, targets = known.select(drug).distinct(), known.select(target).distinct()
-    others = drugs.crossJoin(targets).join(known, [drug, target], "left_anti")
+    others = every_pair(drugs, targets, target).join(known, [drug, target], "left_anti")
     n = known.count()
     wanted = min(round(ratio * n), drugs.count() * targets.count() - n)
     sampled = first_by_hash(others, wanted, seed, drug, target) if wanted else others.limit(0)
