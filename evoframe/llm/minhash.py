@@ -3,7 +3,7 @@
 1. Each text becomes the set of its 5-word shingles (64-bit hashes). Texts with equal
    sets are one class, so a group of copies costs one row from here on.
 2. 200 universal hash minima per class, in 40 bands of 5. At similarity 0.75 a link is
-   missed with probability 2e-5, at 0.8 with 1e-7.
+   missed with probability 2e-5, at 0.8 with 1e-7. Of each minimum 16 bits are kept.
 3. Members of a band bucket are compared with two members of it, the smallest and the
    largest id. Links are kept if the sets themselves reach the threshold.
 4. Each linked class gets a label that only its own component has. Where a bucket of
@@ -14,36 +14,53 @@
    linked, so no link between different texts is lost to a group's size.
 5. Large-star and small-star rounds join all links to components.
 
+Classes without a partner, buckets of one and texts that need no check are the bulk of a
+corpus. A filter of bits (``likely_in``) keeps them out of every shuffle but the two that
+find classes and buckets.
+
 Defined results: null, empty or blank texts have an empty set and link with nothing;
 rows with a null ``doc_id`` stand for themselves (component null, kept); equal rows give
-equal result rows; other columns are ignored.
+equal result rows; very long texts are read whole, a few at a time; no rows give no rows;
+other columns are ignored, and ``keep_one`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm._common import documents_of, materialize, per_batch, text_of
-from evoframe.llm._words import mixed, word_hashes
+from evoframe.llm._common import documents_of, in_slices, likely_in, materialize, packed, per_batch, text_of, unpacked
+from evoframe.llm._words import mixed, words_of_each
 
 WIDTH = 5
 BANDS = 40
 ROWS = 5
 SHARED, OF = 75, 100  # linked: OF * intersection >= SHARED * union
-#: Minima that a pair must share before its sets are compared; at 0.75, fewer has a chance under 1e-7.
-LEAST_MINIMA = 115
+#: The chance that the shared minima of two texts at the threshold are too few to compare their sets.
+MISSED = 1e-7
 #: Rows of either side that are compared in one block.
 ASIDE_BLOCK, BLOCK = 128, 256
 
 _LINE = "doc_id long, n_shingles long, set_hash binary, minima binary"
 
 
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles."""
-    words = word_hashes(text.encode("utf-8", "surrogatepass").lower().split())
+def least_minima(n: int) -> int:
+    """How many of ``n`` minima a pair must share before its sets are compared: at the threshold, fewer has a chance of ``MISSED`` at most."""
+    p, below = SHARED / OF, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     if not len(words):
         return words
     n = max(1, len(words) - width + 1)
@@ -53,12 +70,17 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(total)
 
 
+def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles."""
+    return [_shingles(words, width) for words in words_of_each([t.encode("utf-8", "surrogatepass").lower() for t in texts])]
+
+
 def minima(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """Minima of ``bands * rows`` multiply-add hashes for each non-empty set, as uint32."""
+    """16 bits of the minima of ``bands * rows`` multiply-add hashes for each non-empty set."""
     draw = np.random.default_rng(20240607)
     factors = draw.integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     addends = draw.integers(1 << 63, size=bands * rows, dtype=np.uint64)
-    out = np.empty((len(sets), bands * rows), np.uint32)
+    out = np.empty((len(sets), bands * rows), np.uint16)
     at = 0
     while at < len(sets):  # a few ten thousand shingles at a time stay in cache
         end, n = at, 0
@@ -76,31 +98,30 @@ def minima(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, set_hash, minima`` for each row; the last two null for an empty set."""
 
-    def sign(batch: pd.DataFrame) -> pd.DataFrame:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        sizes, hashes, lows = [], [], []
-        for at in range(0, len(batch), 256):
-            sets = [shingle_set(t) for t in batch.text.iloc[at : at + 256]]
+        for batch in in_slices(batches):
+            sets = shingle_sets(batch.column("text").to_pylist())
             found = iter(minima([s for s in sets if len(s)], bands, rows))
-            sizes += map(len, sets)
-            hashes += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            lows += [next(found).tobytes() if len(s) else None for s in sets]
-        return pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_shingles": sizes, "set_hash": hashes, "minima": lows})
+            hashes = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+            lows = [next(found).tobytes() if len(s) else None for s in sets]
+            values = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.binary()), pa.array(lows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "n_shingles", "set_hash", "minima"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(per_batch(sign), _LINE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(sign, _LINE)
 
 
 def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """One row for each class and band: ``bucket, id``."""
-    width = 4 * rows
+    width = 2 * rows
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("minima"), k * width + 1, F.lit(width)))
     )
     return classes.select("id", F.explode(keys).alias("bucket"))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Those of the pairs ``a < b`` whose sizes and shared minima allow a link; needs no text."""
     light = classes.select("id", "n_shingles", "minima")
     left = light.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("minima").alias("m_a"))
@@ -108,9 +129,9 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sized = (F.col("n_a") * OF >= F.col("n_b") * SHARED) & (F.col("n_b") * OF >= F.col("n_a") * SHARED)
 
     def alike(batch: pd.DataFrame) -> pd.DataFrame:
-        a = np.frombuffer(b"".join(batch.m_a), np.uint32).reshape(len(batch), -1)
-        b = np.frombuffer(b"".join(batch.m_b), np.uint32).reshape(len(batch), -1)
-        return batch.loc[((a == b).sum(axis=1) >= LEAST_MINIMA), ["a", "b"]]
+        a = np.frombuffer(b"".join(batch.m_a), np.uint16).reshape(len(batch), -1)
+        b = np.frombuffer(b"".join(batch.m_b), np.uint16).reshape(len(batch), -1)
+        return batch.loc[((a == b).sum(axis=1) >= least), ["a", "b"]]
 
     near = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "m_a", "m_b")
     return near.mapInPandas(per_batch(alike), "a long, b long")
@@ -118,12 +139,15 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """``id, shingles``: the whole shingle set of each of the distinct ``ids``, made from its text."""
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(ids, "id").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where("id IS NOT NULL")
+    texts = likely_in(texts, "id", ids, "id").join(ids, "id").dropDuplicates(["id"])
 
-    def make(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": batch.id, "shingles": [shingle_set(t).tobytes() for t in batch.text]})
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return materialize(texts.mapInPandas(per_batch(make), "id long, shingles binary"), "lz4")
+    return materialize(texts.select("id", "text").mapInArrow(make, "id long, shingles binary"), "lz4")
 
 
 def _confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
@@ -174,7 +198,7 @@ def _in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(two).drop("lefts", "rights")
 
 
-def _candidates(apart: DataFrame, classes: DataFrame) -> DataFrame:
+def _candidates(apart: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """``id, component`` where the class may be linked with a class of that other component.
 
     By sizes and shared minima, within the buckets of ``apart``; the pairs themselves stay in their block.
@@ -183,7 +207,7 @@ def _candidates(apart: DataFrame, classes: DataFrame) -> DataFrame:
     many = many.withColumns({"lefts": F.col("aside"), "rights": F.col("n"), "in_main": F.col("component") == F.col("main")}).drop("main", "aside", "n")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        lows = np.frombuffer(b"".join(block.minima), np.uint32).reshape(len(block), -1)
+        lows = np.frombuffer(b"".join(block.minima), np.uint16).reshape(len(block), -1)
         ids, component, size, main, first = (block[c].to_numpy() for c in ("id", "component", "n_shingles", "in_main", "first"))
         other = np.flatnonzero(~first)
         o_lows, o_component, o_size, o_main = lows[other], component[other], size[other], main[other]
@@ -192,7 +216,7 @@ def _candidates(apart: DataFrame, classes: DataFrame) -> DataFrame:
             facing = (o_component != component[i]) & (o_main | (o_component < component[i]))  # of two asides, one looks at the other
             facing &= (o_size * OF >= size[i] * SHARED) & (size[i] * OF >= o_size * SHARED)
             facing = np.flatnonzero(facing)
-            reached = np.unique(o_component[facing[(o_lows[facing] == lows[i]).sum(axis=1) >= LEAST_MINIMA]])
+            reached = np.unique(o_component[facing[(o_lows[facing] == lows[i]).sum(axis=1) >= least]])
             found_id += [ids[i]] * len(reached)
             found += reached.tolist()
         return pd.DataFrame({"id": np.array(found_id, np.int64), "component": np.array(found, np.int64)})
@@ -247,21 +271,22 @@ def _labels(links: DataFrame) -> DataFrame:
     return low.join(next_low, "m").select(F.col("u").alias("id"), "component")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id of the links ``a, b``: the smallest id reachable.
 
     Alternates large-star (each neighbour that is larger is linked to the smallest
     neighbour) and small-star (each neighbour that is not larger is) until nothing
-    changes. Minima are aggregated before the shuffle and joined back, so a node with
-    very many neighbours is never one task's.
+    changes, in rounds that follow the logarithm of the links. Minima are aggregated
+    before the shuffle and joined back, so a node with very many neighbours is never one
+    task's.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def state(e: DataFrame) -> tuple:
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = state(edges)
-    for _ in range(most_rounds):
+    before = None
+    while before != (before := state(edges)):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -269,27 +294,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct()
         edges = materialize(small)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
 def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns they have; of equal rows each."""
-    kept = near_duplicates(docs, bands, rows).where(F.col("kept") & F.col("doc_id").isNotNull())
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that are kept, with the columns they have, whatever their names; of equal rows each.
+
+    Rows with a null ``doc_id`` stay.
+    """
+    any_kept = near_duplicates(docs, bands, rows).groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or("kept").alias("any_kept"))
+    gone = any_kept.where(~F.col("any_kept")).select("gone_id")
+    marked = packed(docs, "doc_id")
+    return unpacked(marked.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"), docs.columns)
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
-    docs = documents_of(docs, "doc_id", "text")
+    docs, least = documents_of(docs, "doc_id", "text"), least_minima(bands * rows)
     signed = materialize(signatures(docs, bands, rows))
     real = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     head = F.min_by(F.struct(F.col("doc_id").alias("id"), "n_shingles", "minima"), "doc_id").alias("head")
@@ -298,18 +321,20 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
     banded = _bands(classes, bands, rows)
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(banded.join(buckets, "bucket").select("bucket", "id", "low", "high", "n"))
+    buckets = materialize(buckets)
+    members = materialize(likely_in(banded, "bucket", buckets, "bucket").join(buckets, "bucket").select("bucket", "id", "low", "high", "n"))
     stars = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")),
                                              F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    pairs = stars.select("p.*").where("a < b").distinct()
-    links = materialize(_confirmed(materialize(_alike(pairs, classes)), docs))
+    pairs = materialize(stars.select("p.*").where("a < b").distinct())
+    met = materialize(likely_in(classes, "id", members, "id").select("id", "n_shingles", "minima"))
+    links = materialize(_confirmed(materialize(_alike(pairs, met, least)), docs))
 
     labels = materialize(_labels(links))
-    candidates = materialize(_candidates(_apart(members, labels), classes))
+    candidates = materialize(_candidates(_apart(members, labels), met, least))
     links = links.unionByName(_reached(candidates, labels, docs))
     found = materialize(components(links))
 
-    classed = signed.join(head_ids, "set_hash", "left").join(found, "id", "left")
+    classed = signed.select("doc_id", "n_shingles", "set_hash").join(head_ids, "set_hash", "left").join(found, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), component)
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.llm import mixing
-from evoframe.llm._common import documents_of, materialize, per_batch, shuffle_partitions, text_of
+from evoframe.llm._common import arrow_rows, documents_of, materialize, per_batch, per_slice, shuffle_partitions, text_of
 from evoframe.llm._encode import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -41,38 +42,32 @@ def tokenize_pieces(
 ) -> DataFrame:
     """Each document's ids (little-endian unsigned 32 bit) with the end id, cut into pieces of at most ``window``."""
     path = tokenizer_path(tokenizer)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
 
-    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder, rows = encoder(path, word_ends), []
-        for at in range(0, len(batch), 500):
-            some = batch.iloc[at : at + 500]
-            for doc_id, ids in zip(some.doc_id, coder.encode(list(some.text))):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc_id, k, min(window, n - k), ids[4 * k : 4 * (k + window)], n) for k in range(0, n, window)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-        return out.astype({"doc_id": "Int64"})
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
+            ids = np.append(ids, end).astype("<u4")
+            n = len(ids)
+            rows += [(doc_id, k, min(window, n - k), ids[k : k + window].tobytes(), n) for k in range(0, n, window)]
+        return arrow_rows(rows, {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64()})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(per_batch(cut), PIECES)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(per_slice(cut), PIECES)
 
 
 def tokenize_sums(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_id: int = END_ID, word_ends: bool = True) -> DataFrame:
     """One row for each document: its source, its number of ids and the checksums of its pieces in turn."""
     path = tokenizer_path(tokenizer)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
 
-    def add_up(batch: pd.DataFrame) -> pd.DataFrame:
+    def add_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder, rows = encoder(path, word_ends), []
-        for at in range(0, len(batch), 500):
-            some = batch.iloc[at : at + 500]
-            for doc_id, source, ids in zip(some.doc_id, some.source, coder.encode(list(some.text))):
-                ids += end
-                n = len(ids) // 4
-                rows.append((doc_id, source, n, [zlib.crc32(ids[4 * k : 4 * (k + window)]) for k in range(0, n, window)]))
-        return pd.DataFrame(rows, columns=["doc_id", "source", "doc_tokens", "sums"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "source", text_of().alias("text")).mapInPandas(per_batch(add_up), SUMS)
+        for doc_id, source, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source")), coder.encode(batch.column("text").to_pylist())):
+            ids = np.append(ids, end).astype("<u4")
+            rows.append((doc_id, source, len(ids), [zlib.crc32(ids[k : k + window]) for k in range(0, len(ids), window)]))
+        return arrow_rows(rows, {"doc_id": pa.int64(), "source": pa.string(), "doc_tokens": pa.int64(), "sums": pa.list_(pa.int64())})
+
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), text_of().alias("text")).mapInArrow(per_slice(add_up), SUMS)
 
 
 class CapacityTree:

@@ -20,12 +20,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evoframe.llm._common import documents_of, materialize, shared_dir, text_of
+from evoframe.llm._common import documents_of, in_slices, materialize, shared_dir, text_of
 from evoframe.llm._encode import encoder, tokenizer_path
 
 MAGIC = b"EVOIDS01"
@@ -61,8 +61,8 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return ranks
 
 
-def encode_file(doc_ids: list[int | None], ids: list[bytes], step: int = 1 << 20) -> bytes:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def encode_file(doc_ids: list[int | None], ids: list[np.ndarray], step: int = 1 << 18) -> bytes:
+    flat = np.concatenate(ids)
     counts = np.bincount(flat, minlength=1)
     table = np.flatnonzero(counts)
     table = table[np.lexsort((table, -counts[table]))].astype("<u4")
@@ -74,7 +74,7 @@ def encode_file(doc_ids: list[int | None], ids: list[bytes], step: int = 1 << 20
     return b"".join(
         [HEAD.pack(MAGIC, len(doc_ids), len(flat), len(table)), table.tobytes()]
         + [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes()]
-        + [np.array([len(x) // 4 for x in ids], "<u8").tobytes(), *[c for c, _ in parts], *[d for _, d in parts]]
+        + [np.array([len(x) for x in ids], "<u8").tobytes(), *[c for c, _ in parts], *[d for _, d in parts]]
     )
 
 
@@ -106,60 +106,64 @@ def write_token_files(
     is run again only replaces its files by equal ones.
     """
     path = tokenizer_path(tokenizer)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
+    columns = ["name", "part", "number", "docs", "ids"]
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part, number, doc_ids, ids, held, coder = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, False)
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{number:06d}.ids"
             own = f"{root}/_{uuid.uuid4().hex}"
             with store.open_output_stream(own) as out:
                 out.write(encode_file(doc_ids, ids))
             store.move(own, f"{root}/{name}")
-            return pd.DataFrame({"name": [name], "part": part, "number": number, "docs": len(doc_ids), "ids": held})
-
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                for doc_id, data in zip(some.doc_id, coder.encode(list(some.text))):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    ids.append(data + end)
-                    held += len(data) // 4 + 1
-                if held >= ids_per_file:
-                    yield flush()
-                    number, doc_ids, ids, held = number + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, part, number, len(doc_ids), held)], columns)
+
+        for batch in in_slices(batches):
+            doc_ids += batch.column("doc_id").to_pylist()
+            for own in coder.encode(batch.column("text").to_pylist()):
+                ids.append(np.append(own, end))
+                held += len(own) + 1
+            if held >= ids_per_file:
+                yield flush()
+                number, doc_ids, ids, held = number + 1, [], [], 0
         if doc_ids:
             yield flush()
 
     ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInPandas(write, "name string, part long, number long, docs long, ids long"))
+    return materialize(ordered.mapInArrow(write, "name string, part long, number long, docs long, ids long"))
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Every document of the files: ``doc_id, start, n_tokens, ids`` (little-endian unsigned 32 bit)."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch.name, batch.content):
+    columns = ["doc_id", "name", "own_start", "n_tokens", "ids"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "content"):
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 doc_ids, lengths, ids = decode_file(content)
                 ends = np.cumsum(lengths)
-                data = ids.astype("<u4").tobytes()
+                data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 for k in range(0, len(doc_ids), 1000):
-                    edges = list(zip((ends - lengths)[k : k + 1000].tolist(), ends[k : k + 1000].tolist()))
-                    rows = {"doc_id": pd.array(doc_ids[k : k + 1000], "Int64"), "name": name}
-                    rows |= {"own_start": [a for a, _ in edges], "n_tokens": [b - a for a, b in edges]}
-                    yield pd.DataFrame(rows | {"ids": [data[4 * a : 4 * b] for a, b in edges]})
-
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row for a file
-    bases = files.select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+                    a, b = (ends - lengths)[k : k + 1000], ends[k : k + 1000]
+                    held = [data[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())]
+                    values = [pa.array(doc_ids[k : k + 1000], pa.int64()), pa.array([name] * len(a)), pa.array(a), pa.array(b - a), pa.array(held, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(values, columns)
+
+    ahead = (Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids"))  # one row for a partition, whatever the number of files
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*ahead)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(*ahead)), F.lit(0))
+    bases = files.withColumn("own", own).join(F.broadcast(parts), "part").select("name", (F.col("own") + F.col("base")).alias("base"))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
     named = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    rows = named.mapInPandas(decode, "doc_id long, name string, own_start long, n_tokens long, ids binary")
+    rows = named.mapInArrow(decode, "doc_id long, name string, own_start long, n_tokens long, ids binary")
     return rows.join(bases, "name").select("doc_id", (F.col("own_start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
