@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of the filter that ``likely_in`` broadcasts, 64 to a row.
 FILTER_BITS = 24
 
@@ -42,6 +43,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """Give memory that is free in this worker back to the machine: the allocators would keep it until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def per_batch(function: Callable[[pd.DataFrame], pd.DataFrame]):
     """Turn a function of one pandas batch into what ``mapInPandas`` takes."""
 
@@ -49,6 +58,7 @@ def per_batch(function: Callable[[pd.DataFrame], pd.DataFrame]):
         for batch in batches:
             if len(batch):
                 yield function(batch)
+                give_back()
 
     return run
 
@@ -75,6 +85,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
                 n = max(1, min(n // 2, int(n * most / batch.column(column)[at : at + n].nbytes)))
             yield batch.slice(at, n)
             at += n
+        give_back()
 
 
 def per_slice(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text"):

@@ -19,8 +19,8 @@ from evoframe.llm._words import hash_spans
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts and ids that a worker remembers at most: about 100 MB.
-MOST_PARTS, MOST_IDS = 1_500_000, 1 << 23
+#: Parts and ids that a worker remembers at most: about 40 MB.
+MOST_PARTS, MOST_IDS = 500_000, 3 << 20
 
 _OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 _ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}

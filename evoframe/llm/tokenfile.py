@@ -35,7 +35,7 @@ END_ID = 0
 IDS_PER_FILE = 1 << 22
 
 #: For each control byte: the four lengths.
-LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64)
+LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -48,22 +48,26 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks of ``encode_ranks``."""
-    lengths = LENGTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(lengths)
-    at = ends - lengths
-    padded = np.append(data, np.zeros(4, np.uint8))
-    ranks = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        longer = np.flatnonzero(lengths > k)
-        ranks[longer] |= padded[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+def decode_ranks(control: np.ndarray, data: np.ndarray, n: int, step: int = 1 << 18) -> np.ndarray:
+    """The ``n`` ranks of ``encode_ranks``, ``step`` (a multiple of four) at a time."""
+    out, begin = np.empty(n, np.uint32), 0
+    for k in range(0, n, step):
+        lengths = LENGTHS[control[k // 4 : (k + step) // 4]].reshape(-1)[: n - k]
+        ends = begin + np.cumsum(lengths, dtype=np.int64)
+        at, begin = ends - lengths, int(ends[-1])
+        ranks = data[at].astype(np.uint32)
+        for j in (1, 2, 3):
+            longer = np.flatnonzero(lengths > j)
+            ranks[longer] |= data[at[longer] + j].astype(np.uint32) << np.uint32(8 * j)
+        out[k : k + step] = ranks
+    return out
 
 
 def encode_file(doc_ids: list[int | None], ids: list[np.ndarray], step: int = 1 << 18) -> bytes:
     flat = np.concatenate(ids)
-    counts = np.bincount(flat, minlength=1)
+    counts = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    for k in range(0, len(flat), step):
+        counts += np.bincount(flat[k : k + step], minlength=len(counts))
     table = np.flatnonzero(counts)
     table = table[np.lexsort((table, -counts[table]))].astype("<u4")
     rank_of = np.zeros(len(counts), np.uint32)
@@ -149,10 +153,10 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 doc_ids, lengths, ids = decode_file(content)
                 ends = np.cumsum(lengths)
-                data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 for k in range(0, len(doc_ids), 1000):
                     a, b = (ends - lengths)[k : k + 1000], ends[k : k + 1000]
-                    held = [data[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())]
+                    data = ids[a[0] : b[-1]].astype("<u4").tobytes()
+                    held = [data[x:y] for x, y in zip((4 * (a - a[0])).tolist(), (4 * (b - a[0])).tolist())]
                     values = [pa.array(doc_ids[k : k + 1000], pa.int64()), pa.array([name] * len(a)), pa.array(a), pa.array(b - a), pa.array(held, pa.binary())]
                     yield pa.RecordBatch.from_arrays(values, columns)
 
