@@ -102,34 +102,42 @@ def test_ranks_round_trip():
 
 def test_every_source_has_its_share_to_less_than_one_block():
     draw = random.Random(5)
-    for _ in range(20):
-        weights = [draw.random() + 0.01 for _ in range(draw.randint(1, 30))]
-        parts = mixing.shares(weights, 512)
-        assert sum(parts) == 512 and min(parts) >= 1
-        slots = mixing.earliest_deadline_first(parts)
-        assert sorted(s for own in slots for s in own) == list(range(512))
-        for a, own in zip(parts, slots):
-            had = 0
-            for t in range(513):
-                assert abs(t * a - had * 512) < 512
-                had += t in own if len(own) < 20 else t in set(own)
+    hot = ([1000.0] + [1.0] * 60, [4000] + [3] * 60)
+    for case in [hot] + [None] * 15:
+        n = draw.randint(1, 30)
+        aims, blocks = case or ([draw.random() + 0.01 for _ in range(n)], [draw.randint(0, 300) for _ in range(n)])
+        weights = mixing.whole_weights(range(len(aims)), {}, dict(enumerate(aims)))
+        slots = mixing.earliest_deadline_first(weights, blocks)
+        assert [len(own) for own in slots] == blocks
+        assert len({s for own in slots for s in own}) == sum(blocks)
+        for a, own in zip(weights, slots):  # at each of its slots, before and after; in between only the share grows
+            for had, t in enumerate(own):
+                assert abs(had * sum(weights) - t * a) < sum(weights)
+                assert abs((had + 1) * sum(weights) - (t + 1) * a) < sum(weights)
+
+
+def test_blocks_grow_with_the_corpus(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 50 = 0, 'rare', 'often') AS source")
+    found = mixing.mixing_digest(docs, block=1, most_slots=300).collect()
+    assert len({(r.slot, r.offset) for r in found}) == 4000 and max(r.offset for r in found) == 15
+    assert all(r.release <= r.slot < r.deadline for r in found) and max(r.slot for r in found) < 300
 
 
 def test_mixing(spark, awkward, nothing):
-    found = mixing.mixing_digest(awkward, block=2, period=16).collect()
+    found = mixing.mixing_digest(awkward, block=2).collect()
     assert len(found) == awkward.count()
     places = Counter((r.slot, r.offset) for r in found)
     assert max(places.values()) == 1
     assert all(r.release <= r.slot < r.deadline for r in found)
     assert mixing.mixing_digest(nothing).count() == 0
-    ordered = mixing.in_mixed_order(awkward, block=2, period=16)
+    ordered = mixing.in_mixed_order(awkward, block=2)
     assert ordered.columns == awkward.columns
     assert sorted(map(str, ordered.collect())) == sorted(map(str, awkward.collect()))
 
 
 def test_mixing_by_given_weights(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")
-    found = mixing.mixing_digest(docs, weights={"a": 3.0, "b": 1.0}, block=5, period=8).orderBy("slot", "offset").collect()
+    found = mixing.mixing_digest(docs, weights={"a": 3.0, "b": 1.0}, block=5).orderBy("slot", "offset").collect()
     firsts = Counter(r.source for r in found[:40])
     assert firsts == {"a": 30, "b": 10}
     with pytest.raises(ValueError):
