@@ -51,7 +51,7 @@ BLOCK = 1 << 19
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
 _GONE, _SPAN, _HOT = 0, 1, 2
-_FIELDS = (("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("check", "<i4"), ("start", "<i4"), ("n", "u1"))
+_FIELDS = (("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("check", "<i4"), ("start", "<i4"), ("n", "<u2"))
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240607).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -363,6 +363,8 @@ def _told_apart(strings: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_spans: int = MOST_SPANS) -> tuple[DataFrame, DataFrame]:
     """The rows as ``doc, check, text``, and ``doc, check, start, n``: n windows from ``start`` on also start earlier."""
+    if not gram <= width < 1 << 16:
+        raise ValueError("a width from gram to 65535")
     rows = documents_of(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().alias("text"))
     rows = rows.withColumn("check", _check())
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

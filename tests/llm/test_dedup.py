@@ -118,6 +118,16 @@ def test_repeated_passages(spark, request, table, most_spans):
     assert sorted(found, key=key) == sorted(brute_repeats(rows, 100), key=key)
 
 
+def test_repeated_passages_of_other_widths(spark):
+    draw = np.random.default_rng(8)
+    passage = "".join(map(chr, draw.integers(97, 123, 900)))
+    rows = [(d, "".join(map(chr, draw.integers(97, 123, 200))) + passage[d * 10 :] + "x" * (d * 30)) for d in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (64, 400):
+        found = [tuple(r) for r in suffixdedup.repeats_digest(docs, width=width).collect()]
+        assert sorted(found) == sorted(brute_repeats(rows, width))
+
+
 def test_no_documents(nothing):
     assert suffixdedup.repeats_digest(nothing).count() == 0
     assert minhash.near_duplicates(nothing).count() == 0
