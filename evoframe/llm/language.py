@@ -23,11 +23,11 @@ ignored.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ MOST_LANGS = 200
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _START, _END = "\x02", "\x03"
 
 

@@ -102,6 +102,14 @@ def test_language_of_awkward_documents(awkward, nothing):
     assert language.identify(nothing).count() == 0
 
 
+def test_signs_are_no_letters_and_ties_go_to_the_first(spark):
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("gleich gleich", "b"), ("gleich gleich", "a")] * 9)]
+    rows += [(100, "½ ² ①", "a"), (101, "gleich", None), (102, "", None)]
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (found[100].lang_pred, found[100].score) == ("und", 0.0) and found[102].lang_pred == "und"
+    assert (found[101].lang_pred, found[101].score) == ("a", 0.0)
+
+
 def test_url_terms():
     assert urlfilter.term_hits("http://a.example/porn/x") == (1, 0)
     assert urlfilter.term_hits("http://a.example/pornography") == (0, 0)
