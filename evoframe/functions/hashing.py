@@ -32,5 +32,17 @@ def first_by_hash(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 
 def share(size: int, part: float) -> int:
-    """``part`` of ``size``, rounded half to even, one at least."""
-    return max(1, round(part * size))
+    """``part`` of ``size``, rounded half to even, one at least and one less than all at most."""
+    return max(1, min(round(part * size), size - 1))
+
+
+def cuts_of(rows: DataFrame, column: str, parts: int) -> list[float]:
+    """Numbers that cut the rows into about equal ranges of a column, at most ``parts - 1`` and fixed from here on."""
+    found = rows.agg(F.percentile_approx(F.col(column).cast("double"), [k / parts for k in range(1, parts)])).first()[0] if parts > 1 else None
+    return sorted(set(found or ()))
+
+
+def range_of(column: Column, cuts: list[float]) -> Column:
+    """Which of the ranges a value lies in, from 0; the same wherever it is worked out."""
+    value = column.cast("double")
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)

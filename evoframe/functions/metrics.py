@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions.hashing import cuts_of, range_of
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b != 0, b))
@@ -29,19 +31,21 @@ def balanced_accuracy(y: str, predicted: str) -> Column:
     return (recall(y, predicted, 1) + recall(y, predicted, 0)) / 2
 
 
-def auc(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """``auc`` by average ranks; 0.5 where one class is missing.
+def auc(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``auc`` by average ranks, for each group of ``by``; 0.5 where one class is missing.
 
-    Only counts for each distinct score are ranked, and those in blocks of the score, so
+    Only counts for each distinct score are ranked, and those in ranges of the score, so
     no window holds all rows.
     """
-    by = rows.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    blocks = by.repartitionByRange(score).withColumn("_block", F.spark_partition_id())
-    sums = blocks.groupBy("_block").agg(F.sum("n").alias("_n"), F.min(score).alias("_from"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_block", below.alias("_below"))  # one row for a partition
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("_block").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = blocks.withColumn("_own", own).join(F.broadcast(sums), "_block")
-    wins = F.sum(F.col("p") * (F.col("_below") + F.col("_own") + F.col("n") / F.lit(2.0)))
-    pairs = F.sum("p").cast("double") * F.sum("n")
-    return ranked.agg(F.when(pairs == 0, F.lit(0.5)).otherwise(wins / F.when(pairs != 0, pairs)).alias("auc"))
+    counts = rows.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) != 1).alias("_neg"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = counts.withColumn("_block", range_of(F.col(score), cuts_of(rows, score, parts)))
+    ahead = (Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(*by, "_block").agg(F.sum("_neg").alias("_sum"))  # one row for a range, and group
+    below = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(*ahead)), F.lit(0))
+    sums = sums.select(*by, "_block", below.alias("_below"))
+    own = F.coalesce(F.sum("_neg").over(Window.partitionBy(*by, "_block").orderBy(score).rowsBetween(*ahead)), F.lit(0))
+    ranked = blocks.withColumn("_own", own).join(sums, [*by, "_block"])
+    wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_own") + F.col("_neg") / F.lit(2.0)))
+    pairs = F.sum("_p").cast("double") * F.sum("_neg")
+    return ranked.groupBy(*by).agg(F.when(pairs == 0, F.lit(0.5)).otherwise(wins / F.when(pairs != 0, pairs)).alias("auc"))

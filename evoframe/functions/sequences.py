@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
-#: Fixed value: multi-letter atoms and bracket groups before single characters.
-ATOMS = r"(\[[^\]]+\]|Br|Cl|Si|Se|@@|%[0-9]{2}|[A-Za-z]|[0-9]|[=#\-+\\/().:~*$@])"
+#: Fixed value: atoms and bonds of molecule strings.
+ATOMS = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9])"
+
+#: Three groups of residues by property.
+GROUPS = {
+    "hydrophobicity": ("RKEDQN", "GASTPHY", "CLVIMFW"),
+    "vdw_volume": ("GASTPDC", "NVEQIL", "MHKFRYW"),
+    "polarity": ("LIFWCMVY", "PATGS", "HQRKNED"),
+    "polarizability": ("GASDT", "CPNVEQIL", "KMHFRYW"),
+    "charge": ("KR", "ANCQGHILMFPSTWYV", "DE"),
+    "secondary_structure": ("EALMQKRH", "VIYCWFT", "GNPSD"),
+    "solvent_accessibility": ("ALFCGIVW", "RKQEND", "MPSTHY"),
+}
+FRACTIONS = (0, 25, 50, 75, 100)
 START, END, UNKNOWN = "!", "E", "?"
 
 
@@ -62,3 +74,70 @@ def encode(tokens: Column, index: Column, length: int) -> Column:
     known = F.transform(F.slice(tokens, 1, length - 1), lambda t: F.coalesce(F.try_element_at(index, t), F.lit(2)))
     known = F.concat(F.array(F.lit(1)), known.cast("array<int>"))
     return F.concat(known, F.array_repeat(F.lit(0), length - F.size(known)))
+
+
+def one_hot(codes: Column, size: int) -> Column:
+    """For each code an array of ``size`` zeros with a one at its place."""
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    return F.transform(codes, lambda code: F.transform(places, lambda k: (k == code).cast("tinyint")))
+
+
+def from_one_hot(marks: Column) -> Column:
+    """The codes again: the place of the first largest entry."""
+    return F.transform(marks, lambda m: (F.array_position(m, F.array_max(m)) - 1).cast("int"))
+
+
+def decode(codes: Column, token: Column) -> Column:
+    """The string of a sequence of codes, without start and end; ``token`` maps a code to its token."""
+    return F.array_join(F.transform(F.filter(codes, lambda c: ~c.isin(0, 1)), lambda c: F.element_at(token, c.cast("long"))), "")
+
+
+def ctd_names() -> list[str]:
+    """The 147 names, in the order of ``ctd``."""
+    out = []
+    for name in GROUPS:
+        out += [f"{name}_C{g}" for g in (1, 2, 3)] + [f"{name}_T{a}{b}" for a, b in ((1, 2), (1, 3), (2, 3))]
+        out += [f"{name}_D{g}_{p}" for g in (1, 2, 3) for p in FRACTIONS]
+    return out
+
+
+def _with(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _distribution(code: Column, n: Column, group: str) -> Column:
+    """Where, in percent of the length, the first, each further quarter and the last letter of a group stand."""
+    places = F.filter(F.transform(F.split(code, ""), lambda c, i: F.when(c == group, i + 1)), lambda i: i.isNotNull())
+
+    def at(p: Column, fraction: int) -> Column:
+        rank = F.greatest(F.ceil(F.lit(fraction / 100) * F.size(p)), F.lit(1)).cast("int")
+        return F.when(F.size(p) > 0, F.get(p, rank - 1) / n * 100.0).otherwise(F.lit(0.0))
+
+    return _with(places, lambda p: F.array(*[at(p, f) for f in FRACTIONS]))
+
+
+def ctd(sequence: Column) -> Column:
+    """Composition, transition and distribution of three groups by seven properties; null for an empty sequence."""
+    n, parts = F.length(sequence), []
+
+    def described(code: Column) -> Column:
+        shares = [(n - F.length(F.replace(code, F.lit(g)))) / F.when(n > 0, n) for g in "123"]
+        turns = [F.regexp_count(code, F.lit(f"{a}(?={b})|{b}(?={a})")) / F.greatest(n - 1, F.lit(1)) for a, b in ("12", "13", "23")]
+        return F.concat(F.array(*shares, *turns), *[_distribution(code, n, g) for g in "123"])
+
+    for groups in GROUPS.values():
+        code = F.translate(sequence, "".join(groups), "".join(str(k) * len(g) for k, g in enumerate(groups, 1)))
+        parts.append(_with(code, described))
+    return F.when(n > 0, F.concat(*parts))
+
+
+def featurized(rows: DataFrame, sequence: str, method: str = "aac", on_invalid: str = "drop") -> DataFrame:
+    """``rows`` with ``features`` by ``aac`` or ``ctd``; those without any residue go, or raise an error."""
+    if method not in ("aac", "ctd") or on_invalid not in ("drop", "raise"):
+        raise ValueError("aac or ctd, drop or raise; dipeptides are in long form")
+    made = rows.withColumn("features", {"aac": aac, "ctd": ctd}[method](clean_protein(F.coalesce(sequence, F.lit("")))))
+    if on_invalid == "drop":
+        return made.where(F.col("features").isNotNull())
+    sound = F.assert_true(F.col("features").isNotNull(), F.lit("a sequence without residues")).isNull()
+    return made.withColumn("features", F.when(sound, F.col("features")))

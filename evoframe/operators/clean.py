@@ -42,8 +42,14 @@ def resolve_task(names: list[str], wanted: str) -> str:
 
 
 def above(value: Column, threshold: float) -> Column:
-    """1 where the value is above the threshold, else 0, for null too."""
-    return F.coalesce((value > threshold).cast("int"), F.lit(0))
+    """1 where the value is above the threshold, else 0, for null and NaN too."""
+    return F.coalesce(((value > threshold) & ~F.isnan(value.cast("double"))).cast("int"), F.lit(0))
+
+
+def class_counts(rows: DataFrame, label: str) -> DataFrame:
+    """``label, n, share`` of each known label."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for a class
 
 
 def impute(cells: DataFrame, probe: str, value: str, how: str = "mean") -> DataFrame:
@@ -79,3 +85,25 @@ def stall_lengths(series: DataFrame, run: str) -> DataFrame:
     found = marked.groupBy(run, "stall").agg((F.count(F.lit(1)) - 1).alias("length"))
     last = F.max("stall").over(Window.partitionBy(run))
     return found.withColumn("tail", F.col("stall") == last).where((F.col("length") > 0) | F.col("tail"))
+
+
+def stalls_beyond(series: DataFrame, run: str, min_delta: float) -> DataFrame:
+    """``run, stall, length, tail`` as ``stall_lengths`` without numbers of improvements, where only a fall of more than ``min_delta`` counts.
+
+    Whether a value counts depends on the last one that did, so each run's history, as
+    long as its iterations, is folded in order. ``stall`` counts from 0.
+    """
+    history = F.transform(F.array_sort(F.collect_list(F.struct("iter", F.col("best").cast("double").alias("best")))), lambda s: s.best)
+    start = F.struct(F.lit(float("inf")).alias("least"), F.lit(0).cast("long").alias("stalled"), F.array().cast("array<bigint>").alias("ended"))
+
+    def fold(a: Column, value: Column) -> Column:
+        better = value < a.least - F.lit(min_delta)
+        ended = F.when(better & (a.stalled > 0), F.concat(a.ended, F.array(a.stalled))).otherwise(a.ended)
+        return F.struct(
+            F.when(better, value).otherwise(a.least).alias("least"), F.when(better, F.lit(0).cast("long")).otherwise(a.stalled + 1).alias("stalled"), ended.alias("ended")
+        )
+
+    found = series.groupBy(run).agg(history.alias("_h")).select(run, F.aggregate("_h", start, fold).alias("_f"))
+    lengths = F.concat("_f.ended", F.array("_f.stalled"))
+    rows = found.select(run, F.size("_f.ended").alias("_last"), F.posexplode(lengths).alias("stall", "length"))
+    return rows.select(run, F.col("stall").cast("long").alias("stall"), "length", (F.col("stall") == F.col("_last")).alias("tail"))

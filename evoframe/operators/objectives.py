@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions import metrics
 from evoframe.functions.hashing import hash_order
 
 
@@ -40,27 +41,62 @@ def weights(x: Column) -> Column:
     return F.when(sound, F.transform(positive, lambda v: v / F.when(sound, total))).otherwise(F.transform(x, lambda v: 1.0 / F.size(x)))
 
 
-def ensemble_errors(rows: DataFrame, candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``cand_id, fitness``: 1 - accuracy of the weighted vote, for a batch of candidates.
+def ensemble_scores(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every row with every candidate of a batch: ``cand_id, score`` beside the columns of ``rows``.
 
-    ``rows`` have ``p`` (one probability for each member) and ``y``. Each row carries the
-    whole batch, which is one population, as an array, so the rows are read once and
-    aggregated before the shuffle, whatever the number of candidates.
+    ``rows`` have ``p``, one probability for each member. The batch, which is one
+    population, is one row that is broadcast and unrolled in place.
     """
-    batch = candidates.select("cand_id", weights(F.col("x")).alias("w")).agg(F.sort_array(F.collect_list(F.struct("cand_id", "w"))).alias("batch"))
-    held = [(r.cand_id, list(r.w)) for r in batch.first().batch]  # a population, at most a few hundred rows
-    scored = []
-    for cand_id, w in held:
-        vote = F.aggregate(F.zip_with("p", F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        right = (vote > threshold).cast("int") == F.col("y")
-        scored.append(F.struct(F.lit(cand_id).alias("cand_id"), (1 - F.avg(right.cast("double"))).alias("fitness")))
-    return rows.agg(F.array(*scored).alias("found")).select(F.inline("found"))
+    batch = candidates.select("cand_id", weights(F.col("x")).alias("w")).agg(F.collect_list(F.struct("cand_id", "w")).alias("_batch"))
+    batch = batch.withColumn("_one", F.lit(1))
+    unrolled = rows.withColumn("_one", F.lit(1)).join(F.broadcast(batch), "_one").select(*rows.columns, F.inline("_batch"))
+    return unrolled.withColumn("score", _total(F.zip_with("p", "w", lambda a, b: a * b))).drop("w")
+
+
+def ensemble_errors(rows: DataFrame, candidates: DataFrame, threshold: float = 0.5, metric: str = "accuracy") -> DataFrame:
+    """``cand_id, fitness``: 1 - the metric (accuracy, f1 or auc) of the weighted vote, for a batch of candidates.
+
+    The rows are read once and aggregated before the shuffle, whatever the number of candidates.
+    """
+    scored = ensemble_scores(rows, candidates)
+    if metric == "auc":
+        return metrics.auc(scored, "y", "score", ("cand_id",)).select("cand_id", (1 - F.col("auc")).alias("fitness"))
+    if metric not in ("accuracy", "f1"):
+        raise ValueError("the metric is accuracy, f1 or auc")
+    voted = scored.withColumn("_voted", (F.col("score") > threshold).cast("int"))
+    return voted.groupBy("cand_id").agg((1 - getattr(metrics, metric)("y", "_voted")).alias("fitness"))
 
 
 def undersample_repair(bits: DataFrame, keep: int, seed: int = 0) -> DataFrame:
-    """Rows ``cand_id, row_id, bit`` that a candidate keeps: exactly ``keep``, those with larger bits first, ties by hash."""
-    order = Window.partitionBy("cand_id").orderBy(F.desc("bit"), hash_order(seed, "cand_id", "row_id"), "row_id")
-    return bits.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= keep).drop("_nth")
+    """Rows ``cand_id, row_id, bit`` that a candidate keeps: exactly ``keep`` (all, if fewer), those with larger bits first, ties by hash.
+
+    ``keep`` is ``kept_majority(...)``. A histogram of (bit, first 12 bits of the hash) for
+    each candidate shows where its last row lies, so only the rows of one bin are ranked.
+    """
+    head = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
+    marked = bits.withColumn("_hash", hash_order(seed, "cand_id", "row_id")).withColumn("_bin", F.struct((-F.col("bit").cast("double")).alias("b"), head.alias("h")))
+    counts = marked.groupBy("cand_id", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cand_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = counts.withColumn("_before", before).where(F.col("_before") < keep).withColumn("_whole", F.col("_before") + F.col("_n") <= keep)
+    placed = marked.join(bins.select("cand_id", "_bin", "_before", "_whole"), ["cand_id", "_bin"])
+    order = Window.partitionBy("cand_id", "_bin").orderBy("_hash", "row_id")
+    border = placed.where("NOT _whole").withColumn("_nth", F.row_number().over(order)).where(F.col("_before") + F.col("_nth") <= keep)
+    return placed.where("_whole").select(*bits.columns).unionByName(border.select(*bits.columns))
+
+
+def kept_majority(n_minority: int, n_majority: int, target_ratio: float = 1.0) -> int:
+    """How many rows of the majority class stay."""
+    if target_ratio <= 0:
+        raise ValueError("the ratio is above 0")
+    return max(1, min(round(target_ratio * n_minority), n_majority))
+
+
+def weighted_centroid(rows: DataFrame, x: str, weight: str, by: str) -> DataFrame:
+    """``by, centroid``: the mean position of each group, by weight; null where the weights add up to 0."""
+    parts = rows.select(by, F.col(weight).cast("double").alias("_w"), F.posexplode(x).alias("_j", "_v"))
+    sums = parts.groupBy(by, "_j").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_t"))
+    mean = F.col("_s") / F.when(F.col("_t") != 0, F.col("_t"))
+    return sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", mean.alias("_m")))), lambda s: s._m).alias("centroid"))
 
 
 def selected(x: Column, threshold: float = 0.5) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions.hashing import cuts_of, range_of
+
 
 def dominates(a: list[Column], b: list[Column]) -> Column:
     """No objective worse and one better."""
@@ -22,9 +26,10 @@ def front_of_two(points: DataFrame, f1: str, f2: str, key: str, unique: bool = T
     least second objective (one row for each block), so no window holds all points.
     """
     best = points.groupBy(f1).agg(F.min(f2).alias("_least"))
-    blocks = best.repartitionByRange(f1).withColumn("_block", F.spark_partition_id())
-    lows = blocks.groupBy("_block").agg(F.min("_least").alias("_low"), F.min(f1).alias("_from"))
-    before = F.min("_low").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))  # one row for a partition
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = best.withColumn("_block", range_of(F.col(f1), cuts_of(points, f1, parts)))
+    lows = blocks.groupBy("_block").agg(F.min("_least").alias("_low"))
+    before = F.min("_low").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # one row for a range
     lows = lows.withColumn("_earlier", before).select("_block", "_earlier")
     inside = F.min("_least").over(Window.partitionBy("_block").orderBy(f1).rowsBetween(Window.unboundedPreceding, -1))
     marked = blocks.withColumn("_inside", inside).join(F.broadcast(lows), "_block")
@@ -35,11 +40,80 @@ def front_of_two(points: DataFrame, f1: str, f2: str, key: str, unique: bool = T
     return found.orderBy(f1, key)
 
 
-def crowding_distance(points: DataFrame, objectives: list[str], key: str, front: str) -> DataFrame:
+def _undominated(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows of ``values`` no row of ``others`` dominates."""
+    alive = np.ones(len(values), bool)
+    for row in others:
+        alive &= ~((row <= values).all(axis=1) & (row < values).any(axis=1))
+    return alive
+
+
+def front(points: DataFrame, objectives: list[str], key: str, block: int = 4096) -> DataFrame:
+    """The points that none dominates, for any number of objectives.
+
+    Each block of points keeps its own front; then every block of what is left is held
+    against every other, by an equality join on the blocks' numbers. Null and NaN
+    objectives take no part; equal points all stay.
+    """
+    sound = F.lit(True)
+    for f in objectives:
+        sound = sound & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    points = points.where(sound)
+    schema = points.schema
+
+    def own(batch: pd.DataFrame) -> pd.DataFrame:
+        values = batch[objectives].to_numpy(float)
+        return batch[_undominated(values, values)]
+
+    left = points.repartition(max(1, -(-points.count() // block)), key).mapInPandas(lambda batches: map(own, batches), schema).checkpoint()
+    blocks = max(1, -(-left.count() // block))
+    dealt = left.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    rivals = left.select(*objectives).distinct()
+    rivals = rivals.withColumn("_rival", F.pmod(F.xxhash64(*objectives), F.lit(blocks)))
+    packs = rivals.groupBy("_rival").agg(F.collect_list(F.array(*[F.col(f).cast("double") for f in objectives])).alias("_rivals"))  # a block each
+    packs = packs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def lost(r: Column) -> Column:
+        return dominates([r[i] for i in range(len(objectives))], [F.col(f).cast("double") for f in objectives])
+
+    beaten = dealt.join(packs, "_block").where(F.exists("_rivals", lost)).select(key).distinct()
+    return left.join(beaten, key, "left_anti")
+
+
+def front_numbers(points: DataFrame, objectives: list[str], key: str, run: str) -> DataFrame:
+    """``run, key, front``: for each run's population the number of each point's front, from 0.
+
+    A population is a group of bounded size, as search makes it; populations are dealt
+    over all tasks, and their fronts are peeled off one after the other.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+
+    def peel(population: pd.DataFrame) -> pd.DataFrame:
+        values, number = population[objectives].to_numpy(float), np.full(len(population), -1, np.int64)
+        left, n = np.arange(len(values)), 0
+        while len(left):
+            best = _undominated(values[left], values[left])
+            number[left[best]] = n
+            left, n = left[~best], n + 1
+        return population[[run, key]].assign(front=number)
+
+    columns = list(dict.fromkeys([run, key, *objectives]))
+    return points.select(*columns).groupBy(run).applyInPandas(peel, f"`{run}` {kinds[run]}, `{key}` {kinds[key]}, front long")
+
+
+def pareto_order(points: DataFrame, objectives: list[str], key: str, run: str) -> DataFrame:
+    """``points`` with ``front``, ``crowding`` and ``place``: by front, then the most isolated first, then by key."""
+    numbered = points.join(front_numbers(points, objectives, key, run), [run, key])
+    found = crowding_distance(numbered, objectives, key, [run, "front"])
+    order = Window.partitionBy(run).orderBy("front", F.desc("crowding"), key)
+    return found.withColumn("place", F.row_number().over(order))
+
+
+def crowding_distance(points: DataFrame, objectives: list[str], key: str, front: str | list[str]) -> DataFrame:
     """``points`` with ``crowding`` within each front: infinite at the ends, else the sum of the neighbours' spreads."""
-    total = F.lit(0.0)
+    total, groups = F.lit(0.0), [front] if isinstance(front, str) else front
     for f in objectives:
-        order, whole = Window.partitionBy(front).orderBy(f, key), Window.partitionBy(front)
+        order, whole = Window.partitionBy(*groups).orderBy(f, key), Window.partitionBy(*groups)
         spread = F.max(f).over(whole) - F.min(f).over(whole)
         gap = F.lead(f).over(order) - F.lag(f).over(order)
         part = F.when(gap.isNull(), F.lit(float("inf"))).when(spread == 0, F.lit(0.0)).otherwise(gap / F.when(spread != 0, spread))

@@ -95,7 +95,39 @@ def differential_step(population: DataFrame, iteration: int, progress: float, lo
     return trial.select("run", "id", F.when(better, F.col("_x")).otherwise(F.col("x")).alias("x"), F.least("_f", "f").alias("f"))
 
 
-STEPS = {"grey_wolf": grey_wolf_step, "sine_cosine": sine_cosine_step, "differential": differential_step}
+def grasshopper_step(
+    population: DataFrame, iteration: int, progress: float, low: float, high: float, objective: Objective, seed: int = 0,
+    c_max: float = 1.0, c_min: float = 1e-5, intensity: float = 0.5, attraction: float = 1.5,
+) -> DataFrame:
+    """Everyone moves to the best, pushed and pulled by all others of its run; nothing is drawn.
+
+    A run's population is a bounded group, so it joins as one array.
+    """
+    c = c_max - (c_max - c_min) * progress
+    swarm = population.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("swarm"), F.min_by("x", F.struct("f", "id")).alias("best"))
+    joined = population.join(swarm, "run")
+
+    def gap(a: Column, b: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+
+    joined = joined.withColumn("apart", F.transform("swarm", lambda s: gap(s.x, F.col("x"))))
+    joined = joined.withColumn("largest", F.max(F.array_max("apart")).over(Window.partitionBy("run")))
+    scaled = lambda d: F.when(F.col("largest") > 0, 1.0 + 3.0 * d / F.when(F.col("largest") > 0, F.col("largest"))).otherwise(F.lit(1.0))
+    force = lambda d: intensity * F.exp(-scaled(d) / attraction) - F.exp(-scaled(d))
+    pull = F.zip_with("swarm", "apart", lambda s, d: F.when(s.id == F.col("id"), F.lit(0.0)).otherwise(force(d) / (d + 1e-12)))
+    joined = joined.withColumn("pull", pull)
+    step = F.transform("x", lambda v, j: F.aggregate(F.zip_with("swarm", "pull", lambda s, p: p * (s.x[j] - v)), F.lit(0.0), lambda a, q: a + q))
+    x = F.zip_with(step, "best", lambda s, b: c * (c * ((high - low) / 2.0) * s) + b)
+    return _scored(joined, x, low, high, objective).select("run", "id", F.col("_x").alias("x"), F.col("_f").alias("f"))
+
+
+def truncated(population: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each run with ``place``, ties by id."""
+    order = Window.partitionBy("run").orderBy("f", "id")
+    return population.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+STEPS = {"grasshopper": grasshopper_step, "grey_wolf": grey_wolf_step, "sine_cosine": sine_cosine_step, "differential": differential_step}
 
 
 def search(
@@ -109,7 +141,10 @@ def search(
     if step is None:
         found = initial(spark, runs, size * iterations, dimension, low, high, objective, seed)
         return found.groupBy("run").agg(F.count(F.lit(1)).alias("evals"), F.min("f").alias("best"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/evoframe-checkpoints")
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext.getCheckpointDir():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     population = initial(spark, runs, size, dimension, low, high, objective, seed).withColumn("top", F.col("f")).checkpoint()
     for i in range(1, iterations):
         moved = STEPS[step](population.select("run", "id", "x", "f"), i, i / iterations, low, high, objective, seed)

@@ -76,12 +76,9 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT s AS l_suppkey, p AS l_partkey, (EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s AND l_partkey = p))::BIGINT AS cell
-FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_partkey <= 50)""")
+FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (SELECT DISTINCT l_partkey AS p FROM lineitem)""")
 def interaction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _pair_table(spark, sf_dir).select("l_suppkey", "l_partkey").distinct()
-    drugs, targets = known.select("l_suppkey").distinct(), known.select("l_partkey").distinct().where("l_partkey <= 50")
-    ones = known.withColumn("cell", F.lit(1).cast("long"))
-    return drugs.crossJoin(targets).join(ones, ["l_suppkey", "l_partkey"], "left").fillna(0, ["cell"])
+    return pairs.cells(_pair_table(spark, sf_dir), "l_suppkey", "l_partkey")
 
 
 @query("""WITH known AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
@@ -89,7 +86,7 @@ SELECT s AS l_suppkey, p AS l_partkey, (l_suppkey IS NOT NULL)::BIGINT AS cell
 FROM (SELECT DISTINCT l_suppkey AS s FROM known) CROSS JOIN (SELECT DISTINCT l_partkey AS p FROM known)
 LEFT JOIN known ON l_suppkey = s AND l_partkey = p""")
 def interaction_matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells; ``interaction_matrix`` has those of the parts up to 50 alone, as its SQL says."""
+    """As ``interaction_matrix``; the name is kept for those who use it."""
     return pairs.cells(_pair_table(spark, sf_dir), "l_suppkey", "l_partkey")
 
 
@@ -286,6 +283,75 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.vocabulary(table(spark, sf_dir, "benchmark").select(sequences.tokenize(F.col("text")).alias("t")), "t")
 
 
+_ATOMS_SQL = sequences.ATOMS.replace("'", "''")
+
+
+@query(f"""SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{_ATOMS_SQL}', 1) AS t FROM documents) WHERE len(t) > 0""")
+def tokenize_atom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sequences.tokenize(F.col("text"), "atom")).alias("pos", "token"))
+    return made.withColumn("pos", F.col("pos").cast("long"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int], int]:
+    """Tokens of the texts, the vocabulary (a bounded alphabet) and the length of sequences."""
+    rows = table(spark, sf_dir, "benchmark").where("length(text) > 0").select("item_id", sequences.tokenize(F.col("text")).alias("t"))
+    known = {r.token: r["index"] for r in sequences.vocabulary(rows, "t").collect()}
+    return rows, known, rows.agg(F.max(F.size("t"))).first()[0] + 5
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    rows, known, length = _fitted(spark, sf_dir)
+    index = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return rows.select("item_id", sequences.encode(F.col("t"), index, length).alias("codes")), known
+
+
+_VOCABULARY = """v AS (WITH t AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark WHERE length(text) > 0)
+SELECT 'E' AS token, 0 AS code UNION ALL SELECT '!', 1 UNION ALL SELECT '?', 2 UNION ALL
+SELECT token, row_number() OVER (ORDER BY token) + 2 FROM t WHERE token NOT IN ('E', '!', '?'))"""
+_LENGTH = "(SELECT max(length(text)) + 5 FROM benchmark)"
+
+
+@query(f"""WITH {_VOCABULARY}, s AS (SELECT item_id, length(text) AS n, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS token FROM benchmark WHERE length(text) > 0)
+SELECT item_id, pos, code::INTEGER AS code FROM s JOIN v USING (token)
+UNION ALL SELECT item_id, 0, 1 FROM benchmark WHERE length(text) > 0
+UNION ALL SELECT item_id, unnest(range(length(text) + 1, {_LENGTH})), 0 FROM benchmark WHERE length(text) > 0""")
+def vectorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _codes(spark, sf_dir)[0].select("item_id", F.posexplode("codes").alias("pos", "code"))
+    return made.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT item_id, replace(replace(text, 'E', ''), '!', '') AS text FROM benchmark WHERE length(text) > 0")
+def inverse_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through codes and ones and back; start and end tokens go, as they do from any sequence."""
+    rows, known = _codes(spark, sf_dir)
+    token = F.create_map(*[x for t, i in known.items() for x in (F.lit(i).cast("long"), F.lit(t))])
+    marks = sequences.one_hot(F.col("codes"), len(known))
+    return rows.select("item_id", sequences.decode(sequences.from_one_hot(marks), token).alias("text"))
+
+
+def _ctd_sql() -> str:
+    parts = []
+    for groups in sequences.GROUPS.values():
+        g = f"string_split(translate(s, '{''.join(groups)}', '{''.join(str(k) * len(x) for k, x in enumerate(groups, 1))}'), '')"
+        values = [f"len(list_filter(g, lambda c: c = '{k}'))::DOUBLE / n" for k in "123"]
+        values += [f"len(list_filter(range(1, n), lambda i: (g[i] = '{a}' AND g[i + 1] = '{b}') OR (g[i] = '{b}' AND g[i + 1] = '{a}')))::DOUBLE / greatest(n - 1, 1)" for a, b in ("12", "13", "23")]
+        for k in "123":
+            at = f"list_filter(range(1, n + 1), lambda i: g[i] = '{k}')"
+            values += [f"coalesce(({at})[greatest(ceil({p / 100}::DOUBLE * len({at})), 1)::BIGINT]::DOUBLE / n * 100, 0)" for p in sequences.FRACTIONS]
+        parts.append(f"(SELECT item_id, [{', '.join(values)}] AS v FROM (SELECT item_id, length(s) AS n, {g} AS g FROM p))")
+    joined = " JOIN ".join(f"{part} t{k}" + ("" if not k else " USING (item_id)") for k, part in enumerate(parts))
+    whole = " || ".join(f"t{k}.v" for k in range(len(parts)))
+    return f"""WITH p AS (SELECT item_id, s FROM (SELECT item_id, {_PROTEIN} AS s FROM benchmark) WHERE length(s) > 0)
+SELECT item_id, unnest({sequences.ctd_names()}) AS feature, round(unnest({whole}), 6) AS value FROM {joined}"""
+
+
+@query(_ctd_sql())
+def ctd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sequences.featurized(table(spark, sf_dir, "benchmark"), "text", "ctd").select("item_id", F.posexplode("features").alias("pos", "value"))
+    names = F.array(*map(F.lit, sequences.ctd_names()))
+    return rounded(made.select("item_id", F.get(names, F.col("pos")).alias("feature"), "value"), "value")
+
+
 # Metrics and Pareto fronts ----------------------------------------------------------
 
 _JUDGED = "(SELECT l.toxic AS y, d.n_chars AS score, (d.n_chars > 2000)::INTEGER AS predicted FROM labels l JOIN documents d USING (doc_id))"
@@ -335,6 +401,53 @@ def crowding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("crowding", F.when(F.col("crowding") == float("inf"), F.lit(-1.0)).otherwise(F.round("crowding", 6)))
 
 
+_CUSTOMERS = "(SELECT c_custkey AS id, c_nationkey::BIGINT AS run, round(c_acctbal, 2)::DOUBLE AS f1, (c_custkey * 37 % 101)::DOUBLE AS f2, (c_custkey * 53 % 17)::DOUBLE AS f3 FROM customer)"
+_RANKED = f"""p AS {_CUSTOMERS},
+peeled AS (SELECT id, run, 0 AS front FROM p UNION SELECT q.id, q.run, r.front + 1 FROM peeled r JOIN p a ON a.id = r.id JOIN p q ON q.run = a.run
+  AND a.f1 <= q.f1 AND a.f2 <= q.f2 AND a.f3 <= q.f3 AND (a.f1 < q.f1 OR a.f2 < q.f2 OR a.f3 < q.f3)),
+numbered AS (SELECT p.*, f.front FROM p JOIN (SELECT id, max(front)::BIGINT AS front FROM peeled GROUP BY 1) f USING (id))"""
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    more = [F.round("c_acctbal", 2).cast("double").alias("f1"), (key * 37 % 101).cast("double").alias("f2"), (key * 53 % 17).cast("double").alias("f3")]
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_nationkey").cast("long").alias("run"), *more)
+
+
+@query(f"WITH RECURSIVE {_RANKED} SELECT id, run, front FROM numbered")
+def non_dominated_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fronts of each nation's customers as a population."""
+    return pareto.front_numbers(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id", "run").select("id", "run", "front")
+
+
+_GAPS = ", ".join(f"lead(f{k}) OVER o{k} - lag(f{k}) OVER o{k} AS g{k}, max(f{k}) OVER w - min(f{k}) OVER w AS s{k}" for k in (1, 2, 3))
+_ORDERS = ", ".join(f"o{k} AS (PARTITION BY run, front ORDER BY f{k}, id)" for k in (1, 2, 3))
+_CROWD = " + ".join(f"CASE WHEN g{k} IS NULL THEN 'Infinity'::DOUBLE WHEN s{k} = 0 THEN 0 ELSE g{k} / s{k} END" for k in (1, 2, 3))
+
+
+@query(f"""WITH RECURSIVE {_RANKED}, gaps AS (SELECT *, {_GAPS} FROM numbered WINDOW w AS (PARTITION BY run, front), {_ORDERS})
+SELECT id, run, front, row_number() OVER (PARTITION BY run ORDER BY front, {_CROWD} DESC, id) AS place FROM gaps""")
+def pareto_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pareto.pareto_order(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id", "run")
+    return found.select("id", "run", "front", F.col("place").cast("long").alias("place"))
+
+
+_THREE = "(SELECT l_partkey AS id, avg(l_quantity) AS f1, -count(*) AS f2, round(avg(l_discount), 9) AS f3 FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH p AS {_THREE} SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND q.f3 <= p.f3
+  AND (q.f1 < p.f1 OR q.f2 < p.f2 OR q.f3 < p.f3))""")
+def pareto_front_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id"))
+    points = rows.agg(F.avg("l_quantity").cast("double").alias("f1"), (-F.count(F.lit(1))).alias("f2"), F.round(F.avg("l_discount"), 9).cast("double").alias("f3"))
+    return pareto.front(points, ["f1", "f2", "f3"], "id").select("id")
+
+
+@query("SELECT toxic::BIGINT AS toxic, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels WHERE toxic IS NOT NULL)::DOUBLE, 6) AS share FROM labels WHERE toxic IS NOT NULL GROUP BY 1")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clean.class_counts(table(spark, sf_dir, "labels").withColumn("toxic", F.col("toxic").cast("long")), "toxic"), "share")
+
+
 # Objectives and search --------------------------------------------------------------
 
 _X = "list_transform(embedding, lambda v: v::DOUBLE)"
@@ -368,11 +481,48 @@ def ensemble_fitness_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("cand_id", F.col("cand_id").cast("long")), "fitness")
 
 
-@query("""SELECT cand_id, row_id FROM (SELECT doc_id % 4 AS cand_id, doc_id AS row_id, row_number() OVER (PARTITION BY doc_id % 4
-  ORDER BY quality DESC, md5('7|' || (doc_id % 4) || '|' || doc_id), doc_id) AS nth FROM labels WHERE toxic = 0) WHERE nth <= 20""")
+@query("""WITH n AS (SELECT greatest(1, least(count(*) FILTER (toxic = 1), count(*) FILTER (toxic = 0))) AS keep FROM labels),
+c AS (SELECT range AS cand_id FROM range(4))
+SELECT cand_id, row_id FROM (SELECT cand_id, doc_id AS row_id, row_number() OVER (PARTITION BY cand_id
+  ORDER BY (cand_id + doc_id) % 3 = 0 DESC, md5('7|' || cand_id || '|' || doc_id), doc_id) AS nth FROM labels, c WHERE toxic = 0), n WHERE nth <= keep""")
 def undersample_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = table(spark, sf_dir, "labels").where("toxic = 0").select((F.col("doc_id") % 4).alias("cand_id"), F.col("doc_id").alias("row_id"), F.col("quality").alias("bit"))
-    return objectives.undersample_repair(bits, 20, _SEED).select("cand_id", "row_id")
+    """Four candidates, each with a bit for every row of the majority class."""
+    rows = table(spark, sf_dir, "labels")
+    n = rows.agg(F.count_if(F.col("toxic") == 1).alias("minority"), F.count_if(F.col("toxic") == 0).alias("majority")).first()
+    bits = rows.where("toxic = 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cand_id"), F.col("doc_id").alias("row_id"))
+    bits = bits.withColumn("bit", ((F.col("cand_id") + F.col("row_id")) % 3 == 0).cast("int"))
+    return objectives.undersample_repair(bits, objectives.kept_majority(n.minority, n.majority), _SEED).select("cand_id", "row_id")
+
+
+_C_VALUES = ", ".join(f"({k}, [{', '.join(str(max(v, 0.0)) for v in x)}]::DOUBLE[])" for k, x in _CANDIDATES)
+_VOTES = f"""(WITH m AS (SELECT list_transform(embedding, lambda v: least(greatest(v::DOUBLE + 0.5, 0), 1)) AS p, (label < 5)::INTEGER AS y FROM embeddings),
+c AS (SELECT cand_id, list_transform(w, lambda v: v / list_sum(w)) AS w FROM (VALUES {_C_VALUES}) t(cand_id, w))
+SELECT cand_id::BIGINT AS cand_id, y, round(list_inner_product(p, w), 9) AS score FROM m, c)"""
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = objectives.ensemble_scores(_members(spark, sf_dir), spark.createDataFrame(_CANDIDATES, "cand_id long, x array<double>"))
+    return scored.withColumn("score", F.round("score", 9))
+
+
+@query(f"""SELECT cand_id, round(2 * count(*) FILTER (y = 1 AND score > 0.5) / (count(*) FILTER (y = 1) + count(*) FILTER (score > 0.5))::DOUBLE, 6) AS f1 FROM {_VOTES} GROUP BY 1""")
+def ensemble_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = objectives.ensemble_errors(_members(spark, sf_dir), spark.createDataFrame(_CANDIDATES, "cand_id long, x array<double>"), metric="f1")
+    return rounded(found.select("cand_id", (1 - F.col("fitness")).alias("f1")), "f1")
+
+
+@query(f"""SELECT cand_id, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE, 6) AS auc
+FROM (SELECT cand_id, y, (rank() OVER (PARTITION BY cand_id ORDER BY score) + (count(*) OVER (PARTITION BY cand_id, score) - 1) / 2.0)::DOUBLE AS r FROM {_VOTES}) GROUP BY 1""")
+def ensemble_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.auc(_votes(spark, sf_dir), "y", "score", ("cand_id",)), "auc")
+
+
+@query("""SELECT label::BIGINT AS label, unnest(range(64)) AS pos, round(unnest(list_transform(range(64), lambda j: list_sum(list_transform(xs, lambda r: r.w * r.x[j + 1])) / list_sum(list_transform(xs, lambda r: r.w)))), 6) + 0.0 AS value
+FROM (SELECT label, list({'w': (vec_id % 7 + 1)::DOUBLE, 'x': list_transform(embedding, lambda v: v::DOUBLE)}) AS xs FROM embeddings GROUP BY 1)""")
+def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") % 7 + 1).alias("w"))
+    found = objectives.weighted_centroid(rows, "x", "w", "label").select("label", F.posexplode("centroid").alias("pos", "value"))
+    return rounded(found.withColumn("pos", F.col("pos").cast("long")), "value")
 
 
 @query("SELECT vec_id, unnest(list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0.1::FLOAT)) AS feature FROM embeddings")
@@ -398,6 +548,47 @@ def stall_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.stall_lengths(series, "user_id").select("user_id", F.col("stall").cast("long").alias("stall"), "length", "tail")
 
 
+@query(f"""WITH RECURSIVE r AS ({_RUN}),
+f AS (SELECT user_id, 0::BIGINT AS iter, 'Infinity'::DOUBLE AS least, 0::BIGINT AS stalled, 0::BIGINT AS ended, false AS cut, 0::BIGINT AS had FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT f.user_id, r.iter, CASE WHEN r.best < f.least - 5 THEN r.best ELSE f.least END, CASE WHEN r.best < f.least - 5 THEN 0 ELSE f.stalled + 1 END,
+    f.ended + (r.best < f.least - 5 AND f.stalled > 0)::BIGINT, r.best < f.least - 5 AND f.stalled > 0, f.stalled
+  FROM f JOIN r ON r.user_id = f.user_id AND r.iter = f.iter + 1)
+SELECT user_id, ended - 1 AS stall, had AS length, false AS tail FROM f WHERE cut
+UNION ALL SELECT user_id, ended, stalled, true FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iter DESC) AS back FROM f) WHERE back = 1""")
+def stall_lengths_min_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = clean.running_best(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return clean.stalls_beyond(series, "user_id", 5.0).select("user_id", "stall", "length", "tail")
+
+
+def _swarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 32).cast("long").alias("run"), F.col("vec_id").alias("id"), x.alias("x"))
+    return rows.withColumn("f", F.round(objectives.sphere(F.col("x")), 9))
+
+
+_SWARM = "(SELECT vec_id // 32 AS run, vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 9) AS f FROM embeddings)"
+
+
+@query(f"""WITH p AS {_SWARM}, c AS (SELECT 1.0::DOUBLE - (1.0::DOUBLE - 0.00001::DOUBLE) * 0.25::DOUBLE AS c),
+b AS (SELECT run, arg_min(x, {{'f': f, 'id': id}}) AS best FROM p GROUP BY 1),
+d AS (SELECT i.run, i.id, i.x AS xi, j.x AS xj, i.id = j.id AS own, sqrt(list_sum(list_transform(list_zip(i.x, j.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p i JOIN p j ON i.run = j.run),
+s AS (SELECT *, CASE WHEN max(dist) OVER (PARTITION BY run) > 0 THEN 1 + 3 * dist / max(dist) OVER (PARTITION BY run) ELSE 1 END AS scaled FROM d),
+q AS (SELECT run, id, any_value(xi) AS x, list(xj) AS xs, list(CASE WHEN own THEN 0 ELSE (0.5 * exp(-scaled / 1.5) - exp(-scaled)) / (dist + 1e-12) END) AS pull FROM s GROUP BY 1, 2)
+SELECT q.run, q.id, unnest(range(64)) AS pos, round(unnest(list_transform(range(1, 65), lambda k:
+  least(greatest(c * c * 5.12 * list_sum(list_transform(list_zip(xs, pull), lambda z: z[2] * (z[1][k] - x[k]))) + best[k], -5.12), 5.12))), 6) + 0.0 AS value
+FROM q JOIN b USING (run), c""")
+def grasshopper_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of populations of 32 vectors each."""
+    moved = search.grasshopper_step(_swarm(spark, sf_dir), 1, 0.25, -5.12, 5.12, objectives.sphere)
+    return rounded(moved.select("run", "id", F.posexplode("x").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long")), "value")
+
+
+@query(f"SELECT run, id, place FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f, id) AS place FROM {_SWARM}) WHERE place <= 5")
+def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.truncated(_swarm(spark, sf_dir), 5).select("run", "id", F.col("place").cast("long").alias("place"))
+
+
 for _step in (None, *search.STEPS):
 
     def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:

@@ -21,8 +21,8 @@ def molecules(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, lis
     return rows, [c for c in rows.columns if c != "smiles" and c not in EXTRAS[kind]]
 
 
-def drug_targets(spark: SparkSession, path: str, log_transform: bool = False) -> DataFrame:
-    """Drug-target pairs; with ``log_transform`` the affinity as pKd."""
+def drug_targets(spark: SparkSession, path: str, log_transform: bool = True) -> DataFrame:
+    """Drug-target pairs; with ``log_transform`` the affinity, given in nanomoles, as pKd. Scores that are no constants are read without."""
     rows = spark.read.csv(path, header=True, sep="\t", schema="ID1 string, X1 string, ID2 string, X2 string, Y double", enforceSchema=False)
     rows = rows.withColumnsRenamed(DTI)
     return rows.withColumn("affinity", -F.log10(F.col("affinity") * F.lit(1e-9))) if log_transform else rows
@@ -50,9 +50,10 @@ def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     head = head.select("pos", strip(F.col("sample")).alias("sample_id"))
     body = cells.where(strip(F.col("cells")[0]) != "ID_REF").select(strip(F.col("cells")[0]).alias("probe_id"), F.posexplode("cells").alias("pos", "cell"))
     values = body.where("pos > 0").join(head, "pos").select("sample_id", "probe_id", strip(F.col("cell")).try_cast("double").alias("value"))
-    notes = lines.where(F.col("value").startswith("!Sample_characteristics")).select(F.posexplode(F.split("value", "\t")).alias("pos", "cell"))
-    notes = notes.where("pos > 0").select("pos", F.split(strip(F.col("cell")), ":", 2).alias("kv")).where(F.size("kv") == 2)
-    entry = F.struct(F.trim(F.col("kv")[0]).alias("key"), F.trim(F.col("kv")[1]).alias("value"))
-    by_sample = notes.join(head, "pos").where(F.trim(F.col("kv")[1]) != "").groupBy("sample_id").agg(F.collect_set(entry).alias("all"))
-    unique = F.map_from_entries(F.array_sort("all"))
-    return values, by_sample.select("sample_id", unique.alias("meta"))
+    marked = lines.withColumn("line", F.monotonically_increasing_id())
+    notes = marked.where(F.col("value").startswith("!Sample_characteristics")).select("line", F.posexplode(F.split("value", "\t")).alias("pos", "cell"))
+    notes = notes.where("pos > 0").select("pos", "line", F.split(strip(F.col("cell")), ":", 2).alias("kv")).where(F.size("kv") == 2)
+    noted = notes.join(head, "pos").select("sample_id", "line", F.trim(F.col("kv")[0]).alias("key"), F.trim(F.col("kv")[1]).alias("value"))
+    last = noted.where("value <> ''").groupBy("sample_id", "key").agg(F.max_by("value", "line").alias("value"))  # of a repeated key
+    meta = last.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("meta"))
+    return values, meta
