@@ -101,42 +101,32 @@ def ctd_names() -> list[str]:
     return out
 
 
-def _with(value: Column, then) -> Column:
-    """``then(value)``, with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def _distribution(code: Column, n: Column, group: str) -> Column:
-    """Where, in percent of the length, the first, each further quarter and the last letter of a group stand."""
-    places = F.filter(F.transform(F.split(code, ""), lambda c, i: F.when(c == group, i + 1)), lambda i: i.isNotNull())
-
-    def at(p: Column, fraction: int) -> Column:
-        rank = F.greatest(F.ceil(F.lit(fraction / 100) * F.size(p)), F.lit(1)).cast("int")
-        return F.when(F.size(p) > 0, F.get(p, rank - 1) / n * 100.0).otherwise(F.lit(0.0))
-
-    return _with(places, lambda p: F.array(*[at(p, f) for f in FRACTIONS]))
-
-
-def ctd(sequence: Column) -> Column:
-    """Composition, transition and distribution of three groups by seven properties; null for an empty sequence."""
-    n, parts = F.length(sequence), []
-
-    def described(code: Column) -> Column:
-        shares = [(n - F.length(F.replace(code, F.lit(g)))) / F.when(n > 0, n) for g in "123"]
-        turns = [F.regexp_count(code, F.lit(f"{a}(?={b})|{b}(?={a})")) / F.greatest(n - 1, F.lit(1)) for a, b in ("12", "13", "23")]
-        return F.concat(F.array(*shares, *turns), *[_distribution(code, n, g) for g in "123"])
-
+def ctd(column: str) -> Column:
+    """Composition, transition and distribution of three groups by seven properties; null for an empty sequence.
+
+    The distribution tells where, in percent of the length, the first, each further
+    quarter and the last residue of a group stand. Written as one SQL expression, whose
+    lambdas work out each property's string and each group's places once.
+    """
+    n, parts = f"length(`{column}`)", []
+    ranks = [f"get(p, int(greatest(ceil({f / 100}D * size(p)), 1)) - 1)" for f in FRACTIONS]
+    places = ", ".join(f"CASE WHEN size(p) > 0 THEN {rank} / {n} * 100.0D ELSE 0.0D END" for rank in ranks)
     for groups in GROUPS.values():
-        code = F.translate(sequence, "".join(groups), "".join(str(k) * len(g) for k, g in enumerate(groups, 1)))
-        parts.append(_with(code, described))
-    return F.when(n > 0, F.concat(*parts))
+        code = f"translate(`{column}`, '{''.join(groups)}', '{''.join(str(k) * len(g) for k, g in enumerate(groups, 1))}')"
+        values = [f"({n} - length(replace(code, '{g}'))) / {n}" for g in "123"]
+        values += [f"regexp_count(code, '{a}(?={b})|{b}(?={a})') / greatest({n} - 1, 1)" for a, b in ("12", "13", "23")]
+        spread = [f"filter(transform(split(code, ''), (c, i) -> CASE WHEN c = '{g}' THEN i + 1 END), i -> i IS NOT NULL)" for g in "123"]
+        spread = [f"element_at(transform(array({at}), p -> array({places})), 1)" for at in spread]
+        parts.append(f"element_at(transform(array({code}), code -> concat(array({', '.join(values)}), {', '.join(spread)})), 1)")
+    return F.expr(f"CASE WHEN {n} > 0 THEN concat({', '.join(parts)}) END")
 
 
 def featurized(rows: DataFrame, sequence: str, method: str = "aac", on_invalid: str = "drop") -> DataFrame:
     """``rows`` with ``features`` by ``aac`` or ``ctd``; those without any residue go, or raise an error."""
     if method not in ("aac", "ctd") or on_invalid not in ("drop", "raise"):
         raise ValueError("aac or ctd, drop or raise; dipeptides are in long form")
-    made = rows.withColumn("features", {"aac": aac, "ctd": ctd}[method](clean_protein(F.coalesce(sequence, F.lit("")))))
+    cleaned = rows.withColumn("_cleaned", clean_protein(F.coalesce(sequence, F.lit(""))))
+    made = cleaned.withColumn("features", ctd("_cleaned") if method == "ctd" else aac(F.col("_cleaned"))).drop("_cleaned")
     if on_invalid == "drop":
         return made.where(F.col("features").isNotNull())
     sound = F.assert_true(F.col("features").isNotNull(), F.lit("a sequence without residues")).isNull()
