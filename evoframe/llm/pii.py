@@ -4,8 +4,10 @@ One pattern finds the entities of a text from left to right: names after a title
 addresses, access tokens, bank accounts, network addresses, card, phone and social
 security numbers. Each distinct value gets one surrogate for the whole corpus, drawn from
 a keyed hash: digits become digits and letters letters of the same case, separators stay,
-card numbers keep a valid check digit, mail addresses go to reserved domains, and a name
-becomes one of the same script, and of the gender its title tells. Equal values thus stay
+card and account numbers keep valid check digits, mail addresses go to reserved domains.
+A name is its surname and its given name, each with a surrogate of its own of the same
+script, the given name of the gender that its title tells; title and case stay. So
+``Mr Smith``, ``Mr. SMITH`` and ``Mr John Smith`` keep one surname. Equal values stay
 equal, and a table of all distinct values, made before any text is changed, is checked so
 that different values stay different: where two surrogates are equal, or one is a value
 of the corpus, the hash is drawn again for all but one.
@@ -15,7 +17,7 @@ together again, so nothing is replaced inside another match.
 
 Defined results: null texts stay null; texts without entities, empty and very long ones
 pass unchanged but for their entities; a null ``doc_id`` and repeated rows are handled row
-by row; all other columns are passed on.
+by row; all other columns are passed on, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evoframe.llm._common import materialize
+from evoframe.llm._common import materialize, packed
 
 KEY = "evoframe-surrogates-1"
 MOST_ROUNDS = 30
@@ -49,7 +51,15 @@ NAMES = {
         "n": ("Валя", "Женя", "Нюся", "Паша", "Саша", "Слава", "Тося", "Шура", "Ася", "Боря", "Витя", "Геля", "Дуня", "Лёля", "Муся", "Вася"),
         "last": ("Абрамец", "Бойко", "Вольных", "Гуд", "Долгих", "Ернык", "Живаго", "Зима", "Ильюх", "Коваль", "Лысенко", "Мороз", "Нечай", "Орлик", "Панько", "Рудь"),
     },
+    "greek": {
+        "f": ("Άννα", "Δάφνη", "Ελένη", "Ζωή", "Θάλεια", "Κλειώ", "Λήδα", "Νίκη"),
+        "m": ("Άρης", "Βίκτωρ", "Ηλίας", "Θωμάς", "Κώστας", "Λουκάς", "Μάρκος", "Πέτρος"),
+        "n": ("Αλέξ", "Ντάνι", "Πάτι", "Ρόμπι", "Σάσα", "Τόνι", "Φράνσις", "Χάρις"),
+        "last": ("Βέργος", "Γκίκας", "Δούκας", "Ζέρβας", "Κόκκινος", "Λάσκος", "Μελάς", "Ράλλης"),
+    },
 }
+#: Letters that make surrogate names distinct, by script.
+TAILS = {"latin": "aeiounrstlmdaeio", "cyrillic": "аеиоунрстлмдаеио", "greek": "αειουνρστλμδαειο"}
 
 _WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _INITIALS = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
@@ -154,41 +164,81 @@ def _address(digest: Column) -> Column:
     return F.concat_ws(".", *[p.cast("string") for p in (first, *(_nibble(digest, F.lit(i)) for i in range(3)))])
 
 
-def _name(value: Column, digest: Column, salt: Column) -> Column:
-    """The title stays; given name and surname are of the same script, and of the title's gender."""
-    title = F.regexp_extract(value, rf"^(?:{_TITLE})\.?[ \u00a0]", 0)
-    rest = F.substr(value, F.length(title) + 1, F.length(value))
-    bare = F.regexp_replace(title, r"[. \u00a0]", "")
-    gender = F.when(bare.isin(*TITLES["f"]), F.lit("f")).when(bare.isin(*TITLES["m"]), F.lit("m")).otherwise(F.lit("n"))
+def _account(value: Column, digest: Column) -> Column:
+    """The country stays; the check digits are right for the new number."""
+    country, rest = F.substring(value, 1, 2), _rewritten(F.substr(value, F.lit(5), F.length(value)), digest)
+    letters = F.split(F.concat(F.replace(rest, F.lit(" "), F.lit("")), country, F.lit("00")), "")
+
+    def more(left: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (left * 10 + c.cast("int")) % 97).when(c.rlike("[A-Z]"), (left * 100 + F.ascii(c) - 55) % 97).otherwise(left)
+
+    check = 98 - F.aggregate(letters, F.lit(0), more)
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
+
+
+#: Kinds of the parts of names: a surname, and given names by gender.
+NAME_KINDS = ("last", "f", "m", "n")
 
-    def made(lists: dict) -> Column:
-        def pick(names: tuple[str, ...], at: int) -> Column:
-            return F.get(F.array(*map(F.lit, names)), _nibble(digest, F.lit(at)) % len(names))
 
-        given = F.when(gender == "f", pick(lists["f"], 0)).when(gender == "m", pick(lists["m"], 0)).otherwise(pick(lists["n"], 0))
+def _name_part(kind: Column, value: Column, digest: Column, salt: Column) -> Column:
+    """A lower-case name for a lower-case one of the same script."""
+
+    def made(script: str) -> Column:
+        def pick(names: tuple[str, ...]) -> Column:
+            return F.get(F.array(*map(F.lit, names)), _nibble(digest, F.lit(1)) % len(names))
+
+        lists = NAMES[script]
+        name = F.coalesce(*[F.when(kind == k, pick(lists[k])) for k in NAME_KINDS])
         # further letters keep distinct names distinct, the more the more often a name was drawn
-        tail = F.translate(F.substr(digest, F.lit(9), 4 + salt * 2), "0123456789abcdef", lists["letters"])
-        last = F.concat(pick(lists["last"], 1), tail)
-        return F.when(rest.rlike(r"[ \u00a0]"), F.concat(given, F.lit(" "), last)).otherwise(last)
+        length = F.when(kind == "last", F.lit(4)).otherwise(F.lit(2)) + salt * 2
+        return F.lower(F.concat(name, F.translate(F.substr(digest, F.lit(9), length), "0123456789abcdef", TAILS[script])))
+
+    return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(value.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
+
+
+def _title(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^(?:{_TITLE})\.?[ \u00a0]", 0)
 
-    latin = made(NAMES["latin"] | {"letters": "aeiounrstlmdaeio"})
-    cyrillic = made(NAMES["cyrillic"] | {"letters": "аеиоунрстлмдаеио"})
-    new = F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
-    new = F.when(rest == F.upper(rest), F.upper(new)).otherwise(new)
-    return F.concat(title, new)
+
+def _words(value: Column) -> Column:
+    """The words of a name after its title."""
+    return F.split(F.substr(value, F.length(_title(value)) + 1, F.length(value)), r"[ \u00a0]")
+
+
+def parts_of(kind: Column, value: Column) -> Column:
+    """What of a found value has a surrogate of its own, as ``kind, value``: a name's surname and given name, else all of it."""
+    bare = F.regexp_replace(_title(value), r"[. \u00a0]", "")
+    gender = F.when(bare.isin(*TITLES["f"]), F.lit("f")).when(bare.isin(*TITLES["m"]), F.lit("m")).otherwise(F.lit("n"))
+    words = F.transform(_words(value), F.lower)
+    last = F.struct(F.lit("last").alias("kind"), F.element_at(words, -1).alias("value"))
+    given = F.struct(gender.alias("kind"), F.element_at(words, 1).alias("value"))
+    whole = F.array(F.struct(kind.alias("kind"), value.alias("value")))
+    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(last, given)).otherwise(F.array(last))).otherwise(whole)
+
+
+def _put_together(kind: Column, value: Column, news: Column) -> Column:
+    """A found value's replacement from the surrogates of its parts; names in the case of the words they stand for."""
+
+    def cased(new: Column, old: Column) -> Column:
+        return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
+
+    words = _words(value)
+    last, given = cased(news[0], F.element_at(words, -1)), cased(F.get(news, F.lit(1)), F.element_at(words, 1))
+    name = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), last)).otherwise(last)
+    return F.when(kind == "name", F.concat(_title(value), name)).otherwise(news[0])
 
 
 def surrogate(kind: Column, value: Column, salt: Column, key: str = KEY) -> Column:
     """The replacement of a value for one draw."""
     digest = _digest(key, kind, value, salt)
     return (
-        F.when(kind == "name", _name(value, digest, salt))
+        F.when(kind.isin(*NAME_KINDS), _name_part(kind, value, digest, salt))
         .when(kind == "mail", _mail(value, digest))
         .when(kind == "address", _address(digest))
         .when(kind == "card", _card(value, digest))
         .when((kind == "token") & value.rlike("^[0-9a-fA-F]+$"), _hex(value, digest))
         .when(kind == "token", F.concat(F.regexp_extract(value, "^(?:AKIA|gh[pousr]_|sk-)", 0), _rewritten(F.regexp_replace(value, "^(?:AKIA|gh[pousr]_|sk-)", ""), digest)))
-        .when(kind == "account", F.concat(F.substring(value, 1, 2), _rewritten(F.substr(value, F.lit(3), F.length(value)), digest)))
+        .when(kind == "account", _account(value, digest))
         .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3})?", 0), _rewritten(F.regexp_replace(value, r"^\+[0-9]{1,3}", ""), digest)))
         .otherwise(_rewritten(value, digest))
     )
@@ -201,44 +251,53 @@ def values_of(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """``value, surrogate``: no two surrogates are equal, and none is itself a value.
+    """``kind, value, surrogate``: no two surrogates are equal, and none is itself a value.
 
     Draws are repeated only for values whose surrogate is taken: the one with the smallest
-    (draw, value) keeps it. The number of rounds does not follow the number of values.
+    (draw, kind, value) keeps it. The number of rounds does not follow the number of values.
     """
-    values = materialize(values.select("value", "kind"))
-    drawn = materialize(values.select("value", "kind", F.lit(0).alias("salt"), surrogate(F.col("kind"), F.col("value"), F.lit(0), key).alias("surrogate")))
-    real = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("is_value"))
+    values = materialize(values.select("kind", "value"))
+    drawn = materialize(values.select("kind", "value", F.lit(0).alias("salt"), surrogate(F.col("kind"), F.col("value"), F.lit(0), key).alias("surrogate")))
+    real = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("is_value")).distinct()
     for _ in range(MOST_ROUNDS):
-        order = Window.partitionBy("surrogate").orderBy("salt", "value")
+        order = Window.partitionBy("surrogate").orderBy("salt", "kind", "value")
         seen = drawn.join(real, "surrogate", "left").withColumn("nth", F.row_number().over(order))
         again = seen.where((F.col("nth") > 1) | F.col("is_value").isNotNull())
         if again.isEmpty():
-            return drawn.select("value", "surrogate")
-        again = again.select("value", "kind", (F.col("salt") + 1).alias("salt"))
+            return drawn.select("kind", "value", "surrogate")
+        again = again.select("kind", "value", (F.col("salt") + 1).alias("salt"))
         redrawn = again.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("salt"), key))
-        kept = drawn.join(again.select("value"), "value", "left_anti")
+        kept = drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti")
         drawn = materialize(kept.unionByName(redrawn.select(*kept.columns)))
     raise RuntimeError("surrogates did not become distinct")
 
 
+def replacements(values: DataFrame, key: str = KEY) -> DataFrame:
+    """``value, surrogate`` for every distinct entity ``value, kind``, from the surrogates of its parts."""
+    parts = materialize(values.select("value", "kind", F.posexplode(parts_of(F.col("kind"), F.col("value"))).alias("at", "part")))
+    table = surrogates(parts.select("part.*").distinct(), key).select(F.struct("kind", "value").alias("part"), "surrogate")
+    news = F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda s: s.surrogate)
+    found = parts.join(table, "part").groupBy("value", "kind").agg(news.alias("news"))
+    return found.select("value", _put_together(F.col("kind"), F.col("value"), F.col("news")).alias("surrogate"))
+
+
 def replace_pii(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """``docs`` with every entity of ``column`` replaced, other columns as they are."""
-    names = docs.columns
-    table = surrogates(values_of(docs.select(F.col(f"`{column}`").alias("text"))), key)
+    kinds = dict(docs.dtypes)
+    table = replacements(values_of(docs.select(F.col(f"`{column}`").alias("text"))), key)
 
     # Rows with entities: each entity's surrogate by its place, then the text put together.
-    marked = docs.withColumn("pii_found", entities(F.col(f"`{column}`")))
-    some = F.size("pii_found") > 0
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in names if dict(docs.dtypes)[c].split("<")[0] != "map"])
-    hit = marked.where(some).withColumn("pii_row", row)
-    places = hit.select("pii_row", F.explode(F.array_distinct("pii_found")).alias("value")).distinct()
-    pairs = places.join(table, "value").groupBy("pii_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("pii_map"))
-    gaps = F.split(F.col(f"`{column}`"), PATTERN, -1)
-    news = F.transform("pii_found", lambda v: F.element_at(F.col("pii_map"), v))
+    marked = packed(docs).withColumn("text", F.col("row").getField(column)).withColumn("found", entities(F.col("text")))
+    some = F.size("found") > 0
+    own = F.xxhash64(*[F.col("row").getField(c) for c in docs.columns if kinds[c].split("<")[0] != "map"])
+    hit = marked.where(some).withColumn("own", own)
+    places = hit.select("own", F.explode(F.array_distinct("found")).alias("value")).distinct()
+    pairs = places.join(table, "value").groupBy("own").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("new"))
+    gaps = F.split(F.col("text"), PATTERN, -1)
+    news = F.transform("found", lambda v: F.element_at(F.col("new"), v))
     whole = F.array_join(F.flatten(F.zip_with(gaps, news, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
-    changed = hit.join(pairs, "pii_row").withColumn(column, whole).select(*[F.col(f"`{c}`") for c in names])
-    return marked.where(~some).select(*[F.col(f"`{c}`") for c in names]).unionByName(changed)
+    changed = marked.where(~some).select("row", "text").unionByName(hit.join(pairs, "own").select("row", whole.alias("text")))
+    return changed.select(*[F.col("text").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:

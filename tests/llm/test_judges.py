@@ -166,6 +166,18 @@ def test_surrogates_stay_distinct_and_names_match(spark):
     assert one.startswith(two) and re.search(r"Г-жа [А-Яа-яё]+,", one) and re.search(r"Dr\. \w+ \w+", one)
 
 
+def test_names_corefer_and_clashing_columns_stay(spark):
+    text = "Mr Smith met Mr. SMITH and Mr John Smith, Dr. Παπαδόπουλος paid DE89 3704 0044 0532 0130 00."
+    docs = spark.createDataFrame([(1, text, "a", "b"), (2, None, "c", "d")], "doc_id long, text string, found string, row string")
+    one, two = pii.replace_pii(docs).orderBy("doc_id").collect()
+    match = re.fullmatch(r"Mr (\w+) met Mr\. (\w+) and Mr (\w+) (\w+), Dr\. ([Α-ώΆ-Ώ]+) paid (DE[0-9 ]+)\.", one.text)
+    assert match, one.text
+    assert match[1] != "Smith" and match[1].upper() == match[2] and match[4] == match[1] and match[3] != "John" and match[5] != "Παπαδόπουλος"
+    number = match[6].replace(" ", "")
+    assert len(number) == 22 and int(number[4:] + "1314" + number[2:4]) % 97 == 1 and number != "DE89370400440532013000"
+    assert (one.found, one.row, two.text, two.found, two.row) == ("a", "b", None, "c", "d")
+
+
 def test_surrogates_collide_in_a_tight_space(spark, monkeypatch):
     values = spark.createDataFrame([(f"+1 {i:03d} 00", "phone") for i in range(60)], "value string, kind string")
     monkeypatch.setattr(pii, "_rewritten", lambda value, digest: __import__("pyspark").sql.functions.concat(
