@@ -4,7 +4,8 @@ One pattern finds the entities of a text from left to right: names after a title
 addresses, access tokens, bank accounts, network addresses, card, phone and social
 security numbers. Each distinct value gets one surrogate for the whole corpus, drawn from
 a keyed hash: digits become digits and letters letters of the same case, separators stay,
-card and account numbers keep valid check digits, mail addresses go to reserved domains.
+card and account numbers keep valid check digits, mail addresses go to reserved domains,
+those of one domain to one.
 A name is its surname and its given name, each with a surrogate of its own of the same
 script, the given name of the gender that its title tells; title and case stay. So
 ``Mr Smith``, ``Mr. SMITH`` and ``Mr John Smith`` keep one surname. Equal values stay
@@ -22,13 +23,16 @@ by row; all other columns are passed on, whatever their names; no rows give no r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.llm._common import materialize, packed
 
 KEY = "evoframe-surrogates-1"
-MOST_ROUNDS = 30
+#: Draws that keep the format; a format with fewer forms than the corpus has values needs more.
+LAST_IN_FORMAT = 30
 
 #: Titles by the gender they tell.
 TITLES = {
@@ -68,7 +72,7 @@ _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=la
 #: What is found, in order of preference where two begin at the same place.
 KINDS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.?[ \u00a0]{_WORD}(?:[ \u00a0]{_WORD})?",
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "token": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -81,7 +85,19 @@ KINDS = {
         r"|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4})(?![A-Za-z0-9])"
     ),
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+_WORD_START, _DIGIT = r"(?<![A-Za-z0-9])", r"(?=[0-9])"
+
+
+def _any_of(*kinds: str) -> str:
+    return "(?:" + "|".join(f"(?:{KINDS[k]})" for k in kinds) + ")"
+
+
+#: All kinds in their order. What none of a group can begin with is ruled out once for the group, so most places cost one test.
+PATTERN = "|".join((
+    _WORD_START + _any_of("name", "mail", "token", "account"),
+    _DIGIT + _any_of("address", "security"),
+    _WORD_START + "(?=[0-9+(])" + _any_of("card", "phone"),
+))
 #: No entity is without one of these, and most texts have none.
 _HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.?[ \u00a0]\p{{Lu}}"
 
@@ -104,6 +120,11 @@ def _digest(key: str, kind: Column, value: Column, salt: Column) -> Column:
     return F.sha2(message, 512)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _nibble(digest: Column, at: Column) -> Column:
     """A number from 0 to 255 at a place that wraps around."""
     return F.conv(F.substr(digest, at * 2 % 126 + 1, F.lit(2)), 16, 10).cast("int")
@@ -153,10 +174,11 @@ def _card(value: Column, digest: Column) -> Column:
     return F.concat(F.substr(made, F.lit(1), F.length(made) - 1), check)
 
 
-def _mail(value: Column, digest: Column) -> Column:
-    local = F.substring_index(value, "@", 1)
-    domain = F.concat(F.lit("mail"), (_nibble(digest, F.lit(60)) * 256 + _nibble(digest, F.lit(61))).cast("string"), F.lit(".example.org"))
-    return F.concat(_rewritten(local, digest), F.lit("@"), domain)
+def _mail(value: Column, digest: Column, key: str) -> Column:
+    """Addresses of one domain, whatever its case, stay at one domain."""
+    local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
+    new = F.conv(F.substr(_digest(key, F.lit("domain"), domain, F.lit(0)), F.lit(1), F.lit(15)), 16, 10)
+    return F.concat(_rewritten(local, digest), F.lit("@mail"), new, F.lit(".example.org"))
 
 
 def _address(digest: Column) -> Column:
@@ -229,24 +251,39 @@ def _put_together(kind: Column, value: Column, news: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, salt: Column, key: str = KEY) -> Column:
-    """The replacement of a value for one draw."""
-    digest = _digest(key, kind, value, salt)
-    return (
-        F.when(kind.isin(*NAME_KINDS), _name_part(kind, value, digest, salt))
-        .when(kind == "mail", _mail(value, digest))
-        .when(kind == "address", _address(digest))
-        .when(kind == "card", _card(value, digest))
-        .when((kind == "token") & value.rlike("^[0-9a-fA-F]+$"), _hex(value, digest))
-        .when(kind == "token", F.concat(F.regexp_extract(value, "^(?:AKIA|gh[pousr]_|sk-)", 0), _rewritten(F.regexp_replace(value, "^(?:AKIA|gh[pousr]_|sk-)", ""), digest)))
-        .when(kind == "account", _account(value, digest))
-        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3})?", 0), _rewritten(F.regexp_replace(value, r"^\+[0-9]{1,3}", ""), digest)))
-        .otherwise(_rewritten(value, digest))
-    )
-
-
-def values_of(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The replacement of a value for one draw. From draw ``LAST_IN_FORMAT`` on, further digits follow it."""
+    prefix = r"^(?:AKIA|gh[pousr]_|sk-)"
+    country = r"^\+[0-9]{1,3}"
+
+    def after(pattern: str, digest: Column) -> Column:
+        return F.concat(F.regexp_extract(value, pattern, 0), _rewritten(F.regexp_replace(value, pattern, ""), digest))
+
+    def made(digest: Column) -> Column:
+        new = (
+            F.when(kind.isin(*NAME_KINDS), _name_part(kind, value, digest, salt))
+            .when(kind == "mail", _mail(value, digest, key))
+            .when(kind == "address", _address(digest))
+            .when(kind == "card", _card(value, digest))
+            .when((kind == "token") & value.rlike("^[0-9a-fA-F]+$"), _hex(value, digest))
+            .when(kind == "token", after(prefix, digest))
+            .when(kind == "account", _account(value, digest))
+            .when(kind == "phone", after(country, digest))
+            .otherwise(_rewritten(value, digest))
+        )
+        return F.when(salt < LAST_IN_FORMAT, new).otherwise(F.concat(new, F.lit("-"), F.substr(digest, F.lit(1), F.lit(32))))
+
+    return _let(_digest(key, kind, value, salt), made)
+
+
+def _marked(docs: DataFrame, column: str) -> DataFrame:
+    """``row, own, found``: each row, a number of its own and its entities, written once, since finding them is the costly part."""
+    found = entities(F.col("row").getField(column))
+    return materialize(packed(docs).select("row", F.monotonically_increasing_id().alias("own"), found.alias("found")))
+
+
+def _values(marked: DataFrame) -> DataFrame:
     """``value, kind``: every distinct entity of the corpus."""
-    values = docs.select(F.explode(F.array_distinct(entities(F.col(column)))).alias("value")).distinct()
+    values = marked.select(F.explode(F.array_distinct("found")).alias("value")).distinct()
     return values.withColumn("kind", kind_of(F.col("value")))
 
 
@@ -254,12 +291,13 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, value, surrogate``: no two surrogates are equal, and none is itself a value.
 
     Draws are repeated only for values whose surrogate is taken: the one with the smallest
-    (draw, kind, value) keeps it. The number of rounds does not follow the number of values.
+    (draw, kind, value) keeps it. The number of rounds does not follow the number of values:
+    after ``LAST_IN_FORMAT`` draws a surrogate is 128 bits longer, and so distinct.
     """
     values = materialize(values.select("kind", "value"))
     drawn = materialize(values.select("kind", "value", F.lit(0).alias("salt"), surrogate(F.col("kind"), F.col("value"), F.lit(0), key).alias("surrogate")))
     real = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("is_value")).distinct()
-    for _ in range(MOST_ROUNDS):
+    while True:
         order = Window.partitionBy("surrogate").orderBy("salt", "kind", "value")
         seen = drawn.join(real, "surrogate", "left").withColumn("nth", F.row_number().over(order))
         again = seen.where((F.col("nth") > 1) | F.col("is_value").isNotNull())
@@ -269,7 +307,6 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
         redrawn = again.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("salt"), key))
         kept = drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti")
         drawn = materialize(kept.unionByName(redrawn.select(*kept.columns)))
-    raise RuntimeError("surrogates did not become distinct")
 
 
 def replacements(values: DataFrame, key: str = KEY) -> DataFrame:
@@ -281,27 +318,28 @@ def replacements(values: DataFrame, key: str = KEY) -> DataFrame:
     return found.select("value", _put_together(F.col("kind"), F.col("value"), F.col("news")).alias("surrogate"))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """``docs`` with every entity of ``column`` replaced, other columns as they are."""
-    kinds = dict(docs.dtypes)
-    table = replacements(values_of(docs.select(F.col(f"`{column}`").alias("text"))), key)
-
-    # Rows with entities: each entity's surrogate by its place, then the text put together.
-    marked = packed(docs).withColumn("text", F.col("row").getField(column)).withColumn("found", entities(F.col("text")))
+def _changed(marked: DataFrame, key: str, column: str) -> DataFrame:
+    """``marked`` with ``text``, each row's new text."""
+    table = replacements(_values(marked), key)
     some = F.size("found") > 0
-    own = F.xxhash64(*[F.col("row").getField(c) for c in docs.columns if kinds[c].split("<")[0] != "map"])
-    hit = marked.where(some).withColumn("own", own)
-    places = hit.select("own", F.explode(F.array_distinct("found")).alias("value")).distinct()
+    places = marked.where(some).select("own", F.explode(F.array_distinct("found")).alias("value"))
     pairs = places.join(table, "value").groupBy("own").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("new"))
-    gaps = F.split(F.col("text"), PATTERN, -1)
+
+    # the text is cut at its entities and put together again
+    gaps = F.split(F.col("row").getField(column), PATTERN, -1)
     news = F.transform("found", lambda v: F.element_at(F.col("new"), v))
     whole = F.array_join(F.flatten(F.zip_with(gaps, news, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
-    changed = marked.where(~some).select("row", "text").unionByName(hit.join(pairs, "own").select("row", whole.alias("text")))
+    hit = marked.where(some).join(pairs, "own").select("row", "found", whole.alias("text"))
+    return marked.where(~some).select("row", "found", F.col("row").getField(column).alias("text")).unionByName(hit)
+
+
+def replace_pii(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+    """``docs`` with every entity of ``column`` replaced, other columns as they are."""
+    changed = _changed(_marked(docs, column), key, column)
     return changed.select(*[F.col("text").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``doc_id, text, n_entities``: each document's new text and how many entities it had."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("n_entities", F.size(entities(F.col("text"))).cast("long"))
-    return replace_pii(rows, key)
+    changed = _changed(_marked(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text"), key, "text")
+    return changed.select(F.col("row.doc_id").alias("doc_id"), "text", F.size("found").cast("long").alias("n_entities"))

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from evoframe.llm import language, pii, quality, queries, topk, urlfilter
@@ -186,6 +187,36 @@ def test_surrogates_collide_in_a_tight_space(spark, monkeypatch):
     assert len(set(found)) == 60
 
 
+def brute_entities(text: str) -> list[tuple[int, int, str]]:
+    """Begin, end and kind: at each place every kind is tried in turn."""
+    kinds, found, at = {k: regex.compile(p) for k, p in pii.KINDS.items()}, [], 0
+    while at < len(text):
+        kind, match = next(((k, m) for k, p in kinds.items() if (m := p.match(text, at))), (None, None))
+        if match:
+            found.append((at, match.end(), kind))
+        at = match.end() if match else at + 1
+    return found
+
+
+def test_personal_data_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "x@y.org x@Y.ORG z@y.org v1.2.3.4 SSN123-45-6789 +49 30 1234567 and 030-555-1234, Mr Bo Li; Mr Li"), (-2, "")], docs.schema))
+    new = {r.doc_id: (r.text, r.n_entities) for r in pii.pii_digest(docs).collect()}
+    old = {r.doc_id: r.text or "" for r in docs.collect()}
+    spans = {i: brute_entities(text) for i, text in old.items()}
+    values = {(old[i][a:b], kind) for i, found in spans.items() for a, b, kind in found}
+    table = {r.value: r.surrogate for r in pii.replacements(spark.createDataFrame(sorted(values), "value string, kind string")).collect()}
+    assert set(table) == {v for v, _ in values} and len(values) > 20 and not set(table.values()) & set(table)
+    for i, text in old.items():
+        cuts = [0, *(e for a, b, _ in spans[i] for e in (a, b)), len(text)]
+        pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        assert new[i] == ("".join(table[p] if k % 2 else p for k, p in enumerate(pieces)), len(spans[i])), i
+    kinds = {k: regex.compile(p) for k, p in pii.KINDS.items()}
+    for value, kind in values:
+        assert kinds[kind].fullmatch(table[value]), (value, table[value])
+    assert table["x@y.org"].split("@")[1] == table["x@Y.ORG"].split("@")[1] == table["z@y.org"].split("@")[1]
+
+
 def test_no_personal_data(nothing):
     assert pii.pii_digest(nothing).count() == 0
 
