@@ -103,3 +103,23 @@ def selected(x: Column, threshold: float = 0.5) -> Column:
     """Indexes, from 0, of the features whose value is above the threshold."""
     marked = F.transform(x, lambda v, i: F.when(v > threshold, i))
     return F.filter(marked, lambda i: i.isNotNull())
+
+
+def zdt1(x: Column) -> Column:
+    """The two-objective test function ZDT1 as ``f1, f2``."""
+    first = F.get(x, F.lit(0))
+    g = 1.0 + 9.0 * _total(F.slice(x, 2, F.size(x))) / (F.size(x) - 1)
+    return F.struct(first.alias("f1"), (g * (1.0 - F.sqrt(first / g))).alias("f2"))
+
+
+def levy_step(u: Column, v: Column, beta: float = 1.5, scale: float = 1.0) -> Column:
+    """A heavy-tailed step from two standard normal numbers; null where ``v`` is 0."""
+    spread = math.gamma(1 + beta) * math.sin(math.pi * beta / 2) / (math.gamma((1 + beta) / 2) * beta * 2 ** ((beta - 1) / 2))
+    return scale * spread ** (1 / beta) * u / F.pow(F.abs(F.when(v != 0, v)), F.lit(1 / beta))
+
+
+def accepted(f: Column, new: Column, temperature: Column, u: Column) -> Column:
+    """Whether a proposal is taken: always if it is better, else with a chance that falls with its loss; never if it is not finite."""
+    loss = new - f
+    finite = ~F.isnan(loss) & (F.abs(loss) < float("inf"))
+    return ((new < f) & ~F.isnan(new)) | (finite & (u < F.exp(-loss / temperature)))

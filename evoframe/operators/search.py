@@ -131,10 +131,12 @@ STEPS = {"grasshopper": grasshopper_step, "grey_wolf": grey_wolf_step, "sine_cos
 
 
 def search(
-    spark: SparkSession, step: str | None, objective: Objective, low: float, high: float, dimension: int = 10, runs: int = 4, size: int = 30, iterations: int = 20, seed: int = 0
+    spark: SparkSession, step: str | Callable | None, objective: Objective, low: float, high: float, dimension: int = 10, runs: int = 4, size: int = 30, iterations: int = 20, seed: int = 0
 ) -> DataFrame:
     """``run, evals, best`` of each run; without a step, random search of the same budget in one job.
 
+    A step is one of ``STEPS`` by name or a function like them; columns that it adds reach its next call.
+
     A step reads its population several times, so each one is cut from its lineage by
     ``checkpoint`` into the shared folder.
     """
@@ -147,7 +149,7 @@ def search(
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     population = initial(spark, runs, size, dimension, low, high, objective, seed).withColumn("top", F.col("f")).checkpoint()
     for i in range(1, iterations):
-        moved = STEPS[step](population.select("run", "id", "x", "f"), i, i / iterations, low, high, objective, seed)
+        moved = (STEPS[step] if isinstance(step, str) else step)(population.drop("top"), i, i / iterations, low, high, objective, seed)
         population = moved.join(population.select("run", "id", "top"), ["run", "id"]).withColumn("top", F.least("top", "f"))
         population = population.checkpoint()
     return population.groupBy("run").agg((F.count(F.lit(1)) * iterations).alias("evals"), F.min("top").alias("best"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import clean, matrix, objectives, pairs, pareto, search
+from evoframe.operators import clean, matrix, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -589,9 +589,115 @@ def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.truncated(_swarm(spark, sf_dir), 5).select("run", "id", F.col("place").cast("long").alias("place"))
 
 
-for _step in (None, *search.STEPS):
+# Selections -------------------------------------------------------------------------
+
+_PEOPLE = "(SELECT vec_id // 32 AS run, vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, round(embedding[1]::DOUBLE, 6) AS f FROM embeddings)"
+_DRAW = "((id * 37 % 101)::DOUBLE / 101)"
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Populations of 32 vectors each, rated by their first coordinate."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 32).cast("long").alias("run"), F.col("vec_id").alias("id"), x.alias("x"))
+    return rows.withColumn("f", F.round(F.col("x")[0], 6))
+
+
+def _drawn() -> Column:
+    return (F.col("id") * 37 % 101).cast("double") / 101.0
+
+
+@query(f"SELECT run, id, place FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f DESC, id DESC) AS place FROM {_PEOPLE}) WHERE place <= 5")
+def worst_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.worst(_people(spark, sf_dir), 5).select("run", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH RECURSIVE {_RANKED}, gaps AS (SELECT *, {_GAPS} FROM numbered WINDOW w AS (PARTITION BY run, front), {_ORDERS})
+SELECT * FROM (SELECT id, run, front, row_number() OVER (PARTITION BY run ORDER BY front, {_CROWD} DESC, id) AS place FROM gaps) WHERE place <= 20""")
+def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.survivors(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id", "run", 20)
+    return found.select("id", "run", "front", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH gaps AS (SELECT *, {_GAPS} FROM {_CUSTOMERS} WINDOW w AS (PARTITION BY run), {_ORDERS.replace("run, front", "run")})
+SELECT id, run, row_number() OVER (PARTITION BY run ORDER BY id) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {_CROWD} DESC, id) AS nth FROM gaps) WHERE nth <= 20""")
+def archive_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.capped(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id", "run", 20)
+    return found.select("id", "run", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH r AS (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY f, id) - 1 AS k, count(*) OVER (PARTITION BY run) AS n FROM {_PEOPLE}),
+w AS (SELECT run, id, exp(-power(k / (0.1::DOUBLE * n), 2) / 2) AS w FROM r)
+SELECT run, id, round(w / sum(w) OVER (PARTITION BY run), 6) + 0.0 AS weight FROM w""")
+def rank_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(selection.rank_weights(_people(spark, sf_dir)).select("run", "id", "weight"), "weight")
+
+
+@query(f"""WITH p AS (SELECT *, (count(*) OVER (PARTITION BY run) - row_number() OVER (PARTITION BY run ORDER BY f, id) + 1)::DOUBLE AS weight FROM {_PEOPLE}),
+e AS (SELECT run, id, sum(weight) OVER (PARTITION BY run ORDER BY id) AS "end", sum(weight) OVER (PARTITION BY run) AS total FROM p),
+d AS (SELECT run, id AS draw, {_DRAW} AS u FROM p)
+SELECT d.run, draw, min(e.id) AS id FROM d JOIN e ON d.run = e.run AND e."end" > u * total GROUP BY 1, 2""")
+def roulette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many draws as individuals; the better the rank, the larger the share."""
+    people, run = _people(spark, sf_dir), Window.partitionBy("run")
+    weight = F.count(F.lit(1)).over(run) - F.row_number().over(run.orderBy("f", "id")) + 1
+    return selection.roulette(people.withColumn("weight", weight.cast("double")), people.select("run", F.col("id").alias("draw"), _drawn().alias("u")))
+
+
+@query(f"SELECT run, id % 8 AS tournament, arg_min(id, {{'f': f, 'id': id}}) AS id FROM {_PEOPLE} GROUP BY 1, 2")
+def tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _people(spark, sf_dir)
+    return selection.winners(people, people.select("run", (F.col("id") % 8).alias("tournament"), "id"))
+
+
+@query(f"""WITH p AS {_PEOPLE}, d AS (SELECT i.run, i.id, j.id AS other, sqrt(list_sum(list_transform(list_zip(i.x, j.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+  FROM p i JOIN p j ON i.run = j.run AND i.id <> j.id),
+r AS (SELECT *, 0.97::DOUBLE * sum(d) OVER w / (count(*) OVER w + 1) AS radius FROM d WINDOW w AS (PARTITION BY run, id))
+SELECT run, id, round(any_value(radius), 6) + 0.0 AS radius, count(*) FILTER (d < radius) AS n_near, arg_min(other, {{'d': d, 'id': other}}) AS nearest FROM r GROUP BY 1, 2""")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone's radius, how many of its run lie within, and the nearest."""
+    found = selection.neighbours(_people(spark, sf_dir), 0.97)
+    return rounded(found.select("run", "id", "radius", F.size("near").cast("long").alias("n_near"), F.get("others", F.lit(0)).id.alias("nearest")), "radius")
+
+
+@query(f"""WITH RECURSIVE {_RANKED}, z AS (SELECT id, run, f2 / max(f2) OVER (PARTITION BY run) AS u, f1 AS v FROM numbered WHERE front = 0),
+c AS (SELECT run, arg_min({{'u': u, 'v': v}}, {{'u': u, 'v': v, 'id': id}}) AS a, arg_max({{'u': u, 'v': v}}, {{'u': u, 'v': v, 'id': id}}) AS b FROM z GROUP BY 1),
+o AS (SELECT z.*, coalesce(round(abs((b.u - a.u) * (v - a.v) - (b.v - a.v) * (z.u - a.u)) / nullif(sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)), 0), 9), 0) AS o FROM z JOIN c USING (run))
+SELECT run, arg_min(id, {{'o': -o, 'u': u, 'v': v, 'id': id}}) AS id FROM o GROUP BY 1""")
+def knees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knee of each nation's first front."""
+    points = _customers(spark, sf_dir)
+    first = pareto.front_numbers(points, ["f1", "f2", "f3"], "id", "run").where(F.col("front") == 0)
+    return selection.knees(points.join(first, ["run", "id"]), "f2", "f1", "id", "run").select("run", "id")
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: least(abs(v::DOUBLE), 1)) AS x FROM embeddings),
+g AS (SELECT vec_id, x[1] AS f1, 1 + 9 * list_avg(x[2:]) AS g FROM x) SELECT vec_id, round(f1, 6) + 0.0 AS f1, round(g * (1 - sqrt(f1 / g)), 6) + 0.0 AS f2 FROM g""")
+def zdt1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.least(F.abs(v), F.lit(1.0)))
+    found = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x")).select("vec_id", objectives.zdt1(F.col("x")).alias("f"))
+    return rounded(found.select("vec_id", F.col("f.f1").alias("f1"), F.col("f.f2").alias("f2")), "f1", "f2")
+
+
+@query("""WITH s AS (SELECT power(gamma(2.5) * sin(pi() * 0.75) / (gamma(1.25) * 1.5 * power(2, 0.25)), 1 / 1.5) AS sigma)
+SELECT vec_id, round(sigma * embedding[1]::DOUBLE / power(abs(embedding[2]::DOUBLE), 1 / 1.5), 6) + 0.0 AS step FROM embeddings, s""")
+def levy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", objectives.levy_step(x[0], x[1]).alias("step")), "step")
+
+
+@query(f"""SELECT run, id, later < f OR {_DRAW} < exp(-(later - f) / 0.05) AS accepted
+FROM (SELECT *, lead(f) OVER (PARTITION BY run ORDER BY id) AS later FROM {_PEOPLE}) WHERE later IS NOT NULL""")
+def metropolis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each individual as a proposal to the one before it."""
+    people = _people(spark, sf_dir).withColumn("later", F.lead("f").over(Window.partitionBy("run").orderBy("id"))).where(F.col("later").isNotNull())
+    return people.select("run", "id", objectives.accepted(F.col("f"), F.col("later"), F.lit(0.05), _drawn()).alias("accepted"))
+
+
+_STEPS = search.STEPS | {"particle_swarm": swarm.particle_swarm_step, "gravitation": swarm.gravitation_step}
+for _step in (None, *_STEPS):
 
     def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
-        return search.search(spark, step, objectives.sphere, -5.12, 5.12, iterations=6)
+        return search.search(spark, step and _STEPS[step], objectives.sphere, -5.12, 5.12, iterations=6)
 
     query(name=f"search_{_step or 'random'}")(_search)

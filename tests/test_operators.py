@@ -126,3 +126,25 @@ def test_archive_goes_on_after_a_restart(spark, tmp_path):
 
     assert give(0, [(1, 1.0, 5.0), (2, 2.0, 2.0), (3, 3.0, 3.0)]) == {1, 2}
     assert give(1, [(4, 0.5, 6.0), (5, 2.0, 1.0)]) == {4, 1, 5}
+
+
+def test_draws_of_populations(spark):
+    from evoframe.operators import selection
+
+    people = spark.createDataFrame([(0, i, float(i), 0.0) for i in range(5)] + [(1, 9, 1.0, 2.0)], "run long, id long, f double, weight double")
+    drawn = selection.entrants(people, 40, 3, seed=1)
+    assert drawn.count() == 2 * 40 * 3 and {r.id for r in drawn.where("run = 0").collect()} == set(range(5))
+    assert all(r.id == 9 for r in selection.winners(people, drawn).where("run = 1").collect())
+    draws = spark.createDataFrame([(0, k, k / 5) for k in range(5)] + [(1, 0, 0.999)], "run long, draw long, u double")
+    found = {(r.run, r.draw): r.id for r in selection.roulette(people, draws).collect()}
+    assert found == {(0, 0): 0, (0, 1): 1, (0, 2): 2, (0, 3): 3, (0, 4): 4, (1, 0): 9}  # without weights all have equal shares
+
+
+def test_proposals_that_are_not_finite_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    from evoframe.operators import objectives
+
+    rows = spark.createDataFrame([(1.0, 0.5), (1.0, float("nan")), (1.0, float("inf")), (1.0, 1.5), (1.0, 9.0)], "f double, new double")
+    found = [r[0] for r in rows.select(objectives.accepted(F.col("f"), F.col("new"), F.lit(1.0), F.lit(0.3))).collect()]
+    assert found == [True, False, False, True, False]
