@@ -18,6 +18,9 @@ Classes without a partner, buckets of one and texts that need no check are the b
 corpus. A filter of bits (``likely_in``) keeps them out of every shuffle but the two that
 find classes and buckets.
 
+Classes have numbers of their own, so rows of one ``doc_id`` with different texts stay
+different nodes; a component is named after the smallest ``doc_id`` of its rows.
+
 Defined results: null, empty or blank texts have an empty set and link with nothing;
 rows with a null ``doc_id`` stand for themselves (component null, kept); equal rows give
 equal result rows; very long texts are read whole, a few at a time; no rows give no rows;
@@ -47,7 +50,7 @@ MISSED = 1e-7
 #: Rows of either side that are compared in one block.
 ASIDE_BLOCK, BLOCK = 128, 256
 
-_LINE = "doc_id long, n_shingles long, set_hash binary, minima binary"
+_LINE = "doc_id long, text_hash long, n_shingles long, set_hash binary, minima binary"
 
 
 def least_minima(n: int) -> int:
@@ -95,8 +98,13 @@ def minima(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text``; the hash tells the texts of one ``doc_id`` apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, minima`` for each row; the last two null for an empty set."""
+    """``doc_id, text_hash, n_shingles, set_hash, minima`` for each row; the last two null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -106,10 +114,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             found = iter(minima([s for s in sets if len(s)], bands, rows))
             hashes = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
             lows = [next(found).tobytes() if len(s) else None for s in sets]
-            values = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.binary()), pa.array(lows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "n_shingles", "set_hash", "minima"])
+            values = [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.binary()), pa.array(lows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "text_hash", "n_shingles", "set_hash", "minima"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(sign, _LINE)
+    return _texts(docs).mapInArrow(sign, _LINE)
 
 
 def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -137,10 +145,11 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return near.mapInPandas(per_batch(alike), "a long, b long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``id, shingles``: the whole shingle set of each of the distinct ``ids``, made from its text."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where("id IS NOT NULL")
-    texts = likely_in(texts, "id", ids, "id").join(ids, "id").dropDuplicates(["id"])
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, shingles``: the whole shingle set of each of the distinct ``ids``, made from the text of the class's first row."""
+    heads = materialize(likely_in(classes, "id", ids, "id").join(ids, "id").select("id", "doc_id", "text_hash"))
+    texts = likely_in(_texts(docs).where("doc_id IS NOT NULL"), "doc_id", heads, "doc_id")
+    texts = texts.join(heads, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -150,9 +159,9 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(texts.select("id", "text").mapInArrow(make, "id long, shingles binary"), "lz4")
 
 
-def _confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(near: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``a < b`` whose whole shingle sets reach the threshold."""
-    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs)
 
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         keep, last, last_set = [], None, None
@@ -225,7 +234,7 @@ def _candidates(apart: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return blocks.groupBy("bucket", "row", "col").applyInPandas(compare, "id long, component long").distinct()
 
 
-def _reached(candidates: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def _reached(candidates: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``a < b`` of each candidate whose whole set reaches the threshold with that of a member of the component.
 
     One link to the component's label stands for all links into it.
@@ -255,7 +264,7 @@ def _reached(candidates: DataFrame, labels: DataFrame, docs: DataFrame) -> DataF
         return pd.DataFrame({"a": np.minimum(ids, component), "b": np.maximum(ids, component)})
 
     blocks = materialize(_in_blocks(left, right))
-    sets = _sets(blocks.select("id").distinct(), docs)
+    sets = _sets(blocks.select("id").distinct(), classes, docs)
     return blocks.join(sets, "id").groupBy("component", "row", "col").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -302,22 +311,27 @@ def components(links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they have, whatever their names; of equal rows each.
 
-    Rows with a null ``doc_id`` stay.
+    Rows with a null ``doc_id`` stay; rows of one ``doc_id`` are judged by their own texts.
     """
-    any_kept = near_duplicates(docs, bands, rows).groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or("kept").alias("any_kept"))
-    gone = any_kept.where(~F.col("any_kept")).select("gone_id")
-    marked = packed(docs, "doc_id")
-    return unpacked(marked.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"), docs.columns)
+    gone = _judged(docs, bands, rows).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    marked = packed(docs, "doc_id").withColumn("text_hash", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
+    return unpacked(marked.join(gone, same, "left_anti"), docs.columns)
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
+    return _judged(docs, bands, rows).drop("text_hash")
+
+
+def _judged(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """As ``near_duplicates``, with ``text_hash``."""
     docs, least = documents_of(docs, "doc_id", "text"), least_minima(bands * rows)
     signed = materialize(signatures(docs, bands, rows))
     real = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    head = F.min_by(F.struct(F.col("doc_id").alias("id"), "n_shingles", "minima"), "doc_id").alias("head")
-    classes = materialize(real.groupBy("set_hash").agg(head).select("set_hash", "head.*"))
-    head_ids = classes.select("set_hash", "id")
+    head = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "minima"), "doc_id").alias("head")
+    classes = real.groupBy("set_hash").agg(head).select("set_hash", "head.*")
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))  # written, so they stay as they are
 
     banded = _bands(classes, bands, rows)
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
@@ -327,15 +341,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
                                              F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = materialize(stars.select("p.*").where("a < b").distinct())
     met = materialize(likely_in(classes, "id", members, "id").select("id", "n_shingles", "minima"))
-    links = materialize(_confirmed(materialize(_alike(pairs, met, least)), docs))
+    links = materialize(_confirmed(materialize(_alike(pairs, met, least)), classes, docs))
 
     labels = materialize(_labels(links))
     candidates = materialize(_candidates(_apart(members, labels), met, least))
-    links = links.unionByName(_reached(candidates, labels, docs))
-    found = materialize(components(links))
-
-    classed = signed.select("doc_id", "n_shingles", "set_hash").join(head_ids, "set_hash", "left").join(found, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    links = links.unionByName(_reached(candidates, labels, classes, docs))
+    found = materialize(components(links).join(classes.select("id", "doc_id"), "id"))
+    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = materialize(found.join(names, "component").select("id", "component_id"))
+
+    heads = classes.select("set_hash", "id", F.col("doc_id").alias("own_id"))
+    classed = signed.drop("minima").join(heads, "set_hash", "left").join(found, "id", "left")
+    component = F.coalesce("component_id", "own_id", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), component)
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return classed.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return classed.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -6,10 +6,12 @@ A slot of the mixture takes one block of documents from one source. With whole w
 released block with the earliest deadline runs. Every deadline is met, so at any slot of
 the whole mixture a source has had its weight's share to less than one block.
 
-The schedule is drawn up for all blocks at once, on one row for each source. It has
-``MOST_SLOTS`` slots at most: blocks double in size until that is enough, so a larger
-corpus is mixed in larger blocks. Each document finds its slot from its rank in its source.
-Weights are taken to one part in ``FINE`` of the largest.
+A schedule repeats after ``total`` slots, when every source has had ``a`` blocks. So one
+period is drawn up, on one row for each source, and block k runs in the slot of block
+``k mod a``, ``k div a`` periods later. Weights are shares of ``FINE`` slots, or of
+``SLOTS_EACH`` slots for each source where that is more, and every source has one slot of a
+period at least. So the period depends on the sources alone, and a corpus of any size is
+mixed in blocks of one size. Each document finds its slot from its rank in its source.
 
 Only DataFrame operations touch the rows. Ranks within a source come from ranks within
 (source, bucket) and the buckets' counts, so a source with a third of all rows is spread
@@ -32,34 +34,44 @@ from pyspark.sql import functions as F
 from evoframe.llm._common import packed, unpacked
 
 BLOCK = 16
-MOST_SLOTS = 1 << 20
-FINE = 1 << 20
+FINE = 1 << 18
+SLOTS_EACH = 4
 SCALE = 1024  # of a power of the number of documents, before it is rounded
 ROWS_PER_BUCKET = 1 << 18
 POWER = 0.5
+#: A period of up to so many slots is sent to every task; a longer one is joined by Spark's own choice.
+MOST_BROADCAST = 1 << 20
+
+
+def shares(aims: list[int]) -> list[int]:
+    """Blocks of each source in one period, 1 at least."""
+    fine, whole = max(FINE, SLOTS_EACH * len(aims)), sum(aims)
+    return [max(1, (a * fine + whole // 2) // whole) for a in aims]
 
 
 def whole_weights(names: list, sizes: Mapping, weights: Mapping | None, power: float = POWER) -> list[int]:
-    """Target weights as whole numbers, 1 at least."""
+    """Target weights as whole numbers, 1 at least, that add up to the slots of a period."""
     if weights is None:
-        return [max(1, round(float(sizes[s]) ** power * SCALE)) for s in names]
+        return shares([max(1, round(float(sizes[s]) ** power * SCALE)) for s in names])
     aims = [float(weights[s]) for s in names]
     if any(not 0 < a < float("inf") for a in aims):
         raise ValueError("every source needs a finite weight above 0")
-    return [max(1, round(a / max(aims) * FINE)) for a in aims]
+    most = max(aims, default=1.0)
+    return shares([max(1, round(a / most * 2**40)) for a in aims])
 
 
 def slots_needed(weights: list[int], blocks: list[int]) -> int:
     """Slots until every source has had all its blocks."""
-    return max((-(-b * sum(weights) // a) for a, b in zip(weights, blocks)), default=0)
+    total = sum(weights)
+    return max((-(-b * total // a) for a, b in zip(weights, blocks)), default=0)
 
 
 def earliest_deadline_first(weights: list[int], blocks: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks."""
+    """For each source the slots of its blocks, those of the first period."""
     total, slots, taken = sum(weights), [[] for _ in weights], [0] * len(weights)
     waiting = [(0, i) for i in range(len(weights))]  # by release
     ready: list[tuple[int, int]] = []  # by deadline, then source
-    for slot in range(slots_needed(weights, blocks)):
+    for slot in range(min(total, slots_needed(weights, blocks))):
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(taken[i] + 1) * total // weights[i]), i))
@@ -73,7 +85,7 @@ def earliest_deadline_first(weights: list[int], blocks: list[int]) -> list[list[
 
 
 def mixed(
-    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, power: float = POWER, most_slots: int = MOST_SLOTS
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, power: float = POWER
 ) -> DataFrame:
     """All columns of ``docs`` and ``mix_block, mix_offset, mix_release, mix_deadline, mix_slot``.
 
@@ -84,8 +96,7 @@ def mixed(
     sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes, key=lambda s: (s is not None, s or ""))
     aims = whole_weights(names, sizes, weights, power)
-    while slots_needed(aims, blocks := [-(-sizes[s] // block) for s in names]) > most_slots:
-        block *= 2
+    blocks = [-(-sizes[s] // block) for s in names]
     buckets = max(256, -(-sum(sizes.values()) // ROWS_PER_BUCKET))
     total = sum(aims)
     plan = list(zip(names, aims, earliest_deadline_first(aims, blocks)))
@@ -101,15 +112,15 @@ def mixed(
     ranked = ranked.join(bases, F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
     ranked = ranked.withColumn("mix_rank", F.col("mix_before") + F.col("mix_own"))
     ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long"))
-    # the plan has as many rows as there are sources and most_slots slots in all
-    placed = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mix_source")))
+    # the plan has as many rows as there are sources and total slots in all
+    placed = ranked.join(F.broadcast(plan) if total <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("mix_source")))
     return placed.select(
         *[F.col(f"`{c}`") for c in columns],
         "mix_block",
         (F.col("mix_rank") % block).alias("mix_offset"),
         F.expr(f"mix_block * {total} div mix_aim").alias("mix_release"),
         F.expr(f"((mix_block + 1) * {total} + mix_aim - 1) div mix_aim").alias("mix_deadline"),
-        F.expr("mix_slots[int(mix_block)]").cast("long").alias("mix_slot"),
+        F.expr(f"mix_slots[int(mix_block % mix_aim)] + mix_block div mix_aim * {total}").cast("long").alias("mix_slot"),
     )
 
 
@@ -127,13 +138,16 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
 
 
 def oracle(block: int = BLOCK, power: float = POWER, buckets: int = 256) -> str:
-    """The same in DuckDB's SQL, for corpora whose blocks need not grow: the schedule by a recursion over the slots."""
+    """The same in DuckDB's SQL: the schedule of a period by a recursion over its slots."""
     return f"""
-WITH RECURSIVE sized AS (
-  SELECT source, greatest(1, round(pow(count(*)::DOUBLE, {power}) * {SCALE})::BIGINT) AS a, (count(*) + {block - 1}) // {block} AS blocks
+WITH RECURSIVE counted AS (
+  SELECT source, greatest(1, round(pow(count(*)::DOUBLE, {power}) * {SCALE})::BIGINT) AS aim, (count(*) + {block - 1}) // {block} AS blocks
   FROM documents GROUP BY source),
+sized AS (
+  SELECT source, blocks, greatest(1, (aim::HUGEINT * fine + whole // 2) // whole)::BIGINT AS a
+  FROM (SELECT *, sum(aim) OVER () AS whole, greatest({FINE}, {SLOTS_EACH} * count(*) OVER ()) AS fine FROM counted)),
 named AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) AS i, sum(a) OVER ()::BIGINT AS total FROM sized),
-parts AS (SELECT list(a ORDER BY i) AS a, any_value(total) AS total, max((blocks * total + a - 1) // a) AS slots FROM named),
+parts AS (SELECT list(a ORDER BY i) AS a, any_value(total) AS total, least(any_value(total), max((blocks * total + a - 1) // a)) AS slots FROM named),
 edf AS (
   SELECT -1::BIGINT AS slot, list_transform(a, lambda v: 0::BIGINT) AS done, NULL::BIGINT AS pick, 0::BIGINT AS k FROM parts
   UNION ALL
@@ -147,6 +161,6 @@ ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {buckets}, doc_id) - 1 AS r FROM documents)
 SELECT r.doc_id, r.source, r.r // {block} AS block, r.r % {block} AS "offset", r.r // {block} * s.total // s.a AS "release",
-  ((r.r // {block} + 1) * s.total + s.a - 1) // s.a AS deadline, e.slot
+  ((r.r // {block} + 1) * s.total + s.a - 1) // s.a AS deadline, e.slot + r.r // {block} // s.a * s.total AS slot
 FROM ranked r JOIN named s ON r.source IS NOT DISTINCT FROM s.source
-JOIN edf e ON e.pick = s.i AND e.k = r.r // {block}"""
+JOIN edf e ON e.pick = s.i AND e.k = r.r // {block} % s.a"""

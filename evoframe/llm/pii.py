@@ -72,7 +72,8 @@ _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=la
 #: What is found, in order of preference where two begin at the same place.
 KINDS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_INITIALS}])(?:{_TITLE})\.?[ \u00a0]{_WORD}(?:[ \u00a0]{_WORD})?",
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a domain has 127 labels at most; without a bound the matcher would recurse once for each
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}",
     "token": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -136,9 +137,8 @@ def _rewritten(value: Column, digest: Column) -> Column:
     def pick(letters: str, n: Column) -> Column:
         return F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
 
-    # long values get further digests, so that no part repeats
-    def each(i: Column) -> Column:
-        c = F.substr(value, i + 1, F.lit(1))
+    # long values get further digests, so that no part repeats; the value is cut up once, so its length costs no more than itself
+    def each(c: Column, i: Column) -> Column:
         block = F.when(i < 63, digest).otherwise(F.sha2(F.concat(digest, F.floor(i / 63).cast("string")), 512))
         n = _nibble(block, i)
         return (
@@ -148,7 +148,7 @@ def _rewritten(value: Column, digest: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), each), "")
+    return F.array_join(F.transform(F.split(value, ""), each), "")
 
 
 def _hex(value: Column, digest: Column) -> Column:

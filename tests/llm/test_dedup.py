@@ -77,6 +77,18 @@ def test_keep_one(spark, awkward):
     assert 5 not in ids and ids.count(4) == 2 and ids.count(None) == 2
 
 
+def test_one_id_with_two_texts(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(100)) for w in "ab")
+    rows = [(1, one), (1, two), (2, two + " x"), (3, one + " y"), (5, "c d e"), (5, two), (4, "c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 4, False)]
+    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == [1, 1, 4]
+    clash = spark.createDataFrame([(7, one), (7, two), (8, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(clash).collect()) == sorted([(7, one), (7, two)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)]
     found = {r.id: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}

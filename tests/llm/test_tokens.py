@@ -116,11 +116,25 @@ def test_every_source_has_its_share_to_less_than_one_block():
                 assert abs((had + 1) * sum(weights) - (t + 1) * a) < sum(weights)
 
 
-def test_blocks_grow_with_the_corpus(spark):
+def test_the_schedule_repeats(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FINE", 64)
     docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 50 = 0, 'rare', 'often') AS source")
-    found = mixing.mixing_digest(docs, block=1, most_slots=300).collect()
-    assert len({(r.slot, r.offset) for r in found}) == 4000 and max(r.offset for r in found) == 15
-    assert all(r.release <= r.slot < r.deadline for r in found) and max(r.slot for r in found) < 300
+    found = mixing.mixing_digest(docs, block=2).collect()
+    assert len({(r.slot, r.offset) for r in found}) == 4000 and max(r.offset for r in found) == 1
+    assert all(r.release <= r.slot < r.deadline for r in found) and max(r.slot for r in found) > 10 * 64
+
+
+def test_extreme_weights_and_very_many_sources(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "array('a', 'b', 'c')[int(id % 3)] AS source")
+    found = mixing.mixing_digest(docs, weights={"a": 1e6, "b": 1e6, "c": 1.0}).collect()
+    assert len({(r.slot, r.offset) for r in found}) == 900 and all(r.release <= r.slot < r.deadline for r in found)
+    for aims, blocks in (([1e6, 1e6, 1.0], [10**7] * 3), ([1.0] * (2**20 + 1), [1] * (2**20 + 1))):
+        weights = mixing.whole_weights(range(len(aims)), {}, dict(enumerate(aims)))
+        slots = mixing.earliest_deadline_first(weights, blocks)
+        assert [len(own) for own in slots] == [min(a, b) for a, b in zip(weights, blocks)]
+    sizes = {i: 10**9 for i in range(40)} | {40: 1}
+    weights = mixing.whole_weights(range(41), sizes, None)
+    assert min(weights) >= 1 and sum(weights) <= mixing.FINE + 41
 
 
 def test_mixing(spark, awkward, nothing):
