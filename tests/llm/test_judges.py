@@ -260,7 +260,7 @@ def test_top_k_of_nothing(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want = con.sql(queries.ORACLES[name])
     found = queries.QUERIES[name](spark, small)
