@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoframe.llm import decontaminate, language, minhash, mixing, packing, pii, quality, suffixdedup, tokenfile, topk, urlfilter
+from evoframe.llm import decontaminate, language, minhash, mixing, packing, pii, quality, suffixdedup, tokenfile, topk, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.repeats_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
     "op13_decontaminate": op13_decontaminate,
 }
 ORACLES: dict[str, str] = {
