@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoframe.llm import decontaminate, language, minhash, mixing, packing, pii, quality, suffixdedup, tokenfile, topk, urlfilter, whitening
+from evoframe.llm import collocations, decontaminate, language, minhash, mixing, packing, pii, quality, suffixdedup, tokenfile, topk, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -73,11 +77,13 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_decontaminate": op13_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": urlfilter.oracle(),
     "op8_mixing": mixing.oracle(),
     "op9_top_k": topk.oracle(),
+    "op12_collocations": collocations.oracle(),
     "op13_decontaminate": decontaminate.oracle(),
 }
