@@ -331,6 +331,8 @@ def _judged(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     real = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     head = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "minima"), "doc_id").alias("head")
     classes = real.groupBy("set_hash").agg(head).select("set_hash", "head.*")
+    # numbers in the order of doc_id: stars then have a group's first document in their middle, which later ones are often copied from
+    classes = classes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "set_hash")
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))  # written, so they stay as they are
 
     banded = _bands(classes, bands, rows)
