@@ -46,3 +46,19 @@ def range_of(column: Column, cuts: list[float]) -> Column:
     """Which of the ranges a value lies in, from 0; the same wherever it is worked out."""
     value = column.cast("double")
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+
+
+def ranked_within(rows: DataFrame, group: str, order: str, name: str, parts: int = 256) -> DataFrame:
+    """``rows`` with ``name``, the rank from 0 by ``order``, a number without ties, within each group.
+
+    Ranges of ``order`` are ranked each for itself and begin where the ranges before them
+    end, so a group that holds most rows is spread over all tasks.
+    """
+    cuts = cuts_of(rows, order, parts)
+    dealt = rows.withColumn("_range", range_of(F.col(order), cuts))
+    counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1
+    placed = dealt.withColumn("_own", own).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return placed.withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)

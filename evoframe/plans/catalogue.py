@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import clean, matrix, objectives, pairs, pareto, search, selection, swarm
+from evoframe.operators import activities, clean, matrix, nearest, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -701,3 +701,84 @@ for _step in (None, *_STEPS):
         return search.search(spark, step and _STEPS[step], objectives.sphere, -5.12, 5.12, iterations=6)
 
     query(name=f"search_{_step or 'random'}")(_search)
+
+
+# Activities of a target: lines of orders as records --------------------------------------
+
+_RECORDS = """(SELECT 'M' || l_partkey AS molecule_chembl_id, CASE WHEN l_linenumber < 7 THEN 'C' || l_partkey END AS canonical_smiles,
+  CASE l_returnflag WHEN 'A' THEN '>' ELSE '=' END AS standard_relation, CASE l_linestatus WHEN 'F' THEN 'nM' ELSE 'uM' END AS standard_units,
+  CASE WHEN l_discount > 0 THEN l_quantity / 10 END AS pchembl_value FROM lineitem)"""
+_EXACT = "canonical_smiles IS NOT NULL AND standard_relation = '='"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("l_partkey").cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("M"), part).alias("molecule_chembl_id"), F.when(F.col("l_linenumber") < 7, F.concat(F.lit("C"), part)).alias("canonical_smiles"),
+        F.when(F.col("l_returnflag") == "A", ">").otherwise("=").alias("standard_relation"), F.when(F.col("l_linestatus") == "F", "nM").otherwise("uM").alias("standard_units"),
+        F.when(F.col("l_discount") > 0, F.col("l_quantity") / 10).alias("pchembl_value"),
+    )
+
+
+@query(f"""SELECT molecule_chembl_id, any_value(canonical_smiles) AS smiles, round(median(pchembl_value), 6) + 0.0 AS pchembl, count(*) AS n_measurements FROM {_RECORDS}
+WHERE {_EXACT} AND standard_units = 'nM' AND pchembl_value IS NOT NULL GROUP BY 1""")
+def activity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(activities.target_table(_records(spark, sf_dir))[0], "pchembl")
+
+
+@query(f"""SELECT unnest(range(6))::INTEGER AS step_no, unnest(['records fetched', 'with SMILES', 'relation ''=''', 'units ''nM''', 'with pChEMBL', 'unique molecules']) AS step,
+unnest([count(*), count(canonical_smiles), count(*) FILTER ({_EXACT}), count(*) FILTER ({_EXACT} AND standard_units = 'nM'),
+  count(*) FILTER ({_EXACT} AND standard_units = 'nM' AND pchembl_value IS NOT NULL),
+  count(DISTINCT molecule_chembl_id) FILTER ({_EXACT} AND standard_units = 'nM' AND pchembl_value IS NOT NULL)]) AS n FROM {_RECORDS}""")
+def activity_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activities.target_table(_records(spark, sf_dir))[1]
+
+
+# Selection of features by the vote of nearest neighbours ---------------------------------
+
+_N_FOLDS, _K = 5, 5
+_SUBSETS = [(k, [float((i * (k + 3)) % 7) / 7 if k else 0.0 for i in range(64)]) for k in range(4)]
+_SUBSET_VALUES = ", ".join(f"({k}, {[i + 1 for i, v in enumerate(x) if v > 0.5]}::BIGINT[])" for k, x in _SUBSETS)
+_SAMPLES = f"""s AS (SELECT vec_id AS id, (label < 5)::BIGINT AS label, list_transform(embedding, lambda v: floor(v::DOUBLE * 256)) AS x FROM embeddings),
+sizes AS (SELECT label, count(*) AS n FROM s GROUP BY 1),
+spots AS (SELECT label, unnest(range(base, base + n)) % {_N_FOLDS} AS f FROM (SELECT *, (sum(n) OVER (ORDER BY label) - n)::BIGINT AS base FROM sizes)),
+ends AS (SELECT label, f, sum(count(*)) OVER (PARTITION BY label ORDER BY f) AS e FROM spots GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS r FROM s),
+dealt AS (SELECT id, any_value(ranked.label) AS label, any_value(x) AS x, count(*) FILTER (e <= r) AS fold FROM ranked JOIN ends ON ends.label = ranked.label GROUP BY id)"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor(v * 256).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 5).cast("long").alias("label"), x.alias("x"))
+
+
+@query(f"WITH {_SAMPLES} SELECT id, label, fold FROM dealt")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.stratified(_samples(spark, sf_dir).select("id", "label"), _N_FOLDS)
+    return found.select("id", "label", F.col("fold").cast("long").alias("fold"))
+
+
+_NEAREST = f"""c AS (SELECT * FROM (VALUES {_SUBSET_VALUES}) t(cand_id, features)),
+apart AS (SELECT c.cand_id, a.id, a.label AS y, a.fold, b.id AS other, b.label, list_sum(list_transform(c.features, lambda f: (a.x[f] - b.x[f]) * (a.x[f] - b.x[f]))) AS d
+  FROM dealt a JOIN dealt b ON a.fold <> b.fold JOIN c ON len(c.features) > 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY cand_id, id ORDER BY d, other) AS place FROM apart QUALIFY place <= {_K})"""
+
+
+@query(f"WITH {_SAMPLES}, {_NEAREST} SELECT cand_id::BIGINT AS cand_id, id, place, other, d FROM near")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of other folds by each of several subsets of the features."""
+    masks = [(k, [i for i, v in enumerate(x) if v > 0.5]) for k, x in _SUBSETS]
+    candidates = spark.createDataFrame([m for m in masks if m[1]], "cand_id long, features array<int>")
+    found = nearest.neighbours_of(nearest.stratified(_samples(spark, sf_dir), _N_FOLDS), candidates, _K)
+    return found.select("cand_id", "id", F.col("place").cast("long").alias("place"), "other", "d")
+
+
+@query(f"""WITH {_SAMPLES}, {_NEAREST}, votes AS (SELECT cand_id, id, fold, y, label, count(*) AS n FROM near GROUP BY ALL),
+predicted AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY cand_id, id ORDER BY n DESC, label) = 1),
+folds AS (SELECT cand_id, fold, avg((y = label)::INTEGER) AS s FROM predicted GROUP BY 1, 2),
+scores AS (SELECT cand_id, avg(s) AS score FROM folds GROUP BY 1)
+SELECT c.cand_id::BIGINT AS cand_id, len(features)::BIGINT AS n_selected, round(score, 6) + 0.0 AS score,
+  CASE WHEN len(features) = 0 THEN 1.0 ELSE round(0.99 * (1 - score) + 0.01 * len(features) / 64, 6) END::DOUBLE AS fitness FROM c LEFT JOIN scores USING (cand_id)""")
+def feature_selection_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.feature_selection_fitness(_samples(spark, sf_dir), spark.createDataFrame(_SUBSETS, "cand_id long, x array<double>"), _N_FOLDS, _K)
+    return rounded(found, "score", "fitness")
