@@ -6,7 +6,7 @@
 2. Candidates: one pass collects the distinct longest phrases of such cells, where a
    phrase also needs that its shorter parts are left; every part of them is a candidate.
 3. Automata: candidates are compiled into Aho-Corasick automata with a delimiter at both
-   ends of every word, words written as one or two signs. Each task scans its texts and
+   ends of every word, words written as numbers, common ones short. Each task scans its texts and
    counts all matches, overlapping ones too. The sums are exact counts.
 4. Thresholds, scores and ranks are joins and windows on the counted phrases.
 
@@ -26,6 +26,7 @@ texts without a frequent phrase give nothing; no rows give no rows; other column
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -48,6 +49,8 @@ RANGE = 1 << 18
 GATHERED = 1 << 22
 #: Phrases in one automaton.
 SHARD = 500_000
+#: Kinds of digits of a word's number.
+BASE = 32
 
 _KIND = bytes(32 if b == 0x09 else 10 if b in b".,;:!?" or 0x0A <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _UNKNOWN = "\x01"
@@ -211,9 +214,11 @@ def _candidates(texts: DataFrame, cells: Cells) -> DataFrame:
 
 
 def _code(number: int) -> str:
-    """A word's number as signs, none of them a delimiter; seldom more than one."""
-    sign = number % (1 << 20) + 0x100
-    return chr(sign if sign < 0xD800 else sign + 0x800) + (_code((number >> 20) - 1) if number >> 20 else "")
+    """A word's number as digits, none of them a delimiter; few kinds of them, as the automaton tries the ways out of a state one by one."""
+    signs = chr(0x30 + number % BASE)
+    while number := number // BASE:
+        signs += chr(0x30 + number % BASE)
+    return signs
 
 
 class Automaton:
@@ -225,17 +230,14 @@ class Automaton:
     def _make(self) -> None:
         import ahocorasick
 
+        rows = list(zip(self.table.column("lang").to_pylist(), [p.split(" ") for p in self.table.column("phrase").to_pylist()]))
+        common = Counter((lang, word) for lang, words in rows for word in words).most_common()
         self._codes: dict[str, dict[str, str]] = {}
-        self._made, n = ahocorasick.Automaton(), 0
-        for k, (lang, phrase) in enumerate(zip(self.table.column("lang").to_pylist(), self.table.column("phrase").to_pylist())):
-            codes = self._codes.setdefault(lang, {"\n": "\n"})
-            signs = []
-            for word in phrase.split(" "):
-                if word not in codes:
-                    codes[word] = _code(n)
-                    n += 1
-                signs.append(codes[word])
-            self._made.add_word(f" {' '.join(signs)} ", k)  # numbers of words differ by language, so its phrases do
+        for n, ((lang, word), _) in enumerate(common):  # numbers of words differ by language, so its phrases do
+            self._codes.setdefault(lang, {"\n": "\n"})[word] = _code(n)
+        self._made = ahocorasick.Automaton()
+        for k, (lang, words) in enumerate(rows):
+            self._made.add_word(f" {' '.join([self._codes[lang][w] for w in words])} ", k)
         self._made.make_automaton()
         self.ids = self.table.column("pid").to_numpy()
 
