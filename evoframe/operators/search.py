@@ -14,13 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evoframe.operators.budget import Budget, charged, granted, opened
+
 Objective = Callable[[Column], Column]
 
 
 def uniform(seed: int, iteration: int, *parts) -> Column:
-    """A number in [0, 1) for each row and coordinate."""
-    bits = F.xxhash64(F.lit(seed), F.lit(iteration), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.pmod(bits, F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) for each row and coordinate: 52 bits of md5, which any engine can repeat."""
+    message = F.concat_ws("|", F.lit(str(seed)), F.lit(str(iteration)), *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(message), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def initial(spark: SparkSession, runs: int, size: int, dimension: int, low: float, high: float, objective: Objective, seed: int = 0) -> DataFrame:
@@ -97,7 +99,7 @@ def differential_step(population: DataFrame, iteration: int, progress: float, lo
 
 def grasshopper_step(
     population: DataFrame, iteration: int, progress: float, low: float, high: float, objective: Objective, seed: int = 0,
-    c_max: float = 1.0, c_min: float = 1e-5, intensity: float = 0.5, attraction: float = 1.5,
+    c_max: float = 1.0, c_min: float = 4e-5, intensity: float = 0.6, attraction: float = 1.5,
 ) -> DataFrame:
     """Everyone moves to the best, pushed and pulled by all others of its run; nothing is drawn.
 
@@ -116,7 +118,11 @@ def grasshopper_step(
     force = lambda d: intensity * F.exp(-scaled(d) / attraction) - F.exp(-scaled(d))
     pull = F.zip_with("swarm", "apart", lambda s, d: F.when(s.id == F.col("id"), F.lit(0.0)).otherwise(force(d) / (d + 1e-12)))
     joined = joined.withColumn("pull", pull)
-    step = F.transform("x", lambda v, j: F.aggregate(F.zip_with("swarm", "pull", lambda s, p: p * (s.x[j] - v)), F.lit(0.0), lambda a, q: a + q))
+    # vector by vector, so that each pull is worked out once and not again for every coordinate
+    step = F.aggregate(
+        F.zip_with("swarm", "pull", lambda s, p: F.struct(s.x.alias("x"), p.alias("p"))), F.transform("x", lambda _: F.lit(0.0)),
+        lambda a, s: F.zip_with(a, F.zip_with(s.x, "x", lambda to, at: s.p * (to - at)), lambda u, v: u + v),
+    )
     x = F.zip_with(step, "best", lambda s, b: c * (c * ((high - low) / 2.0) * s) + b)
     return _scored(joined, x, low, high, objective).select("run", "id", F.col("_x").alias("x"), F.col("_f").alias("f"))
 
@@ -130,26 +136,49 @@ def truncated(population: DataFrame, k: int) -> DataFrame:
 STEPS = {"grasshopper": grasshopper_step, "grey_wolf": grey_wolf_step, "sine_cosine": sine_cosine_step, "differential": differential_step}
 
 
-def search(
-    spark: SparkSession, step: str | Callable | None, objective: Objective, low: float, high: float, dimension: int = 10, runs: int = 4, size: int = 30, iterations: int = 20, seed: int = 0
-) -> DataFrame:
-    """``run, evals, best`` of each run; without a step, random search of the same budget in one job.
+def random_points(boxes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``run, id, x``: ``n`` points for each row of ``boxes`` ``run, lows, highs``."""
+    rows = boxes.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    x = F.transform(F.arrays_zip("lows", "highs"), lambda b, j: b.lows + (b.highs - b.lows) * uniform(seed, 0, F.col("run"), F.col("id"), j))
+    return rows.select("run", "id", x.alias("x"))
+
 
-    A step is one of ``STEPS`` by name or a function like them; columns that it adds reach its next call.
+def boxes_of(population: DataFrame) -> DataFrame:
+    """``run, lows, highs``: the box that each run's positions span."""
+    parts = population.select("run", F.posexplode("x").alias("_j", "_v")).groupBy("run", "_j").agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+    sides = parts.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("_j", "_l", "_h"))).alias("_s"))
+    return sides.select("run", F.transform("_s", lambda s: s._l).alias("lows"), F.transform("_s", lambda s: s._h).alias("highs"))
+
+
+def search(
+    population: DataFrame, step: str | Callable, objective: Objective, low: float, high: float, budget: Budget, seed: int = 0
+) -> DataFrame:
+    """``run, evals, iters, best, stalled, stopped_early`` of each run of a first population ``run, id, x``.
 
+    A step is one of ``STEPS`` by name or a function like them; columns that it adds reach its
+    next call. Runs that have ended leave the population, so work follows those that go on.
     A step reads its population several times, so each one is cut from its lineage by
-    ``checkpoint`` into the shared folder.
+    ``checkpoint`` into the shared folder, and so is the state, a row for each run.
     """
-    if step is None:
-        found = initial(spark, runs, size * iterations, dimension, low, high, objective, seed)
-        return found.groupBy("run").agg(F.count(F.lit(1)).alias("evals"), F.min("f").alias("best"))
+    spark = population.sparkSession
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    population = initial(spark, runs, size, dimension, low, high, objective, seed).withColumn("top", F.col("f")).checkpoint()
-    for i in range(1, iterations):
-        moved = (STEPS[step] if isinstance(step, str) else step)(population.drop("top"), i, i / iterations, low, high, objective, seed)
-        population = moved.join(population.select("run", "id", "top"), ["run", "id"]).withColumn("top", F.least("top", "f"))
-        population = population.checkpoint()
-    return population.groupBy("run").agg((F.count(F.lit(1)) * iterations).alias("evals"), F.min("top").alias("best"))
+    first = population.withColumn("f", objective(F.col("x")))
+    state = opened(population)
+    first = granted(first, state, budget).checkpoint()
+    state = charged(first, state, budget, iteration=False).checkpoint()
+    population, iteration = first.drop("counted"), 0
+    while going := state.where("NOT done").agg(F.count(F.lit(1)), F.min("evals")).first():
+        if not going[0]:
+            break
+        # runs are alike in size, so the furthest behind tells how far the search is
+        share = max(going[1] / budget.max_evals if budget.max_evals else 0.0, iteration / budget.max_iters if budget.max_iters else 0.0)
+        iteration += 1
+        population = population.join(state.where("NOT done").select("run"), "run", "left_semi")
+        moved = (STEPS[step] if isinstance(step, str) else step)(population, iteration, min(share, 1.0), low, high, objective, seed)
+        moved = granted(moved, state, budget).checkpoint()
+        state = charged(moved, state, budget).checkpoint()
+        population = moved.drop("counted")
+    return state.select("run", "evals", "iters", "best", "stalled", budget.early(F.col("evals"), F.col("iters"), F.col("stalled")).alias("stopped_early"))

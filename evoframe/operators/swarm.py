@@ -49,7 +49,7 @@ def particle_swarm_step(
 
 def gravitation_step(
     population: DataFrame, iteration: int, progress: float, low: float, high: float, objective: Objective, seed: int = 0,
-    gravity: float = 1.0, fall: float = 5.0, last: int = 1, max_velocity: float = 0.2,
+    gravity: float = 100.0, fall: float = 30.0, last: int = 1, max_velocity: float = 0.5,
 ) -> DataFrame:
     """Everyone is drawn to the heaviest of its run, fewer of them with time; mass is the lead over the run's worst.
 
@@ -76,9 +76,12 @@ def gravitation_step(
     constant = gravity * F.exp(F.lit(-fall * progress))
     kept = uniform(seed, iteration, F.col("run"), F.col("id"), "inertia")
 
-    def velocity(v: Column, j: Column) -> Column:
-        forces = F.zip_with("heavy", "pull", lambda h, p: p * (F.get(h.x, j) - F.get("x", j)))
-        return _bounded(kept * v + constant * F.aggregate(forces, F.lit(0.0), lambda t, a: t + a), max_velocity * (high - low))
+    # added up vector by vector, so that each pull is drawn once and not again for every coordinate
+    forces = F.aggregate(
+        F.zip_with("heavy", "pull", lambda h, p: F.struct(h.x.alias("x"), p.alias("p"))), F.transform("x", lambda _: F.lit(0.0)),
+        lambda a, h: F.zip_with(a, F.zip_with(h.x, "x", lambda to, at: h.p * (to - at)), lambda s, t: s + t),
+    )
+    velocity = F.zip_with("v", forces, lambda v, f: _bounded(kept * v + constant * f, max_velocity * (high - low)))
 
-    moved = _moved(joined.withColumn("v", F.transform("v", velocity)), low, high, objective)
+    moved = _moved(joined.withColumn("v", velocity), low, high, objective)
     return moved.select("run", "id", "x", "f", "v")

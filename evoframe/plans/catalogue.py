@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import activities, clean, matrix, nearest, objectives, pairs, pareto, search, selection, swarm
+from evoframe.operators import activities, budget, clean, matrix, nearest, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -570,11 +570,11 @@ def _swarm(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWARM = "(SELECT vec_id // 32 AS run, vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 9) AS f FROM embeddings)"
 
 
-@query(f"""WITH p AS {_SWARM}, c AS (SELECT 1.0::DOUBLE - (1.0::DOUBLE - 0.00001::DOUBLE) * 0.25::DOUBLE AS c),
+@query(f"""WITH p AS {_SWARM}, c AS (SELECT 1.0::DOUBLE - (1.0::DOUBLE - 0.00004::DOUBLE) * 0.25::DOUBLE AS c),
 b AS (SELECT run, arg_min(x, {{'f': f, 'id': id}}) AS best FROM p GROUP BY 1),
 d AS (SELECT i.run, i.id, i.x AS xi, j.x AS xj, i.id = j.id AS own, sqrt(list_sum(list_transform(list_zip(i.x, j.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p i JOIN p j ON i.run = j.run),
 s AS (SELECT *, CASE WHEN max(dist) OVER (PARTITION BY run) > 0 THEN 1 + 3 * dist / max(dist) OVER (PARTITION BY run) ELSE 1 END AS scaled FROM d),
-q AS (SELECT run, id, any_value(xi) AS x, list(xj) AS xs, list(CASE WHEN own THEN 0 ELSE (0.5 * exp(-scaled / 1.5) - exp(-scaled)) / (dist + 1e-12) END) AS pull FROM s GROUP BY 1, 2)
+q AS (SELECT run, id, any_value(xi) AS x, list(xj) AS xs, list(CASE WHEN own THEN 0 ELSE (0.6 * exp(-scaled / 1.5) - exp(-scaled)) / (dist + 1e-12) END) AS pull FROM s GROUP BY 1, 2)
 SELECT q.run, q.id, unnest(range(64)) AS pos, round(unnest(list_transform(range(1, 65), lambda k:
   least(greatest(c * c * 5.12 * list_sum(list_transform(list_zip(xs, pull), lambda z: z[2] * (z[1][k] - x[k]))) + best[k], -5.12), 5.12))), 6) + 0.0 AS value
 FROM q JOIN b USING (run), c""")
@@ -694,15 +694,6 @@ def metropolis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("run", "id", objectives.accepted(F.col("f"), F.col("later"), F.lit(0.05), _drawn()).alias("accepted"))
 
 
-_STEPS = search.STEPS | {"particle_swarm": swarm.particle_swarm_step, "gravitation": swarm.gravitation_step}
-for _step in (None, *_STEPS):
-
-    def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
-        return search.search(spark, step and _STEPS[step], objectives.sphere, -5.12, 5.12, iterations=6)
-
-    query(name=f"search_{_step or 'random'}")(_search)
-
-
 # Activities of a target: lines of orders as records --------------------------------------
 
 _RECORDS = """(SELECT 'M' || l_partkey AS molecule_chembl_id, CASE WHEN l_linenumber < 7 THEN 'C' || l_partkey END AS canonical_smiles,
@@ -782,3 +773,96 @@ SELECT c.cand_id::BIGINT AS cand_id, len(features)::BIGINT AS n_selected, round(
 def feature_selection_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.feature_selection_fitness(_samples(spark, sf_dir), spark.createDataFrame(_SUBSETS, "cand_id long, x array<double>"), _N_FOLDS, _K)
     return rounded(found, "score", "fitness")
+
+
+# Steps and searches of populations of 32 vectors each; draws are md5 of their names -----
+
+_STEPS = search.STEPS | {"particle_swarm": swarm.particle_swarm_step, "gravitation": swarm.gravitation_step}
+
+
+def _u(*parts: str, iteration: int = 1) -> str:
+    """The SQL of ``search.uniform`` with seed 0."""
+    return f"(('0x' || substr(md5(concat_ws('|', '0', '{iteration}', {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 13))::BIGINT / {1 << 52}::DOUBLE)"
+
+
+def _step_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        moved = _STEPS[name](_swarm(spark, sf_dir), 1, 0.25, -5.12, 5.12, objectives.sphere)
+        return rounded(moved.select("run", "id", F.posexplode("x").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long")), "value")
+
+    return run
+
+
+def _moved_sql(rows: str, value: str) -> str:
+    """Positions after a step, inside the box; ``value`` of coordinate ``j``, from 0, of ``rows``."""
+    return f"SELECT run, id, unnest(range(64)) AS pos, round(unnest(list_transform(range(64), lambda j: least(greatest({value}, -5.12), 5.12))), 6) + 0.0 AS value FROM {rows}"
+
+
+def _wolf(k: int) -> str:
+    to = f"l[{k + 1}][j + 1]"
+    return f"({to} - 1.5 * (2 * {_u('run', 'id', 'j', str(2 * k))} - 1) * abs(2 * {_u('run', 'id', 'j', str(2 * k + 1))} * {to} - x[j + 1]))"
+
+
+_LEADERS = f"p AS {_SWARM}, b AS (SELECT run, list(x ORDER BY f, id)[1:3] AS l FROM p GROUP BY 1), w AS (SELECT p.*, l FROM p JOIN b USING (run))"
+_R = [_u("run", "id", "j", str(k)) for k in range(3)]
+_WAVE = f"CASE WHEN {_R[2]} < 0.5 THEN sin(6.283185307179586 * {_R[0]}) ELSE cos(6.283185307179586 * {_R[0]}) END"
+_FLIGHT = "least(greatest({v}, -{most} * 10.24), {most} * 10.24)"
+_RING = f"""p AS {_SWARM}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {_u("run", "id", "'order'")}, id) - 1 AS k, count(*) OVER (PARTITION BY run) AS n FROM p),
+b AS (SELECT run, arg_min(x, {{'f': f, 'id': id}}) AS best FROM p GROUP BY 1),
+t AS (SELECT o.run, o.id, o.x, o.f, best, d1.x AS x1, d2.x AS x2, floor({_u("o.run", "o.id", "'gene'")} * 64)::BIGINT AS forced FROM o JOIN b USING (run)
+  JOIN o d1 ON d1.run = o.run AND d1.k = (o.k + 1) % o.n JOIN o d2 ON d2.run = o.run AND d2.k = (o.k + 2) % o.n),
+m AS (SELECT *, list_transform(range(64), lambda j: least(greatest(CASE WHEN {_u("run", "id", "j")} < 0.5 OR j = forced
+  THEN best[j + 1] + 0.6 * (x1[j + 1] - x2[j + 1]) ELSE x[j + 1] END, -5.12), 5.12)) AS trial FROM t),
+e AS (SELECT run, id, CASE WHEN list_sum(list_transform(trial, lambda v: v * v)) <= f THEN trial ELSE x END AS x FROM m)"""
+_HEAVY = f"""p AS {_SWARM}, s AS (SELECT run, list({{'f': f, 'id': id, 'x': x}} ORDER BY f, id) AS s, max(f) AS worst, min(f) AS best, count(*) AS n FROM p GROUP BY 1),
+m AS (SELECT *, list_transform(s, lambda a: CASE WHEN worst > best THEN (worst - a.f) / (worst - best) ELSE 1 END) AS m FROM s),
+h AS (SELECT run, list_transform(range(1, greatest(1, round(n - 0.25 * (n - 1)))::BIGINT + 1), lambda i: {{'id': s[i].id, 'x': s[i].x, 'm': m[i] / list_sum(m)}}) AS h FROM m),
+g AS (SELECT p.run, p.id, p.x, list_transform(h, lambda a: {{'x': a.x, 'p': CASE WHEN a.id = p.id THEN 0 ELSE {_u("p.run", "p.id", "a.id", "'pull'")} * a.m /
+  (sqrt(list_sum(list_transform(list_zip(a.x, p.x), lambda z: ((z[1] - z[2]) / 10.24) * ((z[1] - z[2]) / 10.24)))) + 1e-12) END}}) AS q FROM p JOIN h USING (run))"""
+
+for _step, _with, _rows, _value in (
+    ("grey_wolf", _LEADERS, "w", f"({_wolf(0)} + {_wolf(1)} + {_wolf(2)}) / 3"),
+    ("sine_cosine", _LEADERS, "w", f"x[j + 1] + 1.5 * ({_WAVE}) * abs(2 * {_R[1]} * l[1][j + 1] - x[j + 1])"),
+    ("particle_swarm", _LEADERS, "w", "x[j + 1] + " + _FLIGHT.format(v=f"2 * {_R[1]} * (l[1][j + 1] - x[j + 1])", most=0.2)),
+    ("differential", _RING, "e", "x[j + 1]"),
+    ("gravitation", _HEAVY, "g", "x[j + 1] + " + _FLIGHT.format(v="100 * exp(-7.5::DOUBLE) * list_sum(list_transform(q, lambda a: a.p * (a.x[j + 1] - x[j + 1])))", most=0.5)),
+):
+    query(f"WITH {_with} {_moved_sql(_rows, _value)}", f"{_step}_step")(_step_query(_step))
+
+
+for _step in _STEPS:
+
+    def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
+        """From the vectors of the table, until ten iterations or three without a better value."""
+        population = _swarm(spark, sf_dir).drop("f")
+        return search.search(population, _STEPS[step], objectives.sphere, -5.12, 5.12, budget.Budget(max_iters=10, patience=3))
+
+    query(name=f"search_{_step}")(_search)
+
+
+@query(f"""WITH p AS {_SWARM}, s AS (SELECT run, j, min(x[j + 1]) AS lo, max(x[j + 1]) AS hi FROM p, (SELECT unnest(range(64)) AS j) GROUP BY 1, 2),
+b AS (SELECT run, list(lo ORDER BY j) AS lows, list(hi ORDER BY j) AS highs FROM s GROUP BY 1),
+d AS (SELECT run, list_sum(list_transform(range(64), lambda j: (lows[j + 1] + (highs[j + 1] - lows[j + 1]) * {_u("run", "id", "j", iteration=0)}) ** 2)) AS f
+  FROM b, (SELECT unnest(range(100)) AS id))
+SELECT run, count(*) AS evals, round(min(f), 6) AS best FROM d GROUP BY 1""")
+def search_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred points in the box that each run's vectors span."""
+    points = search.random_points(search.boxes_of(_swarm(spark, sf_dir)), 100)
+    found = points.select("run", objectives.sphere(F.col("x")).alias("f")).groupBy("run").agg(F.count(F.lit(1)).alias("evals"), F.min("f").alias("best"))
+    return rounded(found, "best")
+
+
+_PATIENT = budget.Budget(max_evals=38, max_iters=9, patience=3, min_delta=0.5)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS run, value AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth FROM events),
+i AS (SELECT run, nth // 5 + 1 AS iter, count(*) AS n, min(f) AS f FROM e WHERE nth < 38 GROUP BY 1, 2),
+t AS (SELECT run, 0::BIGINT AS evals, 0::BIGINT AS iters, 'Infinity'::DOUBLE AS best, 'Infinity'::DOUBLE AS mark, 0::BIGINT AS stalled FROM (SELECT DISTINCT run FROM e)
+  UNION ALL
+  SELECT t.run, t.evals + i.n, t.iters + 1, least(t.best, i.f), CASE WHEN least(t.best, i.f) < t.mark - 0.5 THEN least(t.best, i.f) ELSE t.mark END,
+    CASE WHEN least(t.best, i.f) < t.mark - 0.5 THEN 0 ELSE t.stalled + 1 END
+  FROM t JOIN i ON i.run = t.run AND i.iter = t.iters + 1 WHERE t.evals < 38 AND t.iters < 9 AND t.stalled < 3)
+SELECT run, evals, iters, best, stalled, stalled >= 3 AND evals < 38 AND iters < 9 AS stopped_early FROM t QUALIFY row_number() OVER (PARTITION BY run ORDER BY iters DESC) = 1""")
+def patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user's events, five to an iteration, would have ended as the evaluations of a search."""
+    return budget.replayed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 5, _PATIENT)

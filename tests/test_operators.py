@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import share
 from evoframe.operators import clean, objectives, pareto, search
+from evoframe.operators.budget import Budget
 from evoframe.sources import readers
 from evoframe.streaming.archive import keep_front
 
@@ -68,9 +69,10 @@ def test_undersampling_keeps_exactly(spark):
 
 
 def test_grasshoppers_find_the_middle(spark):
-    found = search.search(spark, "grasshopper", objectives.sphere, -5.12, 5.12, dimension=3, runs=2, iterations=8)
-    start = search.search(spark, None, objectives.sphere, -5.12, 5.12, dimension=3, runs=2, iterations=1)
-    assert max(r.best for r in found.collect()) < max(r.best for r in start.collect())
+    start = search.initial(spark, 2, 30, 3, -5.12, 5.12, objectives.sphere)
+    found = search.search(start.drop("f"), "grasshopper", objectives.sphere, -5.12, 5.12, Budget(max_evals=30 * 8))
+    assert max(r.best for r in found.collect()) < max(r.best for r in start.groupBy("run").agg(F.min("f").alias("best")).collect())
+    assert all(r.evals == 240 and r.iters == 7 for r in found.collect())
 
 
 def test_series_matrix(spark, tmp_path):
