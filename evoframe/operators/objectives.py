@@ -44,12 +44,12 @@ def weights(x: Column) -> Column:
 def ensemble_scores(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every row with every candidate of a batch: ``cand_id, score`` beside the columns of ``rows``.
 
-    ``rows`` have ``p``, one probability for each member. The batch, which is one
-    population, is one row that is broadcast and unrolled in place.
+    ``rows`` have ``p``, one probability for each member. Candidates meet the rows in blocks of
+    bounded size.
     """
-    batch = candidates.select("cand_id", weights(F.col("x")).alias("w")).agg(F.collect_list(F.struct("cand_id", "w")).alias("_batch"))
-    batch = batch.withColumn("_one", F.lit(1))
-    unrolled = rows.withColumn("_one", F.lit(1)).join(F.broadcast(batch), "_one").select(*rows.columns, F.inline("_batch"))
+    from evoframe.operators.models import with_each
+
+    unrolled = with_each(rows, candidates.select("cand_id", weights(F.col("x")).alias("w")))
     return unrolled.withColumn("score", _total(F.zip_with("p", "w", lambda a, b: a * b))).drop("w")
 
 

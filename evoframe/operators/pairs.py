@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.functions.hashing import first_by_hash, share
+from evoframe.functions.hashing import first_by_hash, number_of, permuted, ranked_within, share, summed_before
+from evoframe.functions.lineage import checkpointed
 
 MODES = ("random", "drug", "target", "both")
 
@@ -59,18 +60,50 @@ def cells(pairs: DataFrame, drug: str, target: str) -> DataFrame:
     return made.join(known.withColumn("cell", F.lit(1).cast("long")), [drug, target], "left").fillna(0, ["cell"])
 
 
-def with_negatives(positives: DataFrame, drug: str, target: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
-    """``drug, target, label``: the distinct positives and a sample of the pairs that are none.
+def unknown_pairs(known: DataFrame, drug: str, target: str, wanted: int, seed: int = 0) -> DataFrame:
+    """``drug, target``: ``wanted`` distinct pairs (all, if there are fewer) of drugs and targets that ``known``, distinct pairs, does not hold.
 
-    The complement is made by one equality join over blocks of targets: every drug is
-    paired with every target because that is what is asked for, and it is sampled at once.
+    Drugs and targets are numbered in a hashed order, and so, drug by drug, are the pairs
+    that are not known. The draws are the first numbers of a permutation, so their size is
+    exact. Which pair has a number follows from the known ones: between two neighbours of a
+    drug the unknown targets run on, so each known pair ends one run of numbers. Draws meet
+    runs by an equality join over equal stretches of numbers; no pair is made that is not drawn.
     """
-    known = positives.select(drug, target).distinct()
-    drugs, targets = known.select(drug).distinct(), known.select(target).distinct()
-    others = every_pair(drugs, targets, target).join(known, [drug, target], "left_anti")
-    n = known.count()
-    wanted = min(round(ratio * n), drugs.count() * targets.count() - n)
-    sampled = first_by_hash(others, wanted, seed, drug, target) if wanted else others.limit(0)
+    spark = known.sparkSession
+
+    def numbered(column: str, salt: int, name: str) -> DataFrame:
+        rows = known.select(column).distinct().withColumns({"_h": number_of(seed + salt, column), "_all": F.lit(0)})
+        return checkpointed(ranked_within(rows, "_all", "_h", name, column).select(column, name))
+
+    targets, drugs = numbered(target, 1, "_t"), numbered(drug, 0, "_d")
+    n_targets = targets.count()
+    placed = known.join(targets, target).select(drug, "_t")
+    placed = checkpointed(ranked_within(placed, drug, "_t", "_i").select(drug, "_i", (F.col("_t") - F.col("_i")).alias("_from")))  # unknown ones before it
+    sizes = placed.groupBy(drug).agg((n_targets - F.count(F.lit(1))).alias("_unknown"))
+    sizes = checkpointed(summed_before(drugs.join(sizes, drug), "_d", "_unknown", "_before"))
+    total = sizes.agg(F.sum("_unknown")).first()[0] or 0
+    wanted = min(wanted, total)
+    if wanted <= 0:
+        return known.select(drug, target).limit(0)
+
+    # runs of unknown targets: from each known one, or the first target, to the next known one, or the last target
+    starts = placed.unionByName(sizes.select(drug, F.lit(-1).cast("long").alias("_i"), F.lit(0).cast("long").alias("_from")))
+    ends = placed.select(drug, (F.col("_i") - 1).alias("_i"), F.col("_from").alias("_to"))
+    runs = starts.join(ends, [drug, "_i"], "left").join(sizes.select(drug, "_unknown", "_before"), drug)
+    runs = runs.withColumn("_to", F.coalesce("_to", "_unknown")).where("_from < _to")
+    runs = runs.select(drug, (F.col("_before") + F.col("_from")).alias("_low"), (F.col("_before") + F.col("_to")).alias("_high"), (F.col("_i") + 1 - F.col("_before")).alias("_shift"))
+    stretch = max(1, total // max(1, placed.count()))
+    cut = runs.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("_low") / stretch), F.floor((F.col("_high") - 1) / stretch))))
+    draws = spark.range(wanted).select(permuted(F.col("id"), total, seed).alias("_r"))
+    draws = draws.withColumn("_stretch", F.floor(F.col("_r") / stretch))
+    met = draws.join(cut, "_stretch").where("_low <= _r AND _r < _high").select(drug, (F.col("_r") + F.col("_shift")).alias("_t"))
+    return met.join(targets, "_t").select(drug, target)
+
+
+def with_negatives(positives: DataFrame, drug: str, target: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """``drug, target, label``: the distinct positives and a sample of the pairs that are none, of exact size; its cost follows both."""
+    known = checkpointed(positives.select(drug, target).where(F.col(drug).isNotNull() & F.col(target).isNotNull()).distinct())
+    sampled = unknown_pairs(known, drug, target, round(ratio * known.count()), seed)
     return known.withColumn("label", F.lit(1)).unionByName(sampled.withColumn("label", F.lit(0)))
 
 

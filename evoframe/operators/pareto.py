@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.functions.hashing import cuts_of, range_of
+from evoframe.functions.lineage import checkpointed
 
 
 def dominates(a: list[Column], b: list[Column]) -> Column:
@@ -65,7 +66,7 @@ def front(points: DataFrame, objectives: list[str], key: str, block: int = 4096)
         values = batch[objectives].to_numpy(float)
         return batch[_undominated(values, values)]
 
-    left = points.repartition(max(1, -(-points.count() // block)), key).mapInPandas(lambda batches: map(own, batches), schema).checkpoint()
+    left = checkpointed(points.repartition(max(1, -(-points.count() // block)), key).mapInPandas(lambda batches: map(own, batches), schema))
     blocks = max(1, -(-left.count() // block))
     dealt = left.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     rivals = left.select(*objectives).distinct()

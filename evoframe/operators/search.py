@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions.lineage import checkpointed
 from evoframe.operators.budget import Budget, charged, granted, opened
 
 Objective = Callable[[Column], Column]
@@ -160,15 +161,10 @@ def search(
     A step reads its population several times, so each one is cut from its lineage by
     ``checkpoint`` into the shared folder, and so is the state, a row for each run.
     """
-    spark = population.sparkSession
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     first = population.withColumn("f", objective(F.col("x")))
     state = opened(population)
-    first = granted(first, state, budget).checkpoint()
-    state = charged(first, state, budget, iteration=False).checkpoint()
+    first = checkpointed(granted(first, state, budget))
+    state = checkpointed(charged(first, state, budget, iteration=False))
     population, iteration = first.drop("counted"), 0
     while going := state.where("NOT done").agg(F.count(F.lit(1)), F.min("evals")).first():
         if not going[0]:
@@ -178,7 +174,7 @@ def search(
         iteration += 1
         population = population.join(state.where("NOT done").select("run"), "run", "left_semi")
         moved = (STEPS[step] if isinstance(step, str) else step)(population, iteration, min(share, 1.0), low, high, objective, seed)
-        moved = granted(moved, state, budget).checkpoint()
-        state = charged(moved, state, budget).checkpoint()
+        moved = checkpointed(granted(moved, state, budget))
+        state = checkpointed(charged(moved, state, budget))
         population = moved.drop("counted")
     return state.select("run", "evals", "iters", "best", "stalled", budget.early(F.col("evals"), F.col("iters"), F.col("stalled")).alias("stopped_early"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import activities, budget, clean, matrix, nearest, objectives, pairs, pareto, search, selection, swarm
+from evoframe.operators import activities, budget, clean, colony, matrix, models, nearest, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,11 +66,25 @@ query(f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN nth <
     md5('{_SEED}|' || l_orderkey || '|' || l_linenumber || '|' || l_suppkey || '|' || l_partkey)) AS nth FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem))""", "cold_split_random")(_split_query("random"))
 
 
-@query("""WITH known AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-others AS (SELECT * FROM (SELECT DISTINCT l_suppkey FROM known), (SELECT DISTINCT l_partkey FROM known) EXCEPT SELECT * FROM known),
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || l_suppkey || '|' || l_partkey), l_suppkey, l_partkey) AS nth FROM others)
+def _permuted_sql(v: str, seed: int) -> str:
+    """The SQL of ``hashing.permuted`` for one step, with ``rows`` and ``cols`` as columns."""
+    mixed = lambda x, k: f"('0x' || substr(md5('{seed}|{k}|' || ({x})), 1, 13))::BIGINT"
+    left, right = f"({v} // cols)", f"({v} % cols)"
+    for k in range(2):
+        left = f"(({left} + {mixed(right, 2 * k)}) % rows)"
+        right = f"(({right} + {mixed(left, 2 * k + 1)}) % cols)"
+    return f"({left} * cols + {right})"
+
+
+@query(f"""WITH RECURSIVE known AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+s AS (SELECT l_suppkey, row_number() OVER (ORDER BY substr(md5('7|' || l_suppkey), 1, 13), l_suppkey) AS d FROM (SELECT DISTINCT l_suppkey FROM known)),
+p AS (SELECT l_partkey, row_number() OVER (ORDER BY substr(md5('8|' || l_partkey), 1, 13), l_partkey) AS t FROM (SELECT DISTINCT l_partkey FROM known)),
+others AS (SELECT l_suppkey, l_partkey, row_number() OVER (ORDER BY d, t) - 1 AS r FROM (SELECT * FROM s, p) ANTI JOIN known USING (l_suppkey, l_partkey)),
+size AS (SELECT count(*)::BIGINT AS size, ceil(sqrt(count(*)))::BIGINT AS rows, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS cols FROM others),
+walk AS (SELECT {_permuted_sql("i", 7)} AS v, size, rows, cols FROM size, (SELECT unnest(range(round_even(0.5 * (SELECT count(*) FROM known), 0)::BIGINT)) AS i)
+  UNION ALL SELECT {_permuted_sql("v", 7)}, size, rows, cols FROM walk WHERE v >= size)
 SELECT l_suppkey, l_partkey, 1 AS label FROM known UNION ALL
-SELECT l_suppkey, l_partkey, 0 FROM ranked WHERE nth <= round_even(0.5 * (SELECT count(*) FROM known), 0)""")
+SELECT l_suppkey, l_partkey, 0 FROM others JOIN walk ON r = v""")
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.with_negatives(_pair_table(spark, sf_dir), "l_suppkey", "l_partkey", 0.5, _SEED)
 
@@ -866,3 +880,65 @@ SELECT run, evals, iters, best, stalled, stalled >= 3 AND evals < 38 AND iters <
 def patience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each user's events, five to an iteration, would have ended as the evaluations of a search."""
     return budget.replayed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 5, _PATIENT)
+
+
+# Models of undersampled sets, members of ensembles, pheromones --------------------------
+
+_WIDTH = 8
+_TRAINING = f"SELECT vec_id AS id, (label = 3)::INTEGER AS y, list_transform(embedding[1:{_WIDTH}], lambda v: floor(v::DOUBLE * 1024)) AS x FROM embeddings"
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform(F.slice("embedding", 1, _WIDTH), lambda v: F.floor(v.cast("double") * 1024).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 3).cast("int").alias("y"), x.alias("x"))
+
+
+@query(f"""WITH r AS ({_TRAINING}), train AS (SELECT * FROM r WHERE id % 3 <> 0), valid AS (SELECT * FROM r WHERE id % 3 = 0),
+n AS (SELECT greatest(1, least(count(*) FILTER (y = 1), count(*) FILTER (y = 0))) AS keep FROM train), c AS (SELECT unnest(range(4)) AS cand_id),
+kept AS (SELECT cand_id, id FROM (SELECT cand_id, id, row_number() OVER (PARTITION BY cand_id ORDER BY (cand_id + id) % 3 = 0 DESC, md5('7|' || cand_id || '|' || id), id) AS nth
+  FROM train, c WHERE y = 0), n WHERE nth <= keep),
+sets AS (SELECT cand_id, y, x FROM kept JOIN train USING (id) UNION ALL SELECT cand_id, y, x FROM train, c WHERE y = 1),
+flat AS (SELECT cand_id, y, unnest(range({_WIDTH})) AS j, unnest(x) AS v FROM sets),
+eps AS (SELECT cand_id, 1e-9 * max(v) AS eps FROM (SELECT cand_id, j, var_pop(v) AS v FROM flat GROUP BY 1, 2) GROUP BY 1),
+stats AS (SELECT cand_id, y, j, avg(v) AS mean, var_pop(v) + any_value(eps) AS var FROM flat JOIN eps USING (cand_id) GROUP BY 1, 2, 3),
+prior AS (SELECT cand_id, y AS label, ln(count(*) / sum(count(*)) OVER (PARTITION BY cand_id)::DOUBLE) AS prior FROM sets GROUP BY 1, 2),
+points AS (SELECT id, y, unnest(range({_WIDTH})) AS j, unnest(x) AS v FROM valid),
+scores AS (SELECT s.cand_id, id, s.y AS label, any_value(p.y) AS y, -0.5 * sum(ln(2 * pi() * var) + (v - mean) * (v - mean) / var) AS score FROM points p JOIN stats s USING (j) GROUP BY 1, 2, 3),
+picked AS (SELECT cand_id, y, arg_max(label, {{'s': score + prior, 'l': -label}}) AS predicted FROM scores JOIN prior USING (cand_id, label) GROUP BY cand_id, id, y)
+SELECT cand_id, round(1 - coalesce(2 * count(*) FILTER (y = 1 AND predicted = 1) / nullif(count(*) FILTER (y = 1) + count(*) FILTER (predicted = 1), 0)::DOUBLE, 0), 6) AS fitness FROM picked GROUP BY 1""")
+def undersampling_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four undersampled training sets, each judged by the model fitted on it."""
+    rows = _training(spark, sf_dir)
+    train = rows.where("id % 3 <> 0")
+    bits = train.where("y = 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cand_id"), F.col("id").alias("row_id"))
+    bits = bits.withColumn("bit", ((F.col("cand_id") + F.col("row_id")) % 3 == 0).cast("int"))
+    return rounded(models.undersampling_fitness(train, rows.where("id % 3 = 0"), bits, seed=_SEED), "fitness")
+
+
+@query(name="member_probabilities")
+def _member_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of ten trees fitted on a third of the vectors; each tree's probability for every vector."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _training(spark, sf_dir).withColumn("features", array_to_vector("x"))
+    forest = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=3, seed=3).fit(rows.where("id % 3 = 0").repartition(1, "id").sortWithinPartitions("id"))
+    return models.member_probabilities(forest, rows).select("id", F.posexplode("p").alias("member", "p")).withColumn("member", F.col("member").cast("long"))
+
+
+_ANTS = f"""r AS (SELECT DISTINCT vec_id // 32 AS run FROM embeddings),
+a AS (SELECT run, id, list_transform(range(16), lambda j: ({_u("run", "id", "j", iteration=0)} < 0.5)::INTEGER::DOUBLE) AS b, floor({_u("run", "id", "'bit'", iteration=0)} * 16) AS one FROM r, (SELECT unnest(range(20)) AS id)),
+x AS (SELECT run, id, CASE WHEN list_sum(b) > 0 THEN b ELSE list_transform(range(16), lambda j: (j = one)::INTEGER::DOUBLE) END AS x FROM a),
+f AS (SELECT *, list_sum(list_transform(range(16), lambda j: x[j + 1] * ((j * 5) % 7 - 3))) AS f FROM x),
+best AS (SELECT run, arg_min(x, {{'f': f, 'id': id}}) AS x, min(f) AS f FROM f GROUP BY 1)"""
+
+
+@query(f"""WITH {_ANTS} SELECT run, unnest(range(16)) AS pos, unnest(list_transform(x, lambda b: round(0.9 * 0.5 + 0.1 * (1 - b), 6))) AS tau0,
+unnest(list_transform(x, lambda b: round(0.9 * 0.5 + 0.1 * b, 6))) AS tau1, f FROM best""")
+def ant_colony_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of twenty ants in each run: the pheromones that it leaves and its best value."""
+    weights = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: ((j * 5) % 7 - 3).cast("double"))
+    objective = lambda x: F.aggregate(F.zip_with(x, weights, lambda b, w: b * w), F.lit(0.0), lambda a, v: a + v)
+    pheromones, best = colony.step(colony.fresh(_swarm(spark, sf_dir), 16), None, objective, n=20)
+    both = pheromones.join(best.select("run", "f"), "run").select("run", "f", F.posexplode(F.arrays_zip("tau0", "tau1")).alias("pos", "t"))
+    return rounded(both.select("run", F.col("pos").cast("long").alias("pos"), F.col("t.tau0").alias("tau0"), F.col("t.tau1").alias("tau1"), "f"), "tau0", "tau1", "f")

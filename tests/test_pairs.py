@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from evoframe.functions.hashing import permuted, ranked_within, summed_before
 from evoframe.operators import pairs
 from evoframe.plans.catalogue import QUERIES
 
@@ -34,3 +37,43 @@ def test_negatives_come_from_the_whole_complement_without_a_cross_join(spark):
     assert "CartesianProduct" not in (plan := made._jdf.queryExecution().toString()) and "NestedLoop" not in plan
     found = Counter(tuple(r) for r in made.collect())
     assert found == Counter((d, t, int((d, t) in KNOWN)) for d in {d for d, _ in KNOWN} for t in {t for _, t in KNOWN})
+
+
+def test_unknown_pairs_are_all_or_an_exact_sample(spark):
+    known = {(f"d{i}", f"t{j}") for i in range(12) for j in range(40) if i == 3 or (i * 7 + j * j) % 11 == 0 or j < 12}  # d3 knows all
+    rows = spark.createDataFrame(sorted(known), "drug string, target string").repartition(3)
+    others = {(f"d{i}", f"t{j}") for i in range(12) for j in range(40)} - known
+    for wanted in (0, 1, 57, len(others), 10**6):
+        found = [tuple(r) for r in pairs.unknown_pairs(rows, "drug", "target", wanted, 3).collect()]
+        assert len(found) == len(set(found)) == min(wanted, len(others)) and set(found) <= others
+    one, two = ({tuple(r) for r in pairs.unknown_pairs(rows, "drug", "target", 60, s).collect()} for s in (1, 2))
+    assert one != two
+    assert pairs.unknown_pairs(spark.createDataFrame([], "drug string, target string"), "drug", "target", 5).count() == 0
+    whole = spark.createDataFrame([(i, j) for i in range(3) for j in range(4)], "drug long, target long")
+    assert pairs.with_negatives(whole, "drug", "target").where("label = 0").count() == 0
+    doubled = whole.where("drug <> 1 OR target <> 2").union(whole.where("drug = 0")).union(spark.createDataFrame([(None, 1), (1, None)], "drug long, target long"))
+    found = pairs.with_negatives(doubled, "drug", "target", 1.0).collect()
+    assert sorted(tuple(r) for r in found if r.label == 0) == [(1, 2, 0)] and len(found) == 12
+
+
+def test_draws_are_distinct_and_spread(spark):
+    for size in (1, 2, 3, 10, 97, 1000):
+        found = [r[0] for r in spark.range(size).select(permuted(F.col("id"), size, 5)).collect()]
+        assert sorted(found) == list(range(size))
+    large = 10**13 + 7
+    found = [r[0] for r in spark.range(20_000).select(permuted(F.col("id"), large, 5)).collect()]
+    assert len(set(found)) == 20_000 and 0 <= min(found) and max(found) < large
+    tenths = [sum(1 for v in found if v * 10 // large == k) for k in range(10)]
+    assert max(tenths) < 2200 and min(tenths) > 1800
+
+
+def test_ranks_and_sums_over_ranges(spark):
+    rows = [(g, o, t) for g in ("a", "b", None) for o in range(30) for t in range(1 + o % 3)]
+    df = spark.createDataFrame(rows, "g string, o long, t long").repartition(4)
+    found = {(r.g, r.o, r.t): r.n for r in ranked_within(df, "g", "o", "n", "t", parts=7).collect()}
+    for g in ("a", "b", None):
+        own = sorted((o, t) for gg, o, t in rows if gg == g)
+        assert [found[(g, o, t)] for o, t in own] == list(range(len(own)))
+    single = spark.createDataFrame([(i, i * i % 5) for i in range(50)], "o long, v long")
+    found = {r.o: r.s for r in summed_before(single, "o", "v", "s", parts=6).collect()}
+    assert found == {i: sum(k * k % 5 for k in range(i)) for i in range(50)}
