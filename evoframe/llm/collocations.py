@@ -3,8 +3,9 @@
 1. A sketch: one pass hashes every phrase of one to five words of every text to a cell and
    counts the cells. A cell's count bounds the counts of its phrases from above, so only
    phrases of cells that reach ``least`` can be frequent. What goes on is which cells do.
-2. Candidates: one pass collects the distinct longest phrases of such cells, where a
+2. Candidates: the distinct longest phrases of such cells are collected, where a
    phrase also needs that its shorter parts are left; every part of them is a candidate.
+   A small part of the texts goes first, as most frequent phrases stand there already.
 3. Automata: candidates are compiled into Aho-Corasick automata with a delimiter at both
    ends of every word, words written as numbers, common ones short. Each task scans its texts and
    counts all matches, overlapping ones too. The sums are exact counts.
@@ -47,6 +48,10 @@ MOST_CELLS = 1 << 30
 RANGE = 1 << 18
 #: Hashes that a task gathers before it sends them on.
 GATHERED = 1 << 22
+#: Of this many parts of the texts, those that are searched for candidates first, and next.
+PARTS, ROUNDS = 128, (1, 9)
+#: Candidates that are known to all tasks in the next round; others may be sent again.
+MOST_KNOWN = 1 << 22
 #: Phrases in one automaton.
 SHARD = 500_000
 #: Kinds of digits of a word's number.
@@ -114,7 +119,9 @@ def _unranged(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(text_of().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    names = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]  # copies of a text lie in different parts
+    part = F.pmod(F.xxhash64(*names), F.lit(PARTS)).alias("part")
+    return docs.select(text_of().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), part)
 
 
 def _own(phrases: Phrases, slice_bits: int, number: int) -> np.ndarray:
@@ -153,7 +160,7 @@ def _sketch(texts: DataFrame, bits: int, slice_bits: int, number: int, least: in
         return pa.table({"range": group.column("range")[:1].cast(pa.int64()), "cells": pa.array([packed], pa.binary())}) if len(found) else pa.table(
             {"range": pa.array([], pa.int64()), "cells": pa.array([], pa.binary())})
 
-    return texts.mapInArrow(count, "range long, data binary").groupBy("range").applyInArrow(add, "range long, cells binary")
+    return texts.select("text", "lang").mapInArrow(count, "range long, data binary").groupBy("range").applyInArrow(add, "range long, cells binary")
 
 
 class Cells:
@@ -191,26 +198,46 @@ def longest_phrases(phrases: Phrases, cells: Cells) -> tuple[np.ndarray, np.ndar
     return at, length[at], last[at]
 
 
-def _candidates(texts: DataFrame, cells: Cells) -> DataFrame:
-    """``lang, phrase``: the longest phrases that may be frequent, mostly distinct."""
-    sent = texts.sparkSession.sparkContext.broadcast(cells)
+def _candidates(texts: DataFrame, cells: Cells, known: np.ndarray) -> DataFrame:
+    """``lang, phrase, hash``: the longest phrases that may be frequent and are not known, mostly distinct."""
+    sent = texts.sparkSession.sparkContext.broadcast((cells, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, known = sent.value
         seen = np.zeros(0, np.uint64)
         for batch in in_slices(batches):
             langs = batch.column("lang").to_pylist()
             phrases = Phrases(batch.column("text").to_pylist(), langs)
-            at, n, hashes = longest_phrases(phrases, sent.value)
+            at, n, hashes = longest_phrases(phrases, cells)
             _, first = np.unique(hashes, return_index=True)
-            if len(seen):
-                place = np.minimum(np.searchsorted(seen, hashes[first]), len(seen) - 1)
-                first = first[seen[place] != hashes[first]]
+            for old in (known, seen):
+                if len(old):
+                    place = np.minimum(np.searchsorted(old, hashes[first]), len(old) - 1)
+                    first = first[old[place] != hashes[first]]
             seen = hashes[first] if len(seen) > GATHERED else np.concatenate([seen, hashes[first]])
             seen.sort()
             made = [phrases.words(a, k) for a, k in zip(at[first].tolist(), n[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[t] for t in phrases.text[at[first]].tolist()], pa.string()), pa.array(made, pa.string())], ["lang", "phrase"])
+            found = [pa.array([langs[t] for t in phrases.text[at[first]].tolist()], pa.string()), pa.array(made, pa.string()), pa.array(hashes[first].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(found, ["lang", "phrase", "hash"])
 
-    return texts.mapInArrow(run, "lang string, phrase string")
+    return texts.select("text", "lang").mapInArrow(run, "lang string, phrase string, hash long")
+
+
+def _all_candidates(texts: DataFrame, cells: Cells) -> DataFrame:
+    """``lang, phrase``: the distinct longest phrases that may be frequent.
+
+    Every text is read in one of a few rounds, each larger than the one before. What a round
+    finds is known in the next, so a phrase that all tasks meet is not sent by all of them.
+    """
+    known, found, low = np.zeros(0, np.uint64), None, 0
+    for high in (*ROUNDS, PARTS):
+        some = texts.where((F.col("part") >= low) & (F.col("part") < high))
+        new = materialize(_candidates(some, cells, known).distinct())
+        found, low = new if found is None else found.unionByName(new), high
+        if high < PARTS:
+            hashes = new.select("hash").limit(max(0, MOST_KNOWN - len(known))).toArrow().column("hash").to_numpy().view(np.uint64)
+            known = np.unique(np.concatenate([known, hashes]))
+    return found.select("lang", "phrase").distinct()
 
 
 def _code(number: int) -> str:
@@ -274,7 +301,7 @@ def _scanned(texts: DataFrame, table: pa.Table) -> DataFrame:
             [pa.array(ids, pa.int64()), pa.array([None] * len(at) + list(totals), pa.string()), pa.array(numbers, pa.int64())], ["pid", "lang", "n"]
         )
 
-    return texts.mapInArrow(run, "pid long, lang string, n long")
+    return texts.select("text", "lang").mapInArrow(run, "pid long, lang string, n long")
 
 
 def _parts(words, least: int, most):
@@ -296,7 +323,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     for number in range(1 << slice_bits):
         ranges = _sketch(texts, bits, slice_bits, number, least)
         cells = Cells([(r.range, bytes(r.cells)) for r in ranges.collect()], bits, slice_bits, number)
-        some = _candidates(texts, cells).distinct()
+        some = _all_candidates(texts, cells)
         found = some if found is None else found.unionByName(some)
     parts = found.select("lang", F.explode(_parts(F.split("phrase", " "), 1, LONGEST)).alias("phrase")).distinct()
     phrases = materialize(parts.withColumn("pid", F.monotonically_increasing_id()))
