@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +104,76 @@ def front_numbers(points: DataFrame, objectives: list[str], key: str, run: str)
     return points.select(*columns).groupBy(run).applyInPandas(peel, f"`{run}` {kinds[run]}, `{key}` {kinds[key]}, front long")
 
 
+def _chained(values: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Front numbers of a block in an order in which no point dominates an earlier one, each ``least`` at least."""
+    number = least.copy()
+    for i in range(1, len(values)):
+        beaten = (values[:i] <= values[i]).all(axis=1) & (values[:i] < values[i]).any(axis=1)
+        if beaten.any():
+            number[i] = max(number[i], number[:i][beaten].max() + 1)
+    return number
+
+
+def fronts_of_all(points: DataFrame, objectives: list[str], key: str, block: int = 4096) -> DataFrame:
+    """``key, front``: the number of each point's front, from 0, in one population of any size.
+
+    A point's number is that of the longest chain of points that dominate one another up to
+    it. Who dominates has the smaller sum of objectives, so blocks of points in the order of
+    the sum are numbered one after the other: each is held against all points numbered
+    before it, in every partition of theirs at once, and the highest number of a dominating
+    one is kept for each of its points; then it is numbered by itself. A block, of about
+    ``block`` points, is all that reaches a task beside a batch of the others, and only bounds between blocks reach
+    the driver. Work grows with the square of the points, as the task asks in the worst case,
+    over all tasks. Points with null or NaN objectives take no part; equal points share a number.
+    """
+    sound, total = F.lit(True), F.lit(0.0)
+    for f in objectives:
+        sound, total = sound & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")), total + F.col(f).cast("double")
+    kind, width = points.schema[key].dataType.simpleString(), len(objectives)
+    rows = points.where(sound).select(F.col(key).alias("k"), F.array(*[F.col(f).cast("double") for f in objectives]).alias("v"), total.alias("s"))
+    rows = checkpointed(rows)
+    cuts = cuts_of(rows, "s", max(1, -(-rows.count() // block)))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        values = np.array(group.v.tolist(), float)
+        order = np.lexsort((*values.T[::-1], group.s.to_numpy()))  # sums may round to one value; then the objectives order what dominates
+        return pd.DataFrame({"b": [group.b.iloc[0]], "keys": [group.k.to_numpy()[order].tolist()], "data": [values[order].tobytes()]})
+
+    packs = checkpointed(rows.withColumn("b", range_of(F.col("s"), cuts)).groupBy("b").applyInPandas(pack, f"b int, keys array<{kind}>, data binary"))
+
+    def matrix(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, float).reshape(-1, width)
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The highest number, and 1, of those of one block that dominate each point of another."""
+        for batch in batches:
+            for row in batch.itertuples():
+                values, front = matrix(row.data), np.asarray(row.fronts, np.int64)
+                least = [int(front[h].max()) + 1 if (h := (values <= mine).all(axis=1) & (values < mine).any(axis=1)).any() else 0 for mine in matrix(row.own)]
+                yield pd.DataFrame({"place": np.arange(len(least)), "least": least})
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fronts = [_chained(matrix(row.data), np.asarray(row.least, np.int64) if row.least is not None else np.zeros(len(matrix(row.data)), np.int64)).tolist() for row in batch.itertuples()]
+            yield batch[["b", "keys", "data"]].assign(fronts=fronts)
+
+    done = None
+    for b in sorted(r.b for r in packs.select("b").collect()):
+        own = packs.where(F.col("b") == b)
+        if done is None:
+            own = own.withColumn("least", F.lit(None).cast("array<bigint>"))
+        else:  # one row of bounded size meets one row for each block before it
+            met = done.select("data", "fronts").withColumn("one", F.lit(1)).join(F.broadcast(own.select(F.col("data").alias("own"), F.lit(1).alias("one"))), "one")
+            best = met.mapInPandas(hold, "place long, least long").groupBy("place").agg(F.max("least").alias("least"))
+            best = best.agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("l")).select(F.transform("l", lambda p: p.least).alias("least"), F.lit(1).alias("one"))
+            own = own.withColumn("one", F.lit(1)).join(best, "one")
+        numbered = checkpointed(own.select("b", "keys", "data", "least").mapInPandas(chain, f"b int, keys array<{kind}>, data binary, fronts array<bigint>"))
+        done = numbered if done is None else done.unionByName(numbered)
+    if done is None:
+        return rows.select(F.col("k").alias(key), F.lit(0).cast("long").alias("front"))
+    return done.select(F.explode(F.arrays_zip("keys", "fronts")).alias("z")).select(F.col("z.keys").alias(key), F.col("z.fronts").alias("front"))
+
+
 def pareto_order(points: DataFrame, objectives: list[str], key: str, run: str) -> DataFrame:
     """``points`` with ``front``, ``crowding`` and ``place``: by front, then the most isolated first, then by key."""
     numbered = points.join(front_numbers(points, objectives, key, run), [run, key])

@@ -404,18 +404,18 @@ def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pareto.front_of_two(_points(spark, sf_dir), "f1", "f2", "id"), "f1")
 
 
-@query("""WITH p AS (SELECT s_suppkey AS id, s_nationkey AS front, s_acctbal AS f1, (s_suppkey % 7)::DOUBLE AS f2 FROM supplier),
+@query("""WITH p AS (SELECT s_suppkey AS id, s_suppkey // 64 AS front, s_acctbal AS f1, (s_suppkey % 7)::DOUBLE AS f2 FROM supplier),
 g AS (SELECT *, lead(f1) OVER a - lag(f1) OVER a AS g1, lead(f2) OVER b - lag(f2) OVER b AS g2, max(f1) OVER w - min(f1) OVER w AS s1, max(f2) OVER w - min(f2) OVER w AS s2
   FROM p WINDOW a AS (PARTITION BY front ORDER BY f1, id), b AS (PARTITION BY front ORDER BY f2, id), w AS (PARTITION BY front))
 SELECT id, front, CASE WHEN g1 IS NULL OR g2 IS NULL THEN -1 ELSE round(CASE WHEN s1 = 0 THEN 0 ELSE g1 / s1 END + CASE WHEN s2 = 0 THEN 0 ELSE g2 / s2 END, 6) END AS crowding FROM g""")
 def crowding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infinite distances as -1, for comparison."""
-    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("front"), F.col("s_acctbal").alias("f1"), (F.col("s_suppkey") % 7).cast("double").alias("f2"))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 64).cast("long").alias("front"), F.col("s_acctbal").alias("f1"), (F.col("s_suppkey") % 7).cast("double").alias("f2"))
     found = pareto.crowding_distance(points, ["f1", "f2"], "id", "front").select("id", "front", "crowding")
     return found.withColumn("crowding", F.when(F.col("crowding") == float("inf"), F.lit(-1.0)).otherwise(F.round("crowding", 6)))
 
 
-_CUSTOMERS = "(SELECT c_custkey AS id, c_nationkey::BIGINT AS run, round(c_acctbal, 2)::DOUBLE AS f1, (c_custkey * 37 % 101)::DOUBLE AS f2, (c_custkey * 53 % 17)::DOUBLE AS f3 FROM customer)"
+_CUSTOMERS = "(SELECT c_custkey AS id, c_custkey // 64 AS run, round(c_acctbal, 2)::DOUBLE AS f1, (c_custkey * 37 % 101)::DOUBLE AS f2, (c_custkey * 53 % 17)::DOUBLE AS f3 FROM customer)"
 _RANKED = f"""p AS {_CUSTOMERS},
 peeled AS (SELECT id, run, 0 AS front FROM p UNION SELECT q.id, q.run, r.front + 1 FROM peeled r JOIN p a ON a.id = r.id JOIN p q ON q.run = a.run
   AND a.f1 <= q.f1 AND a.f2 <= q.f2 AND a.f3 <= q.f3 AND (a.f1 < q.f1 OR a.f2 < q.f2 OR a.f3 < q.f3)),
@@ -425,12 +425,12 @@ numbered AS (SELECT p.*, f.front FROM p JOIN (SELECT id, max(front)::BIGINT AS f
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     more = [F.round("c_acctbal", 2).cast("double").alias("f1"), (key * 37 % 101).cast("double").alias("f2"), (key * 53 % 17).cast("double").alias("f3")]
-    return table(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_nationkey").cast("long").alias("run"), *more)
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.floor(key / 64).cast("long").alias("run"), *more)
 
 
 @query(f"WITH RECURSIVE {_RANKED} SELECT id, run, front FROM numbered")
 def non_dominated_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fronts of each nation's customers as a population."""
+    """All fronts of populations of 64 customers each."""
     return pareto.front_numbers(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id", "run").select("id", "run", "front")
 
 
@@ -679,7 +679,7 @@ c AS (SELECT run, arg_min({{'u': u, 'v': v}}, {{'u': u, 'v': v, 'id': id}}) AS a
 o AS (SELECT z.*, coalesce(round(abs((b.u - a.u) * (v - a.v) - (b.v - a.v) * (z.u - a.u)) / nullif(sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)), 0), 9), 0) AS o FROM z JOIN c USING (run))
 SELECT run, arg_min(id, {{'o': -o, 'u': u, 'v': v, 'id': id}}) AS id FROM o GROUP BY 1""")
 def knees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The knee of each nation's first front."""
+    """The knee of each population's first front."""
     points = _customers(spark, sf_dir)
     first = pareto.front_numbers(points, ["f1", "f2", "f3"], "id", "run").where(F.col("front") == 0)
     return selection.knees(points.join(first, ["run", "id"]), "f2", "f1", "id", "run").select("run", "id")
@@ -942,3 +942,15 @@ def ant_colony_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     pheromones, best = colony.step(colony.fresh(_swarm(spark, sf_dir), 16), None, objective, n=20)
     both = pheromones.join(best.select("run", "f"), "run").select("run", "f", F.posexplode(F.arrays_zip("tau0", "tau1")).alias("pos", "t"))
     return rounded(both.select("run", F.col("pos").cast("long").alias("pos"), F.col("t.tau0").alias("tau0"), F.col("t.tau1").alias("tau1"), "f"), "tau0", "tau1", "f")
+
+
+# One population of a whole table --------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT * EXCLUDE (run) FROM {_CUSTOMERS}),
+peeled AS (SELECT id, 0 AS front FROM p UNION SELECT q.id, r.front + 1 FROM peeled r JOIN p a ON a.id = r.id
+  JOIN p q ON a.f1 <= q.f1 AND a.f2 <= q.f2 AND a.f3 <= q.f3 AND (a.f1 < q.f1 OR a.f2 < q.f2 OR a.f3 < q.f3))
+SELECT id, max(front)::BIGINT AS front FROM peeled GROUP BY 1""")
+def fronts_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fronts of all customers as one population."""
+    return pareto.fronts_of_all(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id")

@@ -38,22 +38,8 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``sample_id, probe_id, value`` and ``sample_id, meta`` of a two-section text file.
-
-    The sample row is found by one filtered read; cells that are no numbers are missing.
-    """
-    lines = spark.read.text(path).withColumn("value", F.rtrim("value"))
-    table = lines.where(~F.col("value").startswith("!") & (F.trim("value") != ""))
-    cells = table.select(F.split("value", "\t").alias("cells"))
-    strip = lambda c: F.regexp_replace(c, '^"|"$', "")
-    head = cells.where(strip(F.col("cells")[0]) == "ID_REF").select(F.posexplode("cells").alias("pos", "sample")).where("pos > 0")
-    head = head.select("pos", strip(F.col("sample")).alias("sample_id"))
-    body = cells.where(strip(F.col("cells")[0]) != "ID_REF").select(strip(F.col("cells")[0]).alias("probe_id"), F.posexplode("cells").alias("pos", "cell"))
-    values = body.where("pos > 0").join(head, "pos").select("sample_id", "probe_id", strip(F.col("cell")).try_cast("double").alias("value"))
-    marked = lines.withColumn("line", F.monotonically_increasing_id())
-    notes = marked.where(F.col("value").startswith("!Sample_characteristics")).select("line", F.posexplode(F.split("value", "\t")).alias("pos", "cell"))
-    notes = notes.where("pos > 0").select("pos", "line", F.split(strip(F.col("cell")), ":", 2).alias("kv")).where(F.size("kv") == 2)
-    noted = notes.join(head, "pos").select("sample_id", "line", F.trim(F.col("kv")[0]).alias("key"), F.trim(F.col("kv")[1]).alias("value"))
-    last = noted.where("value <> ''").groupBy("sample_id", "key").agg(F.max_by("value", "line").alias("value"))  # of a repeated key
-    meta = last.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("meta"))
-    return values, meta
+    """``sample_id, probe_id, value`` and ``sample_id, meta`` of a series matrix; see ``sources.series``."""
+    from evoframe.sources.series import series_of
+
+    found = series_of(spark, path)
+    return found.cells, found.notes

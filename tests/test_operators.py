@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def test_series_matrix(spark, tmp_path):
     values, meta = readers.series_matrix(spark, str(path))
     cells = {(r.sample_id, r.probe_id): r.value for r in values.collect()}
     assert len(cells) == 12 and cells["GSM2", "p2"] is None and cells["GSM3", "p3"] == 9.0
-    assert {r.sample_id: r.meta for r in meta.collect()} == {"GSM1": {"disease": "UC", "age": "41"}, "GSM2": {"disease": "Normal"}, "GSM3": {"disease": "UC", "sex": "M"}}
+    assert {r.sample_id: r.meta for r in meta.collect()} == {"GSM1": {"disease": "UC", "age": "41"}, "GSM2": {"disease": "Normal", "age": None}, "GSM3": {"disease": "UC", "sex": "M"}}
     kept = clean.drop_missing(values, "probe_id", "value", 0.5)
     assert {r.probe_id for r in kept.collect()} == {"p1", "p2"}
     filled = {(r.sample_id, r.probe_id): r.value for r in clean.impute(values, "probe_id", "value").collect()}
@@ -150,3 +151,21 @@ def test_proposals_that_are_not_finite_are_refused(spark):
     rows = spark.createDataFrame([(1.0, 0.5), (1.0, float("nan")), (1.0, float("inf")), (1.0, 1.5), (1.0, 9.0)], "f double, new double")
     found = [r[0] for r in rows.select(objectives.accepted(F.col("f"), F.col("new"), F.lit(1.0), F.lit(0.3))).collect()]
     assert found == [True, False, False, True, False]
+
+
+@pytest.mark.parametrize("block", [10_000, 17])
+def test_fronts_of_one_population(spark, block):
+    draw = np.random.default_rng(8)
+    values = draw.integers(0, 9, (150, 3)) / 8 + draw.choice([0.0, 1e-17, 0.1], (150, 3))
+    rows = [(f"k{i}", *v.tolist(), 1) for i, v in enumerate(values)] + [("null", None, 1.0, 1.0, 1), ("nan", 1.0, float("nan"), 1.0, 1), ("twin", *values[3].tolist(), 1)]
+    points = spark.createDataFrame(rows, "name string, a double, b double, c double, front int").repartition(3)
+    values = np.vstack([values, values[3]])
+    beats = (values[:, None] <= values[None]).all(axis=2) & (values[:, None] < values[None]).any(axis=2)
+    number, left, n = {}, np.arange(151), 0
+    while len(left):
+        best = ~beats[np.ix_(left, left)].any(axis=0)
+        number |= {int(i): n for i in left[best]}
+        left, n = left[~best], n + 1
+    wanted = {("twin" if i == 150 else f"k{i}"): n for i, n in number.items()}
+    assert {r.name: r.front for r in pareto.fronts_of_all(points, ["a", "b", "c"], "name", block).collect()} == wanted
+    assert pareto.fronts_of_all(points.limit(0), ["a", "b"], "name").count() == 0
