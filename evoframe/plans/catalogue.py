@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import activities, budget, clean, colony, matrix, models, nearest, objectives, pairs, pareto, search, selection, swarm
+from evoframe.operators import activities, budget, clean, colony, evolution, matrix, models, nearest, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -954,3 +954,54 @@ SELECT id, max(front)::BIGINT AS front FROM peeled GROUP BY 1""")
 def fronts_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fronts of all customers as one population."""
     return pareto.fronts_of_all(_customers(spark, sf_dir), ["f1", "f2", "f3"], "id")
+
+
+# Several objectives ---------------------------------------------------------------------
+
+_GENES = 8
+_TWO = f"""(SELECT run, id, x, x[1] AS f1, (1 + 9 * list_avg(x[2:])) * (1 - sqrt(x[1] / (1 + 9 * list_avg(x[2:])))) AS f2
+  FROM (SELECT vec_id // 32 AS run, vec_id AS id, list_transform(embedding[1:{_GENES}], lambda v: least(abs(v::DOUBLE), 1)) AS x FROM embeddings))"""
+
+
+def _fronts_sql(rows: str, name: str) -> str:
+    """``{name}``: ``rows`` with front and crowding in each run, by two objectives."""
+    gaps = ", ".join(f"lead(f{k}) OVER o{k} - lag(f{k}) OVER o{k} AS g{k}, max(f{k}) OVER w - min(f{k}) OVER w AS s{k}" for k in (1, 2))
+    orders = ", ".join(f"o{k} AS (PARTITION BY run, front ORDER BY f{k}, id)" for k in (1, 2))
+    crowd = " + ".join(f"CASE WHEN g{k} IS NULL THEN 'Infinity'::DOUBLE WHEN s{k} = 0 THEN 0 ELSE g{k} / s{k} END" for k in (1, 2))
+    return f"""{name}_peeled AS (SELECT run, id, 0 AS front FROM {rows} UNION SELECT q.run, q.id, r.front + 1 FROM {name}_peeled r JOIN {rows} a ON a.run = r.run AND a.id = r.id
+  JOIN {rows} q ON q.run = a.run AND a.f1 <= q.f1 AND a.f2 <= q.f2 AND (a.f1 < q.f1 OR a.f2 < q.f2)),
+{name}_numbered AS (SELECT p.*, z.front FROM {rows} p JOIN (SELECT run, id, max(front) AS front FROM {name}_peeled GROUP BY 1, 2) z ON z.run = p.run AND z.id = p.id),
+{name} AS (SELECT run, id, x, f1, f2, front, {crowd} AS crowding FROM (SELECT *, {gaps} FROM {name}_numbered WINDOW w AS (PARTITION BY run, front), {orders}))"""
+
+
+_E = [f"floor({_u('run', 'child // 2', f"'entrant{k}'")} * n)::BIGINT + 1" for k in range(4)]
+
+
+def _won(a: int) -> str:
+    one, two = f"s[{_E[a]}]", f"s[{_E[a + 1]}]"
+    return f"CASE WHEN {one}.front < {two}.front OR ({one}.front = {two}.front AND {one}.crowding > {two}.crowding) THEN {one}.x ELSE {two}.x END"
+
+
+_BLENDED = f"(lo - 0.5 * (hi - lo)) + {_u('run', 'child', 'j', "'blend'")} * ((hi + 0.5 * (hi - lo)) - (lo - 0.5 * (hi - lo)))"
+_NORMAL = f"sqrt(-2 * ln(1 - {_u('run', 'child', 'j', "'radius'")})) * cos(6.283185307179586 * {_u('run', 'child', 'j', "'angle'")})"
+_GENERATION = f"""pop AS {_TWO}, {_fronts_sql("pop", "rated")},
+swarm AS (SELECT run, list({{'id': id, 'front': front, 'crowding': crowding, 'x': x}} ORDER BY id) AS s, count(*) AS n, max(id) AS last FROM rated GROUP BY 1),
+parents AS (SELECT run, child, n, last + 1 + child AS id, {_won(0)} AS one, {_won(2)} AS two, {_u("run", "child // 2", "'cross'")} < 0.9 AS crossed FROM (SELECT *, unnest(range(n)) AS child FROM swarm)),
+genes AS (SELECT *, unnest(range({_GENES})) AS j FROM parents),
+ends AS (SELECT *, least(one[j + 1], two[j + 1]) AS lo, greatest(one[j + 1], two[j + 1]) AS hi FROM genes),
+made AS (SELECT run, id, child, j, least(greatest(CASE WHEN crossed THEN {_BLENDED} WHEN child % 2 = 0 THEN one[j + 1] ELSE two[j + 1] END
+  + CASE WHEN {_u("run", "child", "j", "'mutate'")} < 1.0::DOUBLE / {_GENES} THEN 0.1 * 0.75 * {_NORMAL} ELSE 0 END, 0), 1) AS v FROM ends),
+bred AS (SELECT run, id, list(v ORDER BY j) AS x FROM made GROUP BY 1, 2),
+both_ AS (SELECT * FROM pop UNION ALL SELECT run, id, x, x[1], (1 + 9 * list_avg(x[2:])) * (1 - sqrt(x[1] / (1 + 9 * list_avg(x[2:])))) FROM bred),
+{_fronts_sql("both_", "merged")}"""
+
+
+@query(f"""WITH RECURSIVE {_GENERATION}, placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY front, crowding DESC, id) AS place FROM merged)
+SELECT run, id, round(f1, 6) + 0.0 AS f1, round(f2, 6) + 0.0 AS f2 FROM placed JOIN swarm USING (run) WHERE place <= n""")
+def evolution_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generation of populations of 32 vectors with two objectives."""
+    x = F.transform(F.slice("embedding", 1, _GENES), lambda v: F.least(F.abs(v.cast("double")), F.lit(1.0)))
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 32).cast("long").alias("run"), F.col("vec_id").alias("id"), x.alias("x"))
+    two = lambda x: F.array(objectives.zdt1(x).f1, objectives.zdt1(x).f2)
+    found = evolution.generation(rows.withColumn("f", two(F.col("x"))), 2, 1, 0.25, 0.0, 1.0, two)
+    return rounded(found.select("run", "id", F.col("f")[0].alias("f1"), F.col("f")[1].alias("f2")), "f1", "f2")
