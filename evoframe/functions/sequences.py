@@ -121,12 +121,20 @@ def ctd(column: str) -> Column:
     return F.expr(f"CASE WHEN {n} > 0 THEN concat({', '.join(parts)}) END")
 
 
+def dpc(s: Column) -> Column:
+    """The share of each of the 400 pairs of neighbours, in the order of residues; all 0 for a single residue, null for none."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
+    kinds = F.flatten(F.transform(F.split(F.lit(RESIDUES), ""), lambda a: F.transform(F.split(F.lit(RESIDUES), ""), lambda b: F.concat(a, b))))
+    shares = F.get(F.transform(F.array(pairs), lambda p: F.transform(kinds, lambda k: F.size(F.filter(p, lambda q: q == k)) / F.size(p))), F.lit(0))
+    return F.when(F.length(s) > 1, shares).when(F.length(s) == 1, F.array_repeat(F.lit(0.0), len(RESIDUES) ** 2))
+
+
 def featurized(rows: DataFrame, sequence: str, method: str = "aac", on_invalid: str = "drop") -> DataFrame:
-    """``rows`` with ``features`` by ``aac`` or ``ctd``; those without any residue go, or raise an error."""
-    if method not in ("aac", "ctd") or on_invalid not in ("drop", "raise"):
-        raise ValueError("aac or ctd, drop or raise; dipeptides are in long form")
+    """``rows`` with ``features`` by ``aac``, ``dpc`` or ``ctd``; those without any residue go, or raise an error."""
+    if method not in ("aac", "dpc", "ctd") or on_invalid not in ("drop", "raise"):
+        raise ValueError("aac, dpc or ctd, drop or raise")
     cleaned = rows.withColumn("_cleaned", clean_protein(F.coalesce(sequence, F.lit(""))))
-    made = cleaned.withColumn("features", ctd("_cleaned") if method == "ctd" else aac(F.col("_cleaned"))).drop("_cleaned")
+    made = cleaned.withColumn("features", ctd("_cleaned") if method == "ctd" else {"aac": aac, "dpc": dpc}[method](F.col("_cleaned"))).drop("_cleaned")
     if on_invalid == "drop":
         return made.where(F.col("features").isNotNull())
     sound = F.assert_true(F.col("features").isNotNull(), F.lit("a sequence without residues")).isNull()

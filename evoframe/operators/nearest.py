@@ -170,3 +170,11 @@ def feature_selection_fitness(
     fitness: Column = alpha * (1.0 - F.col("score")) + (1.0 - alpha) * n / F.col("width")
     joined = marked.join(scores, "cand_id", "left")
     return joined.select("cand_id", n.cast("long").alias("n_selected"), "score", F.when(n > 0, fitness).otherwise(F.lit(1.0)).alias("fitness"))
+
+
+def subset_objectives(rows: DataFrame, candidates: DataFrame, folds: int = 5, k: int = 5, threshold: float = 0.5, scoring: str = "accuracy", **blocks) -> DataFrame:
+    """``cand_id, f``: the error of the vote and the share of the features selected, two objectives; ``[1, 0]`` where nothing is selected."""
+    found = feature_selection_fitness(rows, candidates, folds, k, 1.0, threshold, scoring, **blocks)
+    width = candidates.select("cand_id", F.size("x").alias("width"))
+    error = F.when(F.col("n_selected") > 0, 1.0 - F.col("score")).otherwise(F.lit(1.0))
+    return found.join(width, "cand_id").select("cand_id", F.array(error, F.col("n_selected") / F.col("width")).alias("f"))

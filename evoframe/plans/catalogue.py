@@ -1005,3 +1005,24 @@ def evolution_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda x: F.array(objectives.zdt1(x).f1, objectives.zdt1(x).f2)
     found = evolution.generation(rows.withColumn("f", two(F.col("x"))), 2, 1, 0.25, 0.0, 1.0, two)
     return rounded(found.select("run", "id", F.col("f")[0].alias("f1"), F.col("f")[1].alias("f2")), "f1", "f2")
+
+
+@query(f"""WITH {_SAMPLES}, {_NEAREST}, votes AS (SELECT cand_id, id, fold, y, label, count(*) AS n FROM near GROUP BY ALL),
+predicted AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY cand_id, id ORDER BY n DESC, label) = 1),
+scores AS (SELECT cand_id, avg(s) AS score FROM (SELECT cand_id, fold, avg((y = label)::INTEGER) AS s FROM predicted GROUP BY 1, 2) GROUP BY 1)
+SELECT c.cand_id::BIGINT AS cand_id, round(coalesce(1 - score, 1), 6) + 0.0 AS error, round(len(features) / 64::DOUBLE, 6) AS share FROM c LEFT JOIN scores USING (cand_id)""")
+def subset_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.subset_objectives(_samples(spark, sf_dir), spark.createDataFrame(_SUBSETS, "cand_id long, x array<double>"), _N_FOLDS, _K)
+    return rounded(found.select("cand_id", F.col("f")[0].alias("error"), F.col("f")[1].alias("share")), "error", "share")
+
+
+_PAIRS_OF_RESIDUES = [a + b for a in sequences.RESIDUES for b in sequences.RESIDUES]
+
+
+@query(f"""WITH p AS (SELECT item_id, {_PROTEIN} AS s FROM benchmark), t AS (SELECT item_id, list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) AS t FROM p WHERE length(s) > 1)
+SELECT item_id, unnest({_PAIRS_OF_RESIDUES}) AS pair, round(unnest(list_transform({_PAIRS_OF_RESIDUES}, lambda k: len(list_filter(t, lambda q: q = k)) / len(t)::DOUBLE)), 6) AS share FROM t""")
+def dpc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 400 shares of each sequence that has two residues at least."""
+    rows = table(spark, sf_dir, "benchmark").where(F.length(sequences.clean_protein(F.coalesce("text", F.lit("")))) > 1)
+    made = sequences.featurized(rows, "text", "dpc").select("item_id", F.posexplode("features").alias("pos", "share"))
+    return rounded(made.select("item_id", F.get(F.array(*map(F.lit, _PAIRS_OF_RESIDUES)), F.col("pos")).alias("pair"), "share"), "share")
