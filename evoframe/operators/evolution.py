@@ -20,7 +20,7 @@ from evoframe.operators.search import uniform
 Objectives = Callable[[Column], Column]
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -66,7 +66,7 @@ def offspring(
             first = (a.front < b.front) | ((a.front == b.front) & (a.crowding > b.crowding))
             return F.when(first, a.x).otherwise(b.x)
 
-        return _once(F.array(entrant(place), entrant(place + 1)), judged)
+        return once(F.array(entrant(place), entrant(place + 1)), judged)
 
     rows = rows.withColumns({"one": winner(0), "two": winner(2), "crossed": drawn(pair, "cross") < crossover_rate})
     own = F.when(F.col("child") % 2 == 0, F.col("one")).otherwise(F.col("two"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
 from evoframe.functions.hashing import first_by_hash
-from evoframe.operators import activities, budget, clean, colony, evolution, matrix, models, nearest, objectives, pairs, pareto, search, selection, swarm
+from evoframe.operators import activities, budget, clean, colony, evolution, flight, matrix, models, nearest, objectives, pairs, pareto, search, selection, swarm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -791,7 +791,7 @@ def feature_selection_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Steps and searches of populations of 32 vectors each; draws are md5 of their names -----
 
-_STEPS = search.STEPS | {"particle_swarm": swarm.particle_swarm_step, "gravitation": swarm.gravitation_step}
+_STEPS = search.STEPS | {"particle_swarm": swarm.particle_swarm_step, "gravitation": swarm.gravitation_step} | flight.STEPS
 
 
 def _u(*parts: str, iteration: int = 1) -> str:
@@ -844,7 +844,57 @@ for _step, _with, _rows, _value in (
     query(f"WITH {_with} {_moved_sql(_rows, _value)}", f"{_step}_step")(_step_query(_step))
 
 
-for _step in _STEPS:
+_D = lambda *parts: _u("run", "id", *parts)
+_N = lambda *parts: f"(sqrt(-2 * ln(1 - {_D(*parts, chr(39) + 'radius' + chr(39))})) * cos(6.283185307179586 * {_D(*parts, chr(39) + 'angle' + chr(39))}))"
+_SWARMED = f"p AS {_SWARM}, b AS (SELECT run, arg_min(x, {{'f': f, 'id': id}}) AS best, list(x ORDER BY id) AS peers, count(*) AS n FROM p GROUP BY 1)"
+_TRIED = "list_transform(range(64), lambda j: least(greatest({value}, -5.12), 5.12))"
+
+
+def _greedy_sql(rows: str, value: str, taken: str = "new_f < f") -> str:
+    """``e``: the rows of a step that stay where the new place is not taken."""
+    return f"""t AS (SELECT *, {_TRIED.format(value=value)} AS trial FROM {rows}), g AS (SELECT *, list_sum(list_transform(trial, lambda v: v * v)) AS new_f FROM t),
+e AS (SELECT run, id, CASE WHEN {taken} THEN trial ELSE x END AS x FROM g)"""
+
+
+_WHALE = f"""{_SWARMED}, w AS (SELECT run, id, x, best, {_D("'line'")} < 0.5 AS straight, CASE WHEN abs(3 * {_D("'reach'")} - 1.5) >= 1
+  THEN peers[floor({_D("'peer'")} * n)::BIGINT + 1] ELSE best END AS goal FROM p JOIN b USING (run))"""
+_WHALE_AT = f"""CASE WHEN straight THEN goal[j + 1] - (3 * {_D("j", "0")} - 1.5) * abs(2 * {_D("j", "1")} * goal[j + 1] - x[j + 1])
+  ELSE abs(best[j + 1] - x[j + 1]) * exp(2 * (2 * {_D("j", "2")} - 1)) * cos(6.283185307179586 * (2 * {_D("j", "2")} - 1)) + best[j + 1] END"""
+_FLAMES = f"""p AS {_SWARM}, q AS (SELECT run, list(x ORDER BY f, id) AS flames, count(*) AS n FROM p GROUP BY 1),
+w AS (SELECT run, id, x, flames[least(row_number() OVER (PARTITION BY run ORDER BY id), greatest(1, round_even(n - 0.25 * (n - 1), 0)))::BIGINT] AS goal FROM p JOIN q USING (run))"""
+_T = f"(-2.25 * {_D('j')} + 1)"
+_FIRES = f"""p AS {_SWARM}, d AS (SELECT a.run, a.id, c.x AS other, exp(-1 / 10.24 ** 2 * list_sum(list_transform(list_zip(c.x, a.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS w
+  FROM p a JOIN p c ON a.run = c.run AND (c.f < a.f OR (c.f = a.f AND c.id < a.id))),
+s AS (SELECT run, id, sum(w) AS weight, list_transform(range(1, 65), lambda k: list_sum(list_transform(list({{'w': w, 'x': other}}), lambda o: o.w * o.x[k]))) AS total FROM d GROUP BY 1, 2),
+w AS (SELECT p.*, weight, total FROM p LEFT JOIN s USING (run, id)), {_greedy_sql("w", f"x[j + 1] + coalesce(least(weight, 1) * (total[j + 1] / weight - x[j + 1]), 0) + 10.24 * ({_D('j')} - 0.5)")}"""
+_SIGMA = "power(gamma(2.5) * sin(pi() * 0.75) / (gamma(1.25) * 1.5 * power(2, 0.25)), 1 / 1.5)"
+_LEVY = f"({_SIGMA} * {_N('j', chr(39) + 'u' + chr(39))} / power(abs({_N('j', chr(39) + 'v' + chr(39))}), 1 / 1.5))"
+_FLOWERS = f"""{_SWARMED}, o AS (SELECT p.*, best, peers, floor({_D("'one'")} * n)::BIGINT AS one, floor({_D("'two'")} * (n - 1))::BIGINT AS two FROM p JOIN b USING (run)),
+w AS (SELECT *, {_D("'far'")} < 0.5 AS far, {_D("'part'")} AS part, peers[one + 1] AS a, peers[two + (two >= one)::BIGINT + 1] AS c FROM o),
+{_greedy_sql("w", f"CASE WHEN far THEN x[j + 1] + 0.5 * {_LEVY} * (best[j + 1] - x[j + 1]) ELSE x[j + 1] + part * (a[j + 1] - c[j + 1]) END")}"""
+_BATS = f"""{_SWARMED}, w AS (SELECT p.*, best, 2 * {_D("'speed'")} AS speed, {_D("'near'")} > 0 AS near FROM p JOIN b USING (run)),
+{_greedy_sql("w", f"CASE WHEN near THEN best[j + 1] + 0.05 * 0.75 * 10.24 * {_N('j')} ELSE x[j + 1] + (best[j + 1] - x[j + 1]) * speed END", f"new_f <= f AND {_D(chr(39) + 'taken' + chr(39))} < 1")}"""
+_CHAINS = f"p AS {_SWARM}, " + _greedy_sql("p", f"x[j + 1] + 1.024 * {_N('j')}", f"new_f < f OR {_D(chr(39) + 'taken' + chr(39))} < exp(-(new_f - f))")
+_ANT = lambda *parts: _u("run", "ant", *parts)
+_ARCHIVE = f"""p AS {_SWARM}, k AS (SELECT run, list(x ORDER BY f, id) AS xs, count(*) AS k FROM p GROUP BY 1),
+c AS (SELECT *, list_transform(range(k), lambda r: list_sum(list_transform(range(r + 1), lambda q: exp(-power(q / (0.1::DOUBLE * k), 2) / 2)))) AS ends, unnest(range(30)) AS ant FROM k),
+g AS (SELECT run, ant, xs, k, xs[least(len(list_filter(ends, lambda e: e <= {_ANT("'guide'")} * ends[-1])) + 1, k)] AS guide FROM c),
+m AS (SELECT run, ant, list_transform(range(64), lambda j: least(greatest(guide[j + 1] + greatest(0.85 * list_sum(list_transform(xs, lambda y: abs(y[j + 1] - guide[j + 1]))) / (k - 1), 1e-12)
+  * sqrt(-2 * ln(1 - {_ANT("j", "'radius'")})) * cos(6.283185307179586 * {_ANT("j", "'angle'")}), -5.12), 5.12)) AS x FROM g),
+a AS (SELECT run, id, 0 AS new, x, f FROM p UNION ALL SELECT run, ant, 1, x, list_sum(list_transform(x, lambda v: v * v)) FROM m),
+r AS (SELECT run, x, row_number() OVER (PARTITION BY run ORDER BY f, new, id) AS nth FROM a),
+e AS (SELECT n.run, n.id, r.x FROM r JOIN (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY f, id) AS nth FROM p) n ON n.run = r.run AND n.nth = r.nth)"""
+
+for _step, _with, _rows, _value in (
+    ("whale", _WHALE, "w", _WHALE_AT),
+    ("moth_flame", _FLAMES, "w", f"abs(goal[j + 1] - x[j + 1]) * exp({_T}) * cos(6.283185307179586 * {_T}) + goal[j + 1]"),
+    ("firefly", _FIRES, "e", "x[j + 1]"), ("flower", _FLOWERS, "e", "x[j + 1]"), ("bat", _BATS, "e", "x[j + 1]"),
+    ("annealing", _CHAINS, "e", "x[j + 1]"), ("ant_archive", _ARCHIVE, "e", "x[j + 1]"),
+):
+    query(f"WITH {_with} {_moved_sql(_rows, _value)}", f"{_step}_step")(_step_query(_step))
+
+
+for _step in ("grasshopper", "grey_wolf", "sine_cosine", "differential", "particle_swarm", "gravitation"):
 
     def _search(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
         """From the vectors of the table, until ten iterations or three without a better value."""
