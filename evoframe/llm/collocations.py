@@ -54,6 +54,8 @@ PARTS, ROUNDS = 128, (1, 9)
 MOST_KNOWN = 1 << 22
 #: Phrases in one automaton.
 SHARD = 500_000
+#: Counts in one vector that leaves a task.
+VECTOR = 1 << 14
 #: Kinds of digits of a word's number.
 BASE = 32
 
@@ -266,7 +268,6 @@ class Automaton:
         for k, (lang, words) in enumerate(rows):
             self._made.add_word(f" {' '.join([self._codes[lang][w] for w in words])} ", k)
         self._made.make_automaton()
-        self.ids = self.table.column("pid").to_numpy()
 
     def count(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, dict[str, int]]:
         """How often each phrase stands in the texts, and the words of each language."""
@@ -280,28 +281,45 @@ class Automaton:
             if codes:
                 line = f" {' '.join([codes.get(w, _UNKNOWN) for w in words])} "
                 found.append(np.fromiter(map(pick, self._made.iter(line)), np.int64))
-        return np.bincount(np.concatenate(found), minlength=len(self.ids)) if found else np.zeros(len(self.ids), np.int64), totals
+        return np.bincount(np.concatenate(found), minlength=self.table.num_rows) if found else np.zeros(self.table.num_rows, np.int64), totals
 
 
 def _scanned(texts: DataFrame, table: pa.Table) -> DataFrame:
-    """``pid, lang, n``: places of each phrase; without a ``pid``, all words of the language."""
-    sent = texts.sparkSession.sparkContext.broadcast(Automaton(table))
+    """``pid, lang, n``: places of each phrase; without a ``pid``, all words of the language.
+
+    A task's counts leave it as vectors over ranges of the automaton's phrases, which are then added up range by range.
+    """
+    context = texts.sparkSession.sparkContext
+    sent, sent_ids = context.broadcast(Automaton(table)), context.broadcast(table.column("pid").to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, totals = 0, {}
+        counts, totals = np.zeros(0, np.int64), {}
         for batch in in_slices(batches):
             some, words = sent.value.count(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-            counts = counts + some
+            counts = counts + some if len(counts) else some
             for lang, n in words.items():
                 totals[lang] = totals.get(lang, 0) + n
-        at = np.flatnonzero(counts) if totals else []
-        ids = sent.value.ids[at].tolist() + [None] * len(totals) if totals else []
-        numbers = counts[at].tolist() + list(totals.values()) if totals else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([None] * len(at) + list(totals), pa.string()), pa.array(numbers, pa.int64())], ["pid", "lang", "n"]
-        )
+        parts = [(at // VECTOR, None, None, zlib.compress(counts[at : at + VECTOR].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)) for at in range(0, len(counts), VECTOR)]
+        parts += [(-1 - zlib.crc32(lang.encode()) % 64, lang, n, None) for lang, n in totals.items()]
+        columns = list(zip(*parts)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["part", "lang", "n", "data"])
+
+    def add(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        if part < 0:  # words of a few languages
+            totals: dict[str, int] = {}
+            for lang, n in zip(group.column("lang").to_pylist(), group.column("n").to_pylist()):
+                totals[lang] = totals.get(lang, 0) + n
+            return pa.table({"pid": pa.array([None] * len(totals), pa.int64()), "lang": pa.array(list(totals), pa.string()), "n": pa.array(list(totals.values()), pa.int64())})
+        counts = 0
+        for data in group.column("data"):
+            counts = counts + np.ascontiguousarray(np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+        at = np.flatnonzero(counts)
+        ids = sent_ids.value[part * VECTOR + at]
+        return pa.table({"pid": pa.array(ids, pa.int64()), "lang": pa.array([None] * len(at), pa.string()), "n": pa.array(counts[at], pa.int64())})
 
-    return texts.select("text", "lang").mapInArrow(run, "pid long, lang string, n long")
+    parts = texts.select("text", "lang").mapInArrow(run, "part long, lang string, n long, data binary")
+    return parts.groupBy("part").applyInArrow(add, "pid long, lang string, n long")
 
 
 def _parts(words, least: int, most):
@@ -339,7 +357,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     counted = scans[0]
     for scan in scans[1:]:
         counted = counted.unionByName(scan)
-    counted = materialize(counted.groupBy("pid", "lang").agg(F.sum("n").alias("n")))
+    counted = materialize(counted)
     counts = phrases.join(counted.where("pid IS NOT NULL").select("pid", F.col("n").alias("f")), "pid")
     counts = materialize(counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"))
     return counts, counted.where("pid IS NULL").select("lang", "n")
