@@ -72,6 +72,11 @@ def ranked_within(rows: DataFrame, group: str, order: str, name: str, *ties: str
     return _over_ranges(rows, group, order, ties, F.lit(1).cast("long"), name, parts)
 
 
+def summed_within(rows: DataFrame, group: str, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over the rows of smaller ``order``, a number without ties, in the same group; by ranges."""
+    return _over_ranges(rows, group, order, (), F.col(value).cast("long"), name, parts)
+
+
 def summed_before(rows: DataFrame, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` over all rows of smaller ``order``, a number without ties; by ranges, as ``ranked_within``."""
     one = rows.withColumn("_all", F.lit(0))

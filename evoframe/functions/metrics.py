@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evoframe.functions.hashing import cuts_of, range_of
+from evoframe.functions.hashing import cuts_of, range_of, summed_within
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -49,3 +49,18 @@ def auc(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFr
     wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_own") + F.col("_neg") / F.lit(2.0)))
     pairs = F.sum("_p").cast("double") * F.sum("_neg")
     return ranked.groupBy(*by).agg(F.when(pairs == 0, F.lit(0.5)).otherwise(wins / F.when(pairs != 0, pairs)).alias("auc"))
+
+
+def medians(rows: DataFrame, group: str, value: str, name: str = "median") -> DataFrame:
+    """``group, name``: the exact median of each group's known values.
+
+    Equal values are counted first, and the counts added up over ranges of the value, so a
+    group of any size is spread over all tasks and none is held in one buffer.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = summed_within(counts, group, "_v", "_n", "_before")
+    totals = counts.groupBy(F.col(group).alias("_group")).agg(F.sum("_n").alias("_total"))
+    met = placed.join(totals, F.col(group).eqNullSafe(F.col("_group")))
+    holds = [(F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")) for at in (F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))]
+    middle = met.where(holds[0] | holds[1]).groupBy(group)
+    return middle.agg(((F.max(F.when(holds[0], F.col("_v"))) + F.max(F.when(holds[1], F.col("_v")))) / 2).alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions.metrics import medians
+
 COLLAPSE = {"median": F.median, "mean": F.avg, "min": F.min, "max": F.max}
 
 
@@ -54,7 +56,8 @@ def class_counts(rows: DataFrame, label: str) -> DataFrame:
 
 def impute(cells: DataFrame, probe: str, value: str, how: str = "mean") -> DataFrame:
     """Missing cells take their probe's mean or median; probes without any value go."""
-    by = cells.groupBy(probe).agg(COLLAPSE[how](value).alias("_fill")).where(F.col("_fill").isNotNull())
+    by = medians(cells, probe, value, "_fill") if how == "median" else cells.groupBy(probe).agg(COLLAPSE[how](value).alias("_fill"))
+    by = by.where(F.col("_fill").isNotNull())
     return cells.join(by, probe).withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 

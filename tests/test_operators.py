@@ -169,3 +169,11 @@ def test_fronts_of_one_population(spark, block):
     wanted = {("twin" if i == 150 else f"k{i}"): n for i, n in number.items()}
     assert {r.name: r.front for r in pareto.fronts_of_all(points, ["a", "b", "c"], "name", block).collect()} == wanted
     assert pareto.fronts_of_all(points.limit(0), ["a", "b"], "name").count() == 0
+
+
+def test_medians_by_counts(spark):
+    draw = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in draw.integers(0, 40, 3001)] + [("even", float(v)) for v in draw.normal(size=80)] + [("one", 2.5), ("one", None), ("none", None), (None, 1.0), (None, 4.0)]
+    found = {r.g: r.m for r in metrics.medians(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", "m").collect()}
+    known = {g: [v for h, v in rows if h == g and v is not None] for g in ("hot", "even", "one", None)}
+    assert found == {g: pytest.approx(float(np.median(v))) for g, v in known.items()}
