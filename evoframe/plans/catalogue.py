@@ -81,7 +81,7 @@ s AS (SELECT l_suppkey, row_number() OVER (ORDER BY substr(md5('7|' || l_suppkey
 p AS (SELECT l_partkey, row_number() OVER (ORDER BY substr(md5('8|' || l_partkey), 1, 13), l_partkey) AS t FROM (SELECT DISTINCT l_partkey FROM known)),
 others AS (SELECT l_suppkey, l_partkey, row_number() OVER (ORDER BY d, t) - 1 AS r FROM (SELECT * FROM s, p) ANTI JOIN known USING (l_suppkey, l_partkey)),
 size AS (SELECT count(*)::BIGINT AS size, ceil(sqrt(count(*)))::BIGINT AS rows, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS cols FROM others),
-walk AS (SELECT {_permuted_sql("i", 7)} AS v, size, rows, cols FROM size, (SELECT unnest(range(round_even(0.5 * (SELECT count(*) FROM known), 0)::BIGINT)) AS i)
+walk AS (SELECT {_permuted_sql("i", 7)} AS v, size, rows, cols FROM size, (SELECT unnest(range(least(round_even(0.5 * (SELECT count(*) FROM known), 0)::BIGINT, (SELECT count(*) FROM others)))) AS i)
   UNION ALL SELECT {_permuted_sql("v", 7)}, size, rows, cols FROM walk WHERE v >= size)
 SELECT l_suppkey, l_partkey, 1 AS label FROM known UNION ALL
 SELECT l_suppkey, l_partkey, 0 FROM others JOIN walk ON r = v""")
