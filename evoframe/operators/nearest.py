@@ -1,8 +1,8 @@
 """Exact nearest neighbours in blocks, and models judged by them: cross-validated selection of features.
 
 Rows are packed into blocks of bounded size. Every block of queries meets every block of
-references once, as one row of work, and leaves the ``k`` nearest of each query, so the
-pairs of rows never exist as rows. Candidates, masks over the features, come in blocks too
+references once, as one row of work; a task keeps the ``k`` nearest of each query over the
+blocks that it is given, so the pairs of rows never exist as rows. Candidates, masks over the features, come in blocks too
 and share each meeting. Work is dealt out over all tasks, so no task and no driver holds more than a
 few blocks.
 """
@@ -18,7 +18,10 @@ from evoframe.functions import metrics
 from evoframe.functions.hashing import ranked_within
 from evoframe.operators.objectives import selected
 
-QUERIES, REFERENCES, CANDIDATES = 4096, 8192, 32
+QUERIES, REFERENCES, CANDIDATES = 2048, 8192, 32
+#: Blocks of references that one task holds against a block of queries, one after the other.
+TOGETHER = 32
+_NONE = (1 << 63) - 1
 
 _PACK = "block long, ids binary, folds binary, labels binary, data binary"
 _FOUND = "cand_id long, id long, d double, other long, label long"
@@ -60,34 +63,54 @@ def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _meet(k: int):
-    """For rows of work: the k nearest references of other folds, for each query and candidate."""
+    """For rows of work: the k nearest references of other folds, for each query and candidate.
 
-    def one(row) -> pd.DataFrame:
+    Rows of one block of queries follow one another; their finds are merged before they leave the task.
+    """
+
+    def closest(row, kept: dict) -> None:
         ids, folds, others, other_folds, labels = (np.frombuffer(x, np.int64) for x in (row.ids, row.folds, row.other_ids, row.other_folds, row.other_labels))
         data, other = (np.frombuffer(x, np.float64).reshape(len(n), -1) for x, n in ((row.data, ids), (row.other_data, others)))
-        parts = []
-        for at in range(0, len(ids), 64):
-            some = slice(at, at + 64)
-            barred = folds[some, None] == other_folds[None, :]
-            for candidate in row.candidates:
+        for candidate in row.candidates:
+            if candidate["cand_id"] not in kept:
+                kept[candidate["cand_id"]] = np.full((len(ids), k), np.inf), np.full((len(ids), k), _NONE), np.zeros((len(ids), k), np.int64)
+            d, near, label = kept[candidate["cand_id"]]
+            for at in range(0, len(ids), 64):
+                some = slice(at, at + 64)
                 distance = np.zeros((len(ids[some]), len(others)))
                 for f in candidate["features"]:  # in order, so a sum is the same everywhere
                     gap = data[some, f, None] - other[None, :, f]
                     distance += gap * gap
-                distance[barred] = np.inf
+                distance[folds[some, None] == other_folds[None, :]] = np.inf
                 columns = _nearest(distance, others, k)
-                found = np.take_along_axis(distance, np.maximum(columns, 0), axis=1)
-                sound = (columns >= 0) & (found < np.inf)
-                r, _ = np.nonzero(sound)
-                c = columns[sound]
-                parts.append((np.full(len(c), candidate["cand_id"]), ids[some][r], found[sound], others[c], labels[c]))
+                at_least, sound = np.maximum(columns, 0), columns >= 0
+                new_d = np.where(sound, np.take_along_axis(distance, at_least, axis=1), np.inf)
+                sound &= new_d < np.inf
+                both_d = np.hstack([d[some], new_d])
+                both_near = np.hstack([near[some], np.where(sound, others[at_least], _NONE)])
+                both_label = np.hstack([label[some], labels[at_least]])
+                order = np.lexsort((both_near, both_d), axis=1)[:, :k]
+                d[some], near[some], label[some] = (np.take_along_axis(x, order, axis=1) for x in (both_d, both_near, both_label))
+
+    def found(ids: np.ndarray, kept: dict) -> pd.DataFrame:
+        parts = []
+        for cand_id, (d, near, label) in kept.items():
+            rows, columns = np.nonzero(d < np.inf)
+            parts.append((np.full(len(rows), cand_id), ids[rows], d[rows, columns], near[rows, columns], label[rows, columns]))
         names = ("cand_id", "id", "d", "other", "label")
         return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
     def run(batches):
+        key, ids, kept = None, None, {}
         for batch in batches:
             for row in batch.itertuples():
-                yield one(row)
+                if (row.block, row.masks, row.part) != key:
+                    if kept:
+                        yield found(ids, kept)
+                    key, ids, kept = (row.block, row.masks, row.part), np.frombuffer(row.ids, np.int64), {}
+                closest(row, kept)
+        if kept:
+            yield found(ids, kept)
 
     return run
 
@@ -105,9 +128,10 @@ def neighbours_of(rows: DataFrame, candidates: DataFrame, k: int = 5, queries: i
     known = known.select(*[F.col(c).alias(f"other_{c}") for c in known.columns])
     work = asked.withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     work = work.withColumn("masks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mask_blocks - 1).cast("long"))))
-    # salted by the query block, so that one block of references is not one task's
+    work = work.join(known, "other_block").join(masks, "masks").withColumn("part", F.floor(F.col("other_block") / TOGETHER))
     tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    work = work.join(known, "other_block").join(masks, "masks").repartition(tasks, "block", "other_block", "masks")
+    keys = ("block", "masks", "part")  # a block of references goes to many tasks, so none is one task's
+    work = work.repartition(tasks, *keys).sortWithinPartitions(*keys)
     found = work.mapInPandas(_meet(k), _FOUND)
     order = Window.partitionBy("cand_id", "id").orderBy("d", "other")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
