@@ -3,6 +3,13 @@
 Quality rules, near-duplicates, personal data, mixing and packing, in this order. Every
 stage takes all that the one before it kept; all but the last return the columns of
 ``documents``.
+
+Defined results, as the operators define them: a null or empty text fails the quality rules
+and goes; texts of any length are read whole; a null ``doc_id`` is judged by its row and
+stays a row of its own; repeated rows of one ``doc_id`` and text have one fate; a null
+source is a source of its own; further columns are passed on up to the last stage; no
+documents give no rows. A Parquet read keeps no order, so packing works out each
+document's place in the mixture again.
 """
 
 from __future__ import annotations
