@@ -50,9 +50,12 @@ def range_of(column: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
 
 
-def _over_ranges(rows: DataFrame, group: str, order: str, ties: tuple, value: Column, name: str, parts: int) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the rows in front of each within its group, range by range."""
-    cuts = cuts_of(rows, order, parts)
+def _over_ranges(rows: DataFrame, group: str, order: str, ties: tuple, value: Column, name: str, parts: int | None) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows in front of each within its group, range by range.
+
+    There are as many ranges as shuffle partitions, if their number is not given; it changes no result.
+    """
+    cuts = cuts_of(rows, order, parts or max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     dealt = rows.withColumns({"_range": range_of(F.col(order), cuts), "_value": value})
     counts = dealt.groupBy(group, "_range").agg(F.sum("_value").alias("_n"))
     front = Window.unboundedPreceding, -1
@@ -63,7 +66,7 @@ def _over_ranges(rows: DataFrame, group: str, order: str, ties: tuple, value: Co
     return placed.withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)
 
 
-def ranked_within(rows: DataFrame, group: str, order: str, name: str, *ties: str, parts: int = 256) -> DataFrame:
+def ranked_within(rows: DataFrame, group: str, order: str, name: str, *ties: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``name``, the rank from 0 by ``order``, a number, and ``ties`` within each group.
 
     Ranges of ``order`` are ranked each for itself and begin where the ranges before them
@@ -72,12 +75,12 @@ def ranked_within(rows: DataFrame, group: str, order: str, name: str, *ties: str
     return _over_ranges(rows, group, order, ties, F.lit(1).cast("long"), name, parts)
 
 
-def summed_within(rows: DataFrame, group: str, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
+def summed_within(rows: DataFrame, group: str, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` over the rows of smaller ``order``, a number without ties, in the same group; by ranges."""
     return _over_ranges(rows, group, order, (), F.col(value).cast("long"), name, parts)
 
 
-def summed_before(rows: DataFrame, order: str, value: str, name: str, parts: int = 256) -> DataFrame:
+def summed_before(rows: DataFrame, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` over all rows of smaller ``order``, a number without ties; by ranges, as ``ranked_within``."""
     one = rows.withColumn("_all", F.lit(0))
     return _over_ranges(one, "_all", order, (), F.col(value).cast("long"), name, parts).drop("_all")
