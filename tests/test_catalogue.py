@@ -49,3 +49,13 @@ def test_search_keeps_its_budget_and_is_repeatable(spark, name):
 def test_steps_beat_random_search(spark):
     best = {n: max(r.best for r in QUERIES[f"search_{n}"](spark, SMALL).collect()) for n in ("random", "grey_wolf", "differential")}
     assert best["grey_wolf"] < best["random"] and best["differential"] < best["random"]
+
+
+@pytest.mark.parametrize("how", ["mean", "median"])
+def test_rows_of_one_number_give_way_to_the_first(spark, tmp_path, how):
+    rows = "SELECT i // 40 AS l_orderkey, 1 AS l_linenumber, i % 4 AS l_partkey, 1.0::DOUBLE * i AS l_quantity, chr((65 + i * 7 % 26)::INTEGER) AS l_returnflag FROM range(400) t(i)"
+    con = duckdb.connect()
+    con.sql(rows).write_parquet(str(tmp_path / "lineitem.parquet"))
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    found = QUERIES[f"collapse_{how}"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.select("l_partkey", "l_returnflag", "l_quantity").collect()} == set(con.sql(f"SELECT l_partkey, l_returnflag, l_quantity FROM ({ORACLES[f'collapse_{how}']})").fetchall())
