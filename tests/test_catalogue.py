@@ -59,3 +59,14 @@ def test_rows_of_one_number_give_way_to_the_first(spark, tmp_path, how):
     con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     found = QUERIES[f"collapse_{how}"](spark, str(tmp_path))
     assert {tuple(r) for r in found.select("l_partkey", "l_returnflag", "l_quantity").collect()} == set(con.sql(f"SELECT l_partkey, l_returnflag, l_quantity FROM ({ORACLES[f'collapse_{how}']})").fetchall())
+
+
+@pytest.mark.parametrize("members", [1, 2])
+def test_grey_wolves_of_a_run_with_few_members(spark, tmp_path, members):
+    con = duckdb.connect()
+    con.sql(f"SELECT i AS vec_id, list_transform(range(64), lambda j: ((i * 31 + j * 17) % 23 / 11.0 - 1)::FLOAT) AS embedding FROM range({32 + members}) t(i)").write_parquet(str(tmp_path / "embeddings.parquet"))
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = {(r.run, r.id, r.pos): r.value for r in QUERIES["grey_wolf_step"](spark, str(tmp_path)).collect()}
+    want = {(run, i, pos): v for run, i, pos, v in con.sql(f"SELECT run, id, pos, value FROM ({ORACLES['grey_wolf_step']})").fetchall()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == 64 * (32 + members)
+    assert QUERIES["search_grey_wolf"](spark, str(tmp_path)).count() == 2
