@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoframe.functions import metrics, sequences
-from evoframe.functions.hashing import share
+from evoframe.functions.hashing import range_of, share
 from evoframe.operators import clean, objectives, pareto, search
 from evoframe.operators.budget import Budget
 from evoframe.sources import readers
@@ -177,3 +177,27 @@ def test_medians_by_counts(spark):
     found = {r.g: r.m for r in metrics.medians(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", "m").collect()}
     known = {g: [v for h, v in rows if h == g and v is not None] for g in ("hot", "even", "one", None)}
     assert found == {g: pytest.approx(float(np.median(v))) for g, v in known.items()}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_fronts_of_populations_of_many_blocks(spark, width):
+    rows = [(i % 2, i, float(i * 37 % 11), float(i * 53 % 13), float(i * i % 17)) for i in range(400)] + [(0, 400 + i, 3.0, 4.0, 5.0) for i in range(40)]
+    points, names = spark.createDataFrame(rows, "run long, id long, f1 double, f2 double, f3 double"), ["f1", "f2", "f3"][:width]
+    want = {(r.run, r.id): r.front for r in pareto.front_numbers(points, names, "id", "run").collect()}
+    assert {(r.run, r.id): r.front for r in pareto.fronts_in_blocks(points, names, "id", "run", block=37).collect()} == want and len(set(want.values())) > 3
+    with_nothing = points.unionByName(spark.createDataFrame([(5, 999, None, float("nan"), 1.0)], points.schema))
+    assert {(r.run, r.id): r.front for r in pareto.fronts_in_blocks(with_nothing, names, "id", "run").collect()} == want | {(5, 999): 0}
+    assert pareto.fronts_in_blocks(points.limit(0), names, "id", "run").count() == 0
+
+
+def test_fronts_are_numbered_without_comparing_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pareto, "_fronts_by_comparing", None)  # its work grows with the square of the points
+    points = spark.range(200_000).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 40)).cast("double").alias(f"f{k}") for k in range(3)])
+    found = pareto.fronts_of_all(points, ["f0", "f1", "f2"], "id")
+    assert found.count() == 200_000 and found.agg(F.max("front")).first()[0] > 20
+
+
+def test_ranges_of_values(spark):
+    cuts = [0.5, 1.0, 2.5, 7.0]
+    rows = spark.createDataFrame([(None,), (0.5,), (0.6,), (1.0,), (3.0,), (7.0,), (8.0,), (float("nan"),)], "v double")
+    assert [r[0] for r in rows.select(range_of(F.col("v"), cuts)).collect()] == [0, 0, 1, 1, 3, 3, 4, 4] and [r[0] for r in rows.select(range_of(F.col("v"), [])).collect()] == [0] * 8
