@@ -70,3 +70,9 @@ def test_grey_wolves_of_a_run_with_few_members(spark, tmp_path, members):
     want = {(run, i, pos): v for run, i, pos, v in con.sql(f"SELECT run, id, pos, value FROM ({ORACLES['grey_wolf_step']})").fetchall()}
     assert got == pytest.approx(want, abs=2e-6) and len(got) == 64 * (32 + members)
     assert QUERIES["search_grey_wolf"](spark, str(tmp_path)).count() == 2
+
+
+@pytest.mark.parametrize("name", ["pareto_sort", "survivors", "knees"])
+def test_populations_are_whole_nations(spark, duck, name):
+    nations = {r[0] for r in duck.sql("SELECT DISTINCT c_nationkey FROM customer").fetchall()}
+    assert {r.run for r in QUERIES[name](spark, SMALL).collect()} == nations and len(nations) > 20
