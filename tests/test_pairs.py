@@ -77,3 +77,19 @@ def test_ranks_and_sums_over_ranges(spark):
     single = spark.createDataFrame([(i, i * i % 5) for i in range(50)], "o long, v long")
     found = {r.o: r.s for r in summed_before(single, "o", "v", "s", parts=6).collect()}
     assert found == {i: sum(k * k % 5 for k in range(i)) for i in range(50)}
+
+
+def test_cells_are_not_shuffled(spark):
+    rows = [(i % 30, i * 7 % 50) for i in range(200)] + [(None, 1), (2, None), (2, 2)]
+    pairs_ = spark.createDataFrame(rows, "d long, t long")
+    known = {(d, t) for d, t in rows if d is not None and t is not None}
+    for together in (4, 1000):
+        found = pairs.cells(pairs_, "d", "t", together)
+        assert Counter(tuple(r) for r in found.collect()) == Counter((d, t, int((d, t) in known)) for d in [*range(30), None] for t in [*range(50), None])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more pairs than a broadcast takes
+    try:
+        plan = pairs.cells(pairs_, "d", "t")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    assert not any("Join" in line for line in lines[: next(i for i, line in enumerate(lines) if "Generate" in line)])  # nothing is joined after the cells are made
