@@ -33,3 +33,9 @@ def test_steps_are_the_same_at_any_partitioning(spark, name):
     one, two = (STEPS[name](few(spark).repartition(n), 3, 0.5, -5.0, 5.0, objectives.sphere).select("run", "id", "x") for n in (1, 5))
     rows = one.join(two.withColumnRenamed("x", "y"), ["run", "id"])
     assert rows.count() == 24 and rows.where(F.exists(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), lambda d: d > 1e-9)).count() == 0
+
+
+def test_differential_moves_positions_once(spark):
+    population = spark.createDataFrame(few(spark).collect())
+    plan = search.differential_step(population, 3, 0.5, -5.0, 5.0, objectives.sphere)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
