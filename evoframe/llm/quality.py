@@ -10,9 +10,10 @@
    stands ``spread`` standard deviations of theirs below their mean, and every text is
    judged by it alike.
 
-The trusted side is at most ``most_trusted`` labelled rows, the first by a hash of their
-ids, one half for the weights and one for the threshold; everything else covers all rows. Counts are summed within a task before the
-shuffle, and only one number for each bucket comes to the driver. Texts are never shuffled.
+The trusted side is every row that the labels call good, by a hash of its id one half for the
+weights and one for the threshold; everything else covers all rows. Counts are summed within a task before the
+shuffle, and only one number for each bucket comes to the driver. Only texts of trusted documents, and the few
+that a filter of bits takes for such, are shuffled, once each, to meet their labels.
 
 Defined results: null, empty or blank texts have no words and fail the base rules; a null
 ``doc_id`` is kept as null and is never trusted; equal rows give equal result rows; with
@@ -31,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm._common import documents_of, give_back, in_slices, packed, text_of, unpacked
+from evoframe.llm._common import documents_of, give_back, in_slices, likely_in, packed, text_of, unpacked
 from evoframe.llm._words import mixed, word_hashes, words_of_each
 
 BITS = 14
 PRIOR = 0.1  # how much the corpus counts as against the trusted documents
 SPREAD = 3.5
-MOST_TRUSTED = 20_000
 LEAST_WORDS = 50
 REPEATED, OF = 50, 100  # base_failed where OF * n_repeat_words > REPEATED * n_words
 
@@ -89,45 +89,40 @@ def ngram_buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (grams >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """``good_id, fit``: at most ``most`` ids that the labels call good, the first by a hash, and whether weights are fitted on it."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``good_id, fit``: all ids that the labels call good, and whether weights are fitted on it."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
-    first = good.orderBy(F.xxhash64("good_id"), "good_id").limit(most)
-    return first.withColumn("fit", F.pmod(F.hash("good_id"), F.lit(2)) == 0)
+    return good.withColumn("fit", F.pmod(F.hash("good_id"), F.lit(2)) == 0)
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """``text, trusted, held`` for each row; the ids that are broadcast number ``most`` at most."""
-    rows = documents_of(docs, "doc_id", "text")
-    good = F.broadcast(trusted_ids(labels, most))
-    return rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select(
-        text_of().alias("text"), F.coalesce("fit", F.lit(False)).alias("trusted"), F.coalesce(~F.col("fit"), F.lit(False)).alias("held")
-    )
+def trusted_texts(docs: DataFrame, labels: DataFrame, fit: bool) -> DataFrame:
+    """``text`` of the trusted documents that the weights are fitted on, or of those that they are not."""
+    rows = documents_of(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
+    good = trusted_ids(labels).where(F.col("fit") == fit).select("good_id")
+    return likely_in(rows, "doc_id", good, "good_id").join(good, F.col("doc_id") == F.col("good_id")).select("text")
 
 
-def bucket_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """``bucket, n, n_trusted`` over all n-grams of all texts."""
+def bucket_counts(texts: DataFrame, bits: int = BITS) -> DataFrame:
+    """``bucket, n`` over all n-grams of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, trusted = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in in_slices(batches):
             grams = [ngram_buckets(hashes, bits) for _, hashes in read_all(batch.column("text").to_pylist())]
             total += np.bincount(np.concatenate(grams), minlength=1 << bits)
-            good = [g for g, is_good in zip(grams, batch.column("trusted").to_pylist()) if is_good]
-            if good:
-                trusted += np.bincount(np.concatenate(good), minlength=1 << bits)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, total[some], trusted[some])], ["bucket", "n", "n_trusted"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, total[some])], ["bucket", "n"])
 
-    counted = rows.select("text", "trusted").mapInArrow(count, "bucket long, n long, n_trusted long")
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_trusted").alias("n_trusted"))
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long")
+    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def bucket_weights(counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.ndarray:
-    """log(trusted / corpus) for each bucket; at most ``2**bits`` rows come to the driver."""
+def bucket_weights(counts: DataFrame, trusted_counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.ndarray:
+    """log(trusted / corpus) for each bucket; at most ``2**bits`` rows of either come to the driver."""
     total, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
-    for row in counts.collect():
-        total[row.bucket], trusted[row.bucket] = row.n, row.n_trusted
+    for numbers, rows in ((total, counts), (trusted, trusted_counts)):
+        for row in rows.collect():
+            numbers[row.bucket] = row.n
     if not trusted.any():
         return np.zeros(1 << bits)
     corpus = (total + 1) / (total.sum() + len(total))
@@ -153,18 +148,18 @@ def quality_column(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> Co
     return F.pandas_udf(judge, schema).asNondeterministic()(text_of())
 
 
-def fitted(docs: DataFrame, labels: DataFrame, bits: int, prior: float, spread: float, most_trusted: int) -> tuple[np.ndarray, float]:
+def fitted(docs: DataFrame, labels: DataFrame, bits: int, prior: float, spread: float) -> tuple[np.ndarray, float]:
     """The weight of each bucket and the threshold."""
-    rows = with_trust(docs, labels, most_trusted)
-    weights = bucket_weights(bucket_counts(rows, bits), bits, prior)
-    good = rows.where("held").select(quality_column(docs, weights, bits).alias("found")).where("found.score IS NOT NULL")
+    rows = documents_of(docs, "doc_id", "text").select(text_of().alias("text"))
+    weights = bucket_weights(bucket_counts(rows, bits), bucket_counts(trusted_texts(docs, labels, True), bits), bits, prior)
+    good = trusted_texts(docs, labels, False).select(quality_column(docs, weights, bits).alias("found")).where("found.score IS NOT NULL")
     seen = good.agg(F.avg("found.score").alias("mean"), F.stddev_pop("found.score").alias("sd")).first()
     return weights, -math.inf if seen["mean"] is None else seen["mean"] - spread * seen["sd"]
 
 
-def _judged(rows: DataFrame, docs: DataFrame, labels: DataFrame, bits: int, prior: float, spread: float, most_trusted: int) -> tuple[DataFrame, Column, Column, float]:
+def _judged(rows: DataFrame, docs: DataFrame, labels: DataFrame, bits: int, prior: float, spread: float) -> tuple[DataFrame, Column, Column, float]:
     """``rows``, which have ``text``, with ``found``; whether the base rules fail, whether a row is kept, and the threshold."""
-    weights, threshold = fitted(docs, labels, bits, prior, spread, most_trusted)
+    weights, threshold = fitted(docs, labels, bits, prior, spread)
     found = rows.withColumn("found", quality_column(docs, weights, bits))
     q = F.col("found")
     failed = (q.n_words < LEAST_WORDS) | (OF * q.n_repeat_words > REPEATED * q.n_words)
@@ -172,19 +167,19 @@ def _judged(rows: DataFrame, docs: DataFrame, labels: DataFrame, bits: int, prio
 
 
 def judge_quality(
-    docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, spread: float = SPREAD, most_trusted: int = MOST_TRUSTED
+    docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, spread: float = SPREAD
 ) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed, kept, score, threshold`` for each row of ``docs``."""
     docs = documents_of(docs, "doc_id", "text")
-    found, failed, kept, threshold = _judged(docs, docs, labels, bits, prior, spread, most_trusted)
+    found, failed, kept, threshold = _judged(docs, docs, labels, bits, prior, spread)
     counts = [F.col(f"found.{name}").alias(name) for name in BASE]
     more = [F.col("found.score").alias("score"), F.lit(threshold).alias("threshold")]
     return found.select("doc_id", *counts, failed.alias("base_failed"), kept.alias("kept"), *more)
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, spread: float = SPREAD, most_trusted: int = MOST_TRUSTED
+    docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, spread: float = SPREAD
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with the columns they have, whatever their names."""
-    found, _, kept, _ = _judged(packed(docs, "text"), docs, labels, bits, prior, spread, most_trusted)
+    found, _, kept, _ = _judged(packed(docs, "text"), docs, labels, bits, prior, spread)
     return unpacked(found.where(kept), docs.columns)

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import regex
 
 import corpus_pipeline
@@ -111,6 +112,15 @@ def test_signs_are_no_letters_and_ties_go_to_the_first(spark):
     assert (found[101].lang_pred, found[101].score) == ("a", 0.0)
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word and w"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, 0).otherwise(1).alias("quality"))
+    assert quality.trusted_ids(labels).count() == 45_000
+    fit, held = (quality.trusted_texts(docs, labels, side) for side in (True, False))
+    assert fit.count() + held.count() == 45_000 and fit.join(held, "text").count() == 0 and 20_000 < fit.count() < 25_000
+    assert quality.bucket_counts(fit).agg(F.sum("n")).first()[0] == 5 * fit.count()
+
+
 def test_url_terms():
     assert urlfilter.term_hits("http://a.example/porn/x") == (1, 0)
     assert urlfilter.term_hits("http://a.example/pornography") == (0, 0)
