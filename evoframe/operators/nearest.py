@@ -2,7 +2,8 @@
 
 Rows are packed into blocks of bounded size. Every block of queries meets every block of
 references once, as one row of work; a task keeps the ``k`` nearest of each query over the
-blocks that it is given, so the pairs of rows never exist as rows. Candidates, masks over the features, come in blocks too
+blocks that it is given, so the pairs of rows never exist as rows. A product of matrices tells which pairs
+may count, and only those are summed up feature by feature. Candidates, masks over the features, come in blocks too
 and share each meeting. Work is dealt out over all tasks, so no task and no driver holds more than a
 few blocks.
 """
@@ -48,18 +49,28 @@ def _masks(candidates: DataFrame, size: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("masks").agg(F.array_sort(F.collect_list(F.struct("cand_id", "features"))).alias("candidates")), blocks
 
 
-def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest of each row, ties by id; ids are sorted."""
-    if distance.shape[1] > 4 * k:
-        part = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-        out = np.full((len(distance), k), -1, np.int64)
-        row, column = np.nonzero(distance <= part)
-        order = np.lexsort((column, distance[row, column], row))
-        row, column = row[order], column[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        out[row[nth < k], nth[nth < k]] = column[nth < k]
-        return out
-    return np.argsort(distance, axis=1, kind="stable")[:, :k]
+def _near_enough(mine: np.ndarray, theirs: np.ndarray, k: int, far: np.ndarray, other_fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that hold every pair of other folds that may be among a query's k nearest, and few others.
+
+    ``far`` is how far each query's k-th find is so far. A product of
+    matrices gives squared distances up to rounding, which ``slack`` times the squared lengths
+    bounds several times over; so no pair is lost, and who calls works out the sums of the rest.
+    """
+    slack = 8.0 * (mine.shape[1] + 4) * np.finfo(float).eps
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, their = (mine * mine).sum(axis=1), (theirs * theirs).sum(axis=1)
+    if not (np.isfinite(own).all() and np.isfinite(their).all()):
+        return np.nonzero(other_fold)
+    # a lower bound of each distance, less the query's own part
+    least = np.hstack([-2.0 * mine, np.ones((len(mine), 1))]) @ np.hstack([theirs, (their * (1.0 - slack))[:, None]]).T
+    limit = far - own * (1.0 - slack)
+    new = np.flatnonzero(np.isinf(far))
+    if len(new) and len(theirs) > k:
+        nth = np.partition(np.where(other_fold[new], least[new], np.inf), k - 1, axis=1)[:, k - 1]
+        limit[new] = nth + 2.0 * slack * (own[new] + their.max())
+    rows, columns = np.nonzero(least <= limit[:, None])
+    known = other_fold[rows, columns]
+    return rows[known], columns[known]
 
 
 def _meet(k: int):
@@ -75,22 +86,24 @@ def _meet(k: int):
             if candidate["cand_id"] not in kept:
                 kept[candidate["cand_id"]] = np.full((len(ids), k), np.inf), np.full((len(ids), k), _NONE), np.zeros((len(ids), k), np.int64)
             d, near, label = kept[candidate["cand_id"]]
-            for at in range(0, len(ids), 64):
-                some = slice(at, at + 64)
-                distance = np.zeros((len(ids[some]), len(others)))
-                for f in candidate["features"]:  # in order, so a sum is the same everywhere
-                    gap = data[some, f, None] - other[None, :, f]
+            features = list(candidate["features"])
+            for at in range(0, len(ids), 128):
+                some = slice(at, at + 128)
+                rows, columns = _near_enough(data[some][:, features], other[:, features], k, d[some, -1], folds[some, None] != other_folds[None, :])
+                distance = np.zeros(len(rows))
+                for f in features:  # in order, so a sum is the same everywhere
+                    gap = data[at + rows, f] - other[columns, f]
                     distance += gap * gap
-                distance[folds[some, None] == other_folds[None, :]] = np.inf
-                columns = _nearest(distance, others, k)
-                at_least, sound = np.maximum(columns, 0), columns >= 0
-                new_d = np.where(sound, np.take_along_axis(distance, at_least, axis=1), np.inf)
-                sound &= new_d < np.inf
-                both_d = np.hstack([d[some], new_d])
-                both_near = np.hstack([near[some], np.where(sound, others[at_least], _NONE)])
-                both_label = np.hstack([label[some], labels[at_least]])
-                order = np.lexsort((both_near, both_d), axis=1)[:, :k]
-                d[some], near[some], label[some] = (np.take_along_axis(x, order, axis=1) for x in (both_d, both_near, both_label))
+                rows, columns, distance = (x[distance < np.inf] for x in (rows, columns, distance))
+                if not len(rows):
+                    continue
+                who = at + np.unique(rows)
+                row = np.concatenate([np.repeat(who, k), at + rows])
+                both_d, both_near = np.concatenate([d[who].ravel(), distance]), np.concatenate([near[who].ravel(), others[columns]])
+                both_label = np.concatenate([label[who].ravel(), labels[columns]])
+                order = np.lexsort((both_near, both_d, row))
+                order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+                d[who], near[who], label[who] = (x[order].reshape(-1, k) for x in (both_d, both_near, both_label))
 
     def found(ids: np.ndarray, kept: dict) -> pd.DataFrame:
         parts = []

@@ -70,3 +70,20 @@ def test_a_subset_that_separates_is_better(spark):
     batch = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0, 1.0, 1.0]), (2, [1.0] * 5)], "cand_id long, x array<double>")
     found = {r.cand_id: r.fitness for r in nearest.feature_selection_fitness(spark.createDataFrame(rows, "id long, label long, x array<double>"), batch).collect()}
     assert found[0] < found[2] < found[1] and found[0] < 0.01
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-8, 1e200])
+def test_near_pairs_are_found_whatever_the_rounding(scale):
+    rng = np.random.default_rng(3)
+    mine, theirs = (np.round(rng.normal(size=(n, 7)), 1) * scale + (1e6 if scale < 1 else 0) for n in (40, 900))
+    theirs[:300], folds = theirs[300:600], rng.integers(0, 5, 900)
+    other_fold = rng.integers(0, 5, 40)[:, None] != folds[None, :]
+    exact = np.where(other_fold, sum((mine[:, None, f] - theirs[None, :, f]) ** 2 for f in range(7)), np.inf)
+    for k in (1, 5, 950):
+        far = np.full(40, np.inf)
+        far[:20] = np.sort(exact, axis=1)[:20, min(k, 900) - 1]
+        got = np.zeros(exact.shape, bool)
+        got[nearest._near_enough(mine, theirs, k, far, other_fold)] = True
+        wanted = (exact <= np.sort(exact, axis=1)[:, min(k, 900) - 1][:, None]) & (exact < np.inf)
+        assert not (wanted & ~got).any() and not (got & ~other_fold).any()
+        assert scale != 1.0 or k != 5 or got.sum() < 40 * 30  # and few others
