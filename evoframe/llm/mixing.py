@@ -28,10 +28,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evoframe.llm._common import packed, unpacked
+from evoframe.llm._common import documents_of, materialize, packed, shuffle_partitions, unpacked
 
 BLOCK = 16
 FINE = 1 << 18
@@ -41,6 +41,9 @@ ROWS_PER_BUCKET = 1 << 18
 POWER = 0.5
 #: A period of up to so many slots is sent to every task; a longer one is joined by Spark's own choice.
 MOST_BROADCAST = 1 << 20
+#: The same for a table with a row for each source and bucket, and for one with their stretches.
+MOST_GROUPS = 1 << 17
+MOST_STRETCHES = 1 << 18
 
 
 def shares(aims: list[int]) -> list[int]:
@@ -84,6 +87,66 @@ def earliest_deadline_first(weights: list[int], blocks: list[int]) -> list[list[
     return slots
 
 
+class Schedule:
+    """The schedule of one period for the sources of ``docs``, and ranks and slots by it.
+
+    One row for each source is collected, and no more.
+    """
+
+    def __init__(self, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, power: float = POWER):
+        sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        names = sorted(sizes, key=lambda s: (s is not None, s or ""))
+        aims = whole_weights(names, sizes, weights, power)
+        plan = list(zip(names, aims, earliest_deadline_first(aims, [-(-sizes[s] // block) for s in names])))
+        self.block, self.total = block, sum(aims)
+        self.buckets = max(256, -(-sum(sizes.values()) // ROWS_PER_BUCKET))
+        self.groups = len(names) * self.buckets  # at most
+        self.plan = docs.sparkSession.createDataFrame(plan, "mix_source string, mix_aim long, mix_slots array<int>")
+
+    def in_buckets(self, docs: DataFrame) -> DataFrame:
+        """Adds ``mix_bucket``."""
+        head = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8)
+        return docs.withColumn("mix_bucket", F.conv(head, 16, 10).cast("long") % self.buckets)
+
+    def ranked(self, docs: DataFrame) -> DataFrame:
+        """Adds ``mix_bucket`` and ``mix_rank``, the rank in the source."""
+        docs = self.in_buckets(docs)
+        counts = docs.groupBy("source", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"))
+        before = F.sum("mix_n").over(Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        bases = counts.select(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b"), F.coalesce(before, F.lit(0)).alias("mix_before"))
+        found = docs.withColumn("mix_own", nth("source", "mix_bucket"))
+        found = found.join(sent(bases, self.groups, MOST_GROUPS), same_group())
+        return found.withColumn("mix_rank", F.col("mix_before") + F.col("mix_own")).drop("mix_s", "mix_b", "mix_before", "mix_own")
+
+    def placed(self, ranked: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` and the place of each rank."""
+        ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / self.block).cast("long"))
+        # the plan has as many rows as there are sources and total slots in all
+        found = ranked.join(sent(self.plan, self.total, MOST_BROADCAST), F.col("source").eqNullSafe(F.col("mix_source")))
+        return found.select(
+            *[F.col(f"`{c}`") for c in columns],
+            "mix_block",
+            (F.col("mix_rank") % self.block).alias("mix_offset"),
+            F.expr(f"mix_block * {self.total} div mix_aim").alias("mix_release"),
+            F.expr(f"((mix_block + 1) * {self.total} + mix_aim - 1) div mix_aim").alias("mix_deadline"),
+            F.expr(f"mix_slots[int(mix_block % mix_aim)] + mix_block div mix_aim * {self.total}").cast("long").alias("mix_slot"),
+        )
+
+
+def sent(rows: DataFrame, size: int, most: int) -> DataFrame:
+    """``rows`` sent to every task, so that what they are joined to is not shuffled for it; beyond ``most`` Spark chooses."""
+    return F.broadcast(rows) if size <= most else rows
+
+
+def same_group() -> Column:
+    return F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b"))
+
+
+def nth(*group: str) -> Column:
+    """The rank in a group, from 0."""
+    return F.row_number().over(Window.partitionBy(*group).orderBy("doc_id")) - 1
+
+
 def mixed(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, power: float = POWER
 ) -> DataFrame:
@@ -91,37 +154,10 @@ def mixed(
 
     ``weights``: target weight for each source, above 0; without it, the number of
     documents of each source to ``power``. Reading in order of ``mix_slot, mix_offset``
-    gives the mixture. One row for each source is collected, and no more.
+    gives the mixture.
     """
-    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes, key=lambda s: (s is not None, s or ""))
-    aims = whole_weights(names, sizes, weights, power)
-    blocks = [-(-sizes[s] // block) for s in names]
-    buckets = max(256, -(-sum(sizes.values()) // ROWS_PER_BUCKET))
-    total = sum(aims)
-    plan = list(zip(names, aims, earliest_deadline_first(aims, blocks)))
-    plan = docs.sparkSession.createDataFrame(plan, "mix_source string, mix_aim long, mix_slots array<int>")
-
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % buckets
-    columns, docs = docs.columns, docs.withColumn("mix_bucket", bucket)
-    counts = docs.groupBy("source", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"))
-    before = F.sum("mix_n").over(Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b"), F.coalesce(before, F.lit(0)).alias("mix_before"))
-    own = F.row_number().over(Window.partitionBy("source", "mix_bucket").orderBy("doc_id")) - 1
-    ranked = docs.withColumn("mix_own", own)
-    ranked = ranked.join(bases, F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
-    ranked = ranked.withColumn("mix_rank", F.col("mix_before") + F.col("mix_own"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long"))
-    # the plan has as many rows as there are sources and total slots in all
-    placed = ranked.join(F.broadcast(plan) if total <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("mix_source")))
-    return placed.select(
-        *[F.col(f"`{c}`") for c in columns],
-        "mix_block",
-        (F.col("mix_rank") % block).alias("mix_offset"),
-        F.expr(f"mix_block * {total} div mix_aim").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {total} + mix_aim - 1) div mix_aim").alias("mix_deadline"),
-        F.expr(f"mix_slots[int(mix_block % mix_aim)] + mix_block div mix_aim * {total}").cast("long").alias("mix_slot"),
-    )
+    schedule = Schedule(docs, weights, block, power)
+    return schedule.placed(schedule.ranked(docs), *docs.columns)
 
 
 def mixing_digest(docs: DataFrame, **options) -> DataFrame:
@@ -131,10 +167,55 @@ def mixing_digest(docs: DataFrame, **options) -> DataFrame:
     return found.select(*renamed)
 
 
+def stretches_of(schedule: Schedule, keys: DataFrame, parts: int) -> DataFrame:
+    """For each source and bucket, as ``mix_s, mix_b``, its ranks cut where a new range of slots begins.
+
+    ``mix_stretches`` has for each stretch in turn its first rank, the number of its range
+    of slots and its first and last ``doc_id``; ``mix_loose`` is true where rows of one
+    ``doc_id`` lie in two stretches, so that it does not tell them apart.
+    """
+    places = schedule.placed(schedule.ranked(keys), "doc_id", "source", "mix_bucket", "mix_rank")
+    places = places.repartitionByRange(parts, "mix_slot").withColumn("part", F.spark_partition_id())
+    own = F.struct("doc_id")  # a null is below all others
+    found = places.groupBy("source", "mix_bucket", "part").agg(F.min("mix_rank").alias("rank"), F.min(own).alias("low"), F.max(own).alias("high"))
+    found = found.groupBy(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "part", "low", "high"))).alias("mix_stretches")
+    )
+    torn = F.filter("mix_stretches", lambda x, i: x.low.eqNullSafe(F.get("mix_stretches", i - 1).high))
+    return found.withColumn("mix_loose", F.size(torn) > 0)
+
+
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in the order of the mixture, with the columns they have, whatever their names."""
-    found = mixed(packed(docs, "doc_id", "source"), **options).repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_offset")
-    return unpacked(found, docs.columns)
+    """``docs`` in the order of the mixture, with the columns they have, whatever their names.
+
+    Places are worked out on ``doc_id`` and source alone. A table of the stretches of each
+    source and bucket then sends every whole row straight to its range of slots, so rows are
+    shuffled once; only the buckets with a ``doc_id`` in two stretches are ranked beforehand.
+    Where sources are too many for such tables in every task, all rows are.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    keys = documents_of(docs, "doc_id", "source")
+    schedule = Schedule(keys, **options)
+    rows = packed(docs, "doc_id", "source")
+    stretches = materialize(stretches_of(schedule, keys, parts))
+    known = stretches.agg(F.sum(F.size("mix_stretches")).alias("n"), F.max("mix_loose").alias("loose")).first()
+    if (known.n or 0) > MOST_STRETCHES or schedule.total > MOST_BROADCAST:  # a join that shuffles would undo the order
+        found = schedule.placed(schedule.ranked(rows), "row").repartitionByRange("mix_slot")
+        return unpacked(found.sortWithinPartitions("mix_slot", "mix_offset"), docs.columns)
+    rows = schedule.in_buckets(rows).join(F.broadcast(stretches), same_group())
+
+    def to_stretch(rows: DataFrame, begun) -> DataFrame:
+        """With the last stretch that has begun there."""
+        last = F.element_at(F.filter("mix_stretches", begun), -1)
+        return rows.select("row", "doc_id", "source", "mix_bucket", last.part.alias("mix_part"), last.rank.alias("mix_first"))
+
+    sorted_out = to_stretch(rows.where("not mix_loose"), lambda x: x.low <= F.struct("doc_id"))
+    if known.loose:
+        loose = rows.where("mix_loose").withColumn("mix_rank", F.get("mix_stretches", F.lit(0)).rank + nth("source", "mix_bucket"))
+        sorted_out = sorted_out.unionByName(to_stretch(loose, lambda x: x.rank <= F.col("mix_rank")))
+    moved = sorted_out.repartitionById(parts, "mix_part")
+    ranked = moved.withColumn("mix_rank", F.col("mix_first") + nth("mix_part", "source", "mix_bucket"))
+    return unpacked(schedule.placed(ranked, "row").sortWithinPartitions("mix_slot", "mix_offset"), docs.columns)
 
 
 def oracle(block: int = BLOCK, power: float = POWER, buckets: int = 256) -> str:

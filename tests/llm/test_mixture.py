@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,3 +63,51 @@ def test_weights_change_the_sequences_of_the_pipeline(spark, small, monkeypatch)
     for first, rows in found.items():
         of_first = [r.sequence_id for r in rows if r.source == first]
         assert np.mean(of_first) < np.mean([r.sequence_id for r in rows if r.source != first])
+
+
+def ids_in_order(docs, **options):
+    return [(r.source, r.doc_id) for r in sorted(mixing.mixing_digest(docs, **options).collect(), key=lambda r: (r.slot, r.offset))]
+
+
+def times_shuffled(rows, capsys) -> int:
+    """Exchanges of the plan through which whole rows go."""
+    capsys.readouterr()
+    rows.explain("formatted")
+    taken = re.findall(r"\) Exchange *\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert taken
+    return sum("row#" in columns or "text#" in columns for columns in taken)
+
+
+def test_whole_rows_are_shuffled_once_for_the_mixture(spark, small, capsys):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ordered = mixing.in_mixed_order(docs)
+    assert times_shuffled(ordered, capsys) == 1
+    rows = ordered.collect()
+    assert [(r.source, r.doc_id) for r in rows] == ids_in_order(docs)
+    assert sorted(map(str, rows)) == sorted(map(str, docs.collect()))
+
+
+@pytest.fixture
+def as_planned(spark):
+    """Spark sends no table and merges no partitions by its own choice."""
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in options}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("most, stretches", [(None, ()), (-1, ()), (-1, ("MOST_STRETCHES",))])
+def test_order_of_rows_that_share_their_id(spark, monkeypatch, as_planned, most, stretches):
+    """Also where ranges of slots begin in the midst of them, and where no table is small enough to be sent."""
+    for limit in ("MOST_BROADCAST", "MOST_GROUPS", *stretches) if most else ():
+        monkeypatch.setattr(mixing, limit, most)
+    rows = [(None if i % 11 == 0 else i * i % 97 if i % 2 else 1000 + i, ["a", "b", None, "b", "b"][i % 5], f"text {i % 400}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    keys = docs.select("doc_id", "source")
+    assert mixing.stretches_of(mixing.Schedule(keys, block=2), keys, 4).where("mix_loose").count()
+    found = mixing.in_mixed_order(docs, block=2).collect()
+    assert [(r.source, r.doc_id) for r in found] == ids_in_order(docs, block=2)
+    assert Counter(map(tuple, found)) == Counter(rows)
