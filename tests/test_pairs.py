@@ -93,3 +93,13 @@ def test_cells_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     lines = plan.splitlines()
     assert not any("Join" in line for line in lines[: next(i for i, line in enumerate(lines) if "Generate" in line)])  # nothing is joined after the cells are made
+
+
+def test_cells_are_bits_of_words_and_tasks_are_about_equal(spark):
+    known = {(d, t) for d in range(200) for t in range(300) if d in (0, 63, 64, 199) or d * t % 7 == 1 or t == 5}
+    made = pairs.cells(spark.createDataFrame(sorted(known) * 2, "d long, t long").repartition(3), "d", "t", 130)  # words of 64 and shorter ones
+    assert Counter(tuple(r) for r in made.collect()) == Counter((d, t, int((d, t) in known)) for d in range(200) for t in range(300))
+    assert "array_contains" not in made._jdf.queryExecution().optimizedPlan().toString()  # nothing is searched for a cell, however many are known
+    for together in (130, 4096):
+        sizes = pairs.cells(spark.createDataFrame(sorted(known), "d long, t long"), "d", "t", together).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 2 * 200 * 300 / 4, [r["count"] for r in sizes]
