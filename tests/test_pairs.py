@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from evoframe.functions.hashing import permuted, ranked_within, summed_before
 from evoframe.operators import pairs
-from evoframe.plans.catalogue import QUERIES
+from evoframe.plans.catalogue import ORACLES, QUERIES
 
 KNOWN = {(d, t) for d in range(9) for t in range(0, 400, 7) if (d * t) % 5 < 2}
 
@@ -103,3 +104,15 @@ def test_cells_are_bits_of_words_and_tasks_are_about_equal(spark):
     for together in (130, 4096):
         sizes = pairs.cells(spark.createDataFrame(sorted(known), "d long, t long"), "d", "t", together).groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in sizes) < 2 * 200 * 300 / 4, [r["count"] for r in sizes]
+
+
+def test_matrix_queries_follow_their_sql_and_deal_cells_evenly(spark, tmp_path):
+    known = [(d, t) for d in range(150) for t in range(90) if d * t % 11 == 3 or d % 64 == 63] + [(None, 1), (2, None), (None, None)]
+    spark.createDataFrame([(1, 1, d, t) for d, t in known * 2], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("interaction_matrix", "interaction_matrix_whole"):
+        made = QUERIES[name](spark, str(tmp_path))
+        assert Counter(tuple(r) for r in made.select("l_suppkey", "l_partkey", "cell").collect()) == Counter(con.sql(f"SELECT l_suppkey, l_partkey, cell FROM ({ORACLES[name]})").fetchall())
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * 151 * 91 / 4, sizes
